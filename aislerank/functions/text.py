@@ -131,19 +131,23 @@ def matched_keywords(left_set: Column, right_set: Column, limit: int = 5) -> Col
         F.array_intersect(left_set, right_set),
         lambda w: F.struct((-F.length(w)).alias("l"), w.alias("w")),
     )
-    return F.transform(F.slice(F.array_sort(shared), 1, limit), lambda s: F.initcap(s["w"]))
+    return F.transform(F.slice(F.sort_array(shared), 1, limit), lambda s: F.initcap(s["w"]))
 
 
-def unigrams(text: Column, stops: Sequence[str]) -> Column:
-    words = F.regexp_extract_all(F.lower(text), F.lit(f"({WORD})"), 1)
-    return F.filter(words, lambda w: ~w.isin(*stops)) if stops else words
+def words(text: Column) -> Column:
+    """Lower-case runs of two or more letters, digits or underscores."""
+    return F.regexp_extract_all(F.lower(text), F.lit(f"({WORD})"), 1)
 
 
-def with_bigrams(words: Column) -> Column:
+def without(tokens: Column, stops: Sequence[str]) -> Column:
+    return F.filter(tokens, lambda w: ~w.isin(*stops)) if stops else tokens
+
+
+def with_bigrams(tokens: Column) -> Column:
     """The words followed by each adjacent pair joined by a space."""
     pairs = F.zip_with(
-        F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))),
-        F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))),
+        F.slice(tokens, F.lit(1), F.greatest(F.size(tokens) - 1, F.lit(0))),
+        F.slice(tokens, F.lit(2), F.greatest(F.size(tokens) - 1, F.lit(0))),
         lambda a, b: F.concat(a, F.lit(" "), b),
     )
-    return F.concat(words, pairs)
+    return F.concat(tokens, pairs)

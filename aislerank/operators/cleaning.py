@@ -75,10 +75,11 @@ def drop_incomplete(df: DataFrame, columns: Sequence[str] = CRITICAL) -> DataFra
 
 
 def add_clean_text(df: DataFrame) -> DataFrame:
-    return df.withColumns({
+    """Two projections, so that the description chain is evaluated once per row."""
+    return df.withColumn("about_product_clean", text.clean_description(F.col("about_product"))).withColumns({
         "product_name_clean": text.normalise(F.col("product_name")),
         "category_clean": text.clean_category(F.col("category")),
-        "about_product_clean": text.normalise(text.clean_description(F.col("about_product"))),
+        "about_product_clean": text.normalise(F.col("about_product_clean")),
     })
 
 

@@ -19,23 +19,24 @@ def terms(df: DataFrame, id_column: str = "product_id", text_column: str = "comb
           model: TextModel = TextModel(), stops: Sequence[str] | None = None) -> DataFrame:
     """(id, terms): words of two or more characters and, after stop words, adjacent pairs."""
     stops = text.english_stops() if stops is None else stops
-    words = text.unigrams(F.col(text_column), stops)
-    return df.select(
-        F.col(id_column).alias("id"),
-        (text.with_bigrams(words) if model.bigrams else words).alias("terms"))
+    words = df.select(F.col(id_column).alias("id"), text.words(F.col(text_column)).alias("terms"))
+    words = words.withColumn("terms", text.without(F.col("terms"), stops))
+    return words.withColumn("terms", text.with_bigrams(F.col("terms"))) if model.bigrams else words
 
 
 def vocabulary(docs: DataFrame, model: TextModel = TextModel()) -> DataFrame:
     """(t, term, df, tf, idf), at most ``max_features`` rows, so it may always be broadcast.
 
-    Document and corpus frequency come from one shuffle: every document emits its distinct terms
-    with df 1 and all its terms with tf 1, and both sums combine map-side.
+    Document and corpus frequency come from one pass and one shuffle: every document emits its
+    distinct terms with df 1 and all its terms with tf 1, and both sums combine map-side.
     """
-    first = docs.select(F.explode(F.array_distinct("terms")).alias("term"), F.lit(1).alias("d"), F.lit(0).alias("c"))
-    every = docs.select(F.explode("terms").alias("term"), F.lit(0).alias("d"), F.lit(1).alias("c"))
+    one, zero = F.lit(1), F.lit(0)
+    marked = F.concat(
+        F.transform(F.array_distinct("terms"), lambda w: F.struct(w.alias("term"), one.alias("d"), zero.alias("c"))),
+        F.transform("terms", lambda w: F.struct(w.alias("term"), zero.alias("d"), one.alias("c"))))
     n = docs.agg(F.count("*").alias("n")).scalar()
     kept = (
-        first.unionAll(every).groupBy("term")
+        docs.select(F.inline_outer(marked)).filter("term IS NOT NULL").groupBy("term")
         .agg(F.sum("d").alias("df"), F.sum("c").alias("tf"))
         .withColumn("n", n)
         .filter((F.col("df") >= model.min_df) & (F.col("df") <= F.col("n") * model.max_df))
@@ -50,21 +51,22 @@ def vocabulary(docs: DataFrame, model: TextModel = TextModel()) -> DataFrame:
 def vectors(docs: DataFrame, vocab: DataFrame) -> DataFrame:
     """(id, vec): unit vectors as arrays of (t, w) sorted by t; documents without a term drop out.
 
-    Only words of the vocabulary are shuffled, once, by document.
+    Only words of the vocabulary are shuffled, once, by document.  ``explode_outer`` because a plain
+    ``explode`` makes the optimizer test the array for emptiness first, which runs the whole text
+    chain a second time; the join drops the NULLs.
     """
     counted = (
-        docs.select("id", F.explode("terms").alias("term"))
+        docs.select("id", F.explode_outer("terms").alias("term"))
         .join(F.broadcast(vocab.select("t", "term", "idf")), "term")
         .select("id", "t", "idf").repartition("id")
         .groupBy("id", "t", "idf").agg(F.count("*").alias("tf"))
     )
-    raw = counted.groupBy("id").agg(F.array_sort(F.collect_list(
-        F.struct("t", ((1 + F.log("tf")) * F.col("idf")).alias("w")))).alias("vec"))
-    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, e: s + e["w"] * e["w"]))
-    return raw.withColumn("norm", norm).select(
-        "id",
-        F.transform("vec", lambda e: F.struct(
-            e["t"].alias("t"), (e["w"] / F.col("norm")).alias("w"))).alias("vec"))
+    raw = counted.withColumn("w", (1 + F.log("tf")) * F.col("idf")).groupBy("id").agg(
+        F.sort_array(F.collect_list(F.struct("t", "w"))).alias("vec"),
+        F.sum(F.col("w") * F.col("w")).alias("square"))
+    # Twelve digits hide the order of the sum, so equal texts get equal vectors.
+    return raw.select("id", F.transform("vec", lambda e: F.struct(
+        e["t"].alias("t"), rounded(e["w"] / F.sqrt("square"), 12).alias("w"))).alias("vec"))
 
 
 def weights(vecs: DataFrame) -> DataFrame:
@@ -78,3 +80,84 @@ def fit(df: DataFrame, id_column: str = "product_id", text_column: str = "combin
     docs = terms(df, id_column, text_column, model, stops)
     vocab = cut(vocabulary(docs, model))
     return vocab, cut(vectors(docs, vocab))
+
+
+def collapse(vecs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(distinct, members): one row per distinct vector, and which id has which.
+
+    A text that a third of the catalogue shares is one vector here; its ids come back at the end.
+    """
+    keyed = vecs.withColumn("digest", F.sha2(F.to_json("vec"), 256))
+    distinct = keyed.groupBy("digest").agg(F.min("id").alias("rep"), F.first("vec").alias("vec"))
+    members = keyed.select("digest", "id").join(distinct.select("digest", "rep"), "digest").select("rep", "id")
+    return distinct.select(F.col("rep").alias("id"), "vec"), members
+
+
+def pair_scores(left: DataFrame, right: DataFrame, hot: int = 2000, salts: int = 8) -> DataFrame:
+    """(src, dst, score) for every pair of vectors that share a term, exact.
+
+    An equi-join of posting lists on the term, then a sum per pair that combines map-side.  A term
+    in more than ``hot`` vectors of the left side is dealt out over ``salts`` tasks; only the
+    postings of such terms are repeated on the right.
+    """
+    lw = weights(left).select(F.col("id").alias("src"), "t", F.col("w").alias("lw"))
+    rw = weights(right).select(F.col("id").alias("dst"), "t", F.col("w").alias("rw"))
+    # At most one row per term of the bounded vocabulary.
+    heavy = lw.groupBy("t").count().filter(F.col("count") > hot).select("t", F.lit(True).alias("heavy"))
+    lw = lw.join(F.broadcast(heavy), "t", "left").withColumn(
+        "salt", F.when(F.col("heavy"), F.pmod(F.xxhash64("src"), F.lit(salts)).cast("int")).otherwise(0))
+    rw = rw.join(F.broadcast(heavy), "t", "left").withColumn(
+        "salt", F.explode(F.when(F.col("heavy"), F.sequence(F.lit(0), F.lit(salts - 1)))
+                          .otherwise(F.array(F.lit(0)))))
+    pairs = lw.drop("heavy").join(rw.drop("heavy"), ["t", "salt"])
+    return pairs.groupBy("src", "dst").agg(
+        rounded(F.sum(F.col("lw") * F.col("rw")), SCORE_DIGITS).alias("score"))
+
+
+def best_per(df: DataFrame, key: str, score: str, tie: str, k: int) -> DataFrame:
+    """The k best rows per key.  ``rank <= k`` becomes a group limit ahead of the shuffle."""
+    order = Window.partitionBy(key).orderBy(F.desc(score), F.asc(tie))
+    return df.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def neighbours(vecs: DataFrame, k: int, min_score: float = 0.0) -> DataFrame:
+    """(src, dst, score, rank): the k nearest other documents of every document, score > 0, exact.
+
+    Works on distinct vectors.  Of the ids that share a vector only the first k + 1 can enter any
+    list, because they tie and ties go by id; so every vector carries that short list, and each
+    document reads the list of its own vector.
+    """
+    distinct, members = collapse(vecs)
+    distinct = cut(distinct)
+    first_ids = (
+        members.withColumn("n", F.row_number().over(Window.partitionBy("rep").orderBy("id")))
+        .filter(F.col("n") <= k + 1)
+        .groupBy("rep").agg(F.sort_array(F.collect_list("id")).alias("ids")))
+    pairs = pair_scores(distinct, distinct)
+    pairs = pairs.filter((F.col("score") > 0) & (F.col("score") >= min_score))
+    # k + 1 distinct vectors hold at least k other documents.
+    near = best_per(pairs, "src", "score", "dst", k + 1)
+    wide = near.join(first_ids, near.dst == first_ids.rep).select(
+        F.col("src").alias("rep"), F.explode("ids").alias("dst"), "score")
+    lists = best_per(wide, "rep", "score", "dst", k + 1).groupBy("rep").agg(
+        F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("dst").alias("id")))).alias("list"))
+    own = F.slice(F.filter("list", lambda e: e["id"] != F.col("id")), 1, k)
+    return (
+        members.join(lists, "rep")
+        .select(F.col("id").alias("src"), F.posexplode(own).alias("p", "e"))
+        .select("src", F.col("e.id").alias("dst"), (-F.col("e.s")).alias("score"), (F.col("p") + 1).alias("rank")))
+
+
+def top_terms(vecs: DataFrame, vocab: DataFrame, documents: DataFrame, limit: int = 30) -> DataFrame:
+    """Terms by mean weight over all documents, the empty ones included."""
+    n = documents.agg(F.count("*").alias("n")).scalar()
+    return (
+        weights(vecs).groupBy("t").agg(F.sum("w").alias("total"))
+        .join(F.broadcast(vocab), "t")
+        .select("term", rounded(F.col("total") / n, 6).alias("importance"), rounded(F.col("idf"), 4).alias("idf"))
+        .orderBy(F.desc("importance"), "term").limit(limit))
+
+
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")),
+                       F.lit(0.0), lambda s, e: s + e)

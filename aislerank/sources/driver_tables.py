@@ -17,6 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use all cores on an input of fewer splits than cores; leave a large scan as it is."""
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(wanted, key) if df.rdd.getNumPartitions() < wanted else df
+
+
 def catalogue(spark: SparkSession, sf_dir: str, text: bool = True) -> DataFrame:
     """One row per part.  ``text=False`` leaves the documents table unread."""
     lines = (
@@ -30,7 +36,7 @@ def catalogue(spark: SparkSession, sf_dir: str, text: bool = True) -> DataFrame:
     )
     words = F.split("p_name", " ")
     rows = (
-        table(spark, sf_dir, "part")
+        spread(table(spark, sf_dir, "part"), "p_partkey")
         .join(lines, F.col("p_partkey") == F.col("l_partkey"), "left")
         .withColumn("actual_price", rounded(F.col("p_retailprice") * F.col("p_size") / 3, 2))
     )
