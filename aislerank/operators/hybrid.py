@@ -18,8 +18,8 @@ def normalised(recs: DataFrame) -> DataFrame:
     """Min-max per query and strategy; a list of equal scores becomes all 1."""
     per_list = Window.partitionBy("query_id", "strategy")
     low, high = F.min("score").over(per_list), F.max("score").over(per_list)
-    return recs.withColumn("norm_score", rounded(
-        F.when(high == low, 1.0).otherwise((F.col("score") - low) / (high - low)), 9))
+    return recs.withColumn(
+        "norm_score", F.when(high == low, 1.0).otherwise((F.col("score") - low) / (high - low)))
 
 
 def run_strategies(catalogue: DataFrame, queries: DataFrame, edges: DataFrame | None, k: int,
@@ -84,8 +84,8 @@ def _with_ratings(best: DataFrame, ratings: DataFrame, k: int, share: float, rea
         F.struct((-F.col("score")).alias("s"), F.col("product_id").alias("id"), F.lit(0).alias("fc"))))).scalar()
     short = (F.size("got") < k) | (-F.element_at("got", -1)["s"] <= ceiling)
     ids = F.transform("got", lambda e: e["id"])
-    extra = F.filter(top, lambda e: (e["id"] != F.col("query_id")) & ~F.array_contains(ids, e["id"]))
-    return best.withColumn("got", F.when(short, F.sort_array(F.concat("got", extra))).otherwise(F.col("got")))
+    extra = F.filter("all_rated", lambda e: (e["id"] != F.col("query_id")) & ~F.array_contains(ids, e["id"]))
+    return best.withColumn("all_rated", top).withColumn("got", F.when(short, F.sort_array(F.concat("got", extra))).otherwise(F.col("got")))
 
 
 def hybrid(catalogue: DataFrame, queries: DataFrame, edges: DataFrame | None, k: int = 10,
@@ -128,3 +128,22 @@ def with_unknown(catalogue: DataFrame, ids: DataFrame, edges: DataFrame | None,
         "query_id", *[F.lit(None).cast("double" if c == "q_price" else "string").alias(c)
                       for c in QUERY_FIELDS if c != "query_id"])
     return known.unionByName(strategies.popularity(catalogue, strangers, k))
+
+
+def by_name(catalogue: DataFrame, phrases: DataFrame, edges: DataFrame | None, k: int = 10,
+            weights: dict = HYBRID_WEIGHTS) -> DataFrame:
+    """Hybrid for the best search hit of each phrase; best sellers for a phrase without a hit.
+
+    Many phrases may share one best hit, so its list is computed once.
+    """
+    from aislerank.operators.search import search
+
+    hits = search(catalogue, phrases, 1).select("query", F.col("product_id").alias("source"))
+    wanted = hits.select(F.col("source").alias("query_id")).distinct()
+    recs = hybrid(catalogue, strategies.pick_queries(catalogue, wanted), edges, k, weights)
+    found = hits.join(recs.withColumnRenamed("query_id", "source"), "source")
+    missed = phrases.select("query").distinct().join(hits, "query", "left_anti").withColumnRenamed("query", "query_id")
+    best = strategies.overall(catalogue, missed, k, "popularity_score").select(
+        F.col("query_id").alias("query"), F.lit(None).cast("string").alias("source"), "product_id",
+        F.col("rank").cast("bigint").alias("rank"), rounded(F.col("heat"), 9).alias("score"))
+    return found.select("query", "source", "product_id", "rank", "score").unionByName(best)

@@ -161,3 +161,54 @@ def top_terms(vecs: DataFrame, vocab: DataFrame, documents: DataFrame, limit: in
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")),
                        F.lit(0.0), lambda s, e: s + e)
+
+
+def _weighted_pairs(vecs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs of distinct vectors with the number of document pairs each stands for, and the number
+    of document pairs that share one vector."""
+    distinct, members = collapse(vecs)
+    distinct = cut(distinct)
+    copies = members.groupBy("rep").agg(F.count("*").alias("m"))
+    pairs = pair_scores(distinct, distinct).filter("src <> dst AND score > 0")
+    counted = (pairs.join(copies.select(F.col("rep").alias("src"), F.col("m").alias("ms")), "src")
+               .join(copies.select(F.col("rep").alias("dst"), F.col("m").alias("md")), "dst")
+               .select("score", (F.col("ms") * F.col("md")).alias("pairs")))
+    same = copies.select(F.lit(1.0).alias("score"), (F.col("m") * (F.col("m") - 1)).alias("pairs")).filter("pairs > 0")
+    return counted, same
+
+
+def average_similarity(vecs: DataFrame) -> DataFrame:
+    """One row: ordered pairs with positive similarity and their mean."""
+    counted, same = _weighted_pairs(vecs)
+    return counted.unionByName(same).agg(
+        F.sum("pairs").cast("bigint").alias("positive_pairs"),
+        rounded(F.sum(F.col("score") * F.col("pairs")) / F.sum("pairs"), 6).alias("avg_similarity"))
+
+
+def similarity_histogram(vecs: DataFrame, bins: int = 10, floor: float = 0.01) -> DataFrame:
+    """(bin, pairs) over all ordered pairs above the floor; nothing is sampled."""
+    counted, same = _weighted_pairs(vecs)
+    index = F.least(F.floor(F.col("score") * bins).cast("bigint"), F.lit(bins - 1).cast("bigint"))
+    return counted.unionByName(same).filter(F.col("score") > floor).groupBy(index.alias("bin")).agg(
+        F.sum("pairs").cast("bigint").alias("pairs"))
+
+
+def dense_ranking(users: DataFrame, items: DataFrame, user: str, item: str, k: int, small: int = 1024) -> DataFrame:
+    """The k best items per user by cosine of dense vectors.
+
+    Up to ``small`` users (counted first) travel to the items as one array value, and each item row
+    scores them in place.  Beyond that the coordinates of both sides meet in an equi-join.
+    """
+    unit = lambda v: F.transform(v, lambda x: x / F.sqrt(dot(v, v)))
+    users = cut(users.select(user, unit(F.col("vector")).alias("u")))
+    items = items.select(item, F.col("vector").alias("v"), F.sqrt(dot(F.col("vector"), F.col("vector"))).alias("n"))
+    if users.limit(small + 1).count() <= small:
+        packed = users.agg(F.collect_list(F.struct(user, "u")).alias("us")).scalar()
+        scored = items.withColumn("us", packed).select(item, F.inline(F.transform("us", lambda e: F.struct(
+            e[user].alias(user), rounded(dot(e["u"], F.col("v")) / F.col("n"), SCORE_DIGITS).alias("score")))))
+    else:
+        left = users.select(user, F.posexplode("u").alias("i", "x"))
+        right = items.select(item, "n", F.posexplode("v").alias("i", "y"))
+        scored = left.join(right, "i").groupBy(user, item).agg(
+            rounded(F.sum(F.col("x") * F.col("y") / F.col("n")), SCORE_DIGITS).alias("score"))
+    return best_per(scored, user, "score", item, k)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from aislerank import settings
+from aislerank.functions.numbers import rounded
 from aislerank.operators import features, strategies
 from aislerank.plans import sqltext as S
 from aislerank.plans.book import query
@@ -236,4 +237,4 @@ def e18(spark, sf):
 
     df = shelf(spark, sf)
     recs = strategies.price_similarity(df, strategies.as_queries(df), K)
-    return normalised(recs).select("query_id", "product_id", "norm_score")
+    return normalised(recs).select("query_id", "product_id", rounded(F.col("norm_score"), 9).alias("norm_score"))

@@ -1,4 +1,4 @@
 """Importing this module registers every query."""
 
-from aislerank.plans import finding, loading, ranking  # noqa: F401
+from aislerank.plans import finding, loading, ranking, sessions, similarity  # noqa: F401
 from aislerank.plans.book import ORACLES, QUERIES  # noqa: F401
