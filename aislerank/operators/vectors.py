@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ from aislerank.session import cut
 from aislerank.settings import TextModel
 
 SCORE_DIGITS = 9
+# Vectors per block: two dense blocks and their product stay around 200 MB at 5000 terms.
+BLOCK = 2048
 
 
 def terms(df: DataFrame, id_column: str = "product_id", text_column: str = "combined_text_tfidf",
@@ -93,25 +97,102 @@ def collapse(vecs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return distinct.select(F.col("rep").alias("id"), "vec"), members
 
 
-def pair_scores(left: DataFrame, right: DataFrame, hot: int = 2000, salts: int = 8) -> DataFrame:
-    """(src, dst, score) for every pair of vectors that share a term, exact.
+def _dominant(vec: str) -> Column:
+    return F.sort_array(F.transform(vec, lambda e: F.struct((-e["w"]).alias("w"), e["t"].alias("t"))))[0]["t"]
 
-    An equi-join of posting lists on the term, then a sum per pair that combines map-side.  A term
-    in more than ``hot`` vectors of the left side is dealt out over ``salts`` tasks; only the
-    postings of such terms are repeated on the right.
+
+def in_blocks(vecs: DataFrame, size: int = BLOCK) -> DataFrame:
+    """Adds ``block``: about ``size`` vectors each, vectors of one dominant term side by side.
+
+    The terms' shares of the number line come from one row per term of the bounded vocabulary.
+    """
+    led = vecs.withColumn("lead", _dominant("vec"))
+    shares = led.groupBy("lead").agg(F.count("*").alias("n"))
+    before = Window.orderBy("lead").rowsBetween(Window.unboundedPreceding, -1)
+    shares = shares.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    place = F.col("start") + F.pmod(F.xxhash64("id"), F.col("n"))
+    return led.join(F.broadcast(shares), "lead").withColumn(
+        "block", F.floor(place / size).cast("int")).select("id", "vec", "block")
+
+
+def routes(sources: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(src, block, bound): the blocks a source shares a term with, and the most any vector there
+    can score: the sum over its terms of its weight times the block's largest weight."""
+    peaks = blocks.select("block", F.explode("vec").alias("e")).groupBy("block", F.col("e.t").alias("t")).agg(
+        F.max("e.w").alias("peak"))
+    own = weights(sources).withColumnRenamed("id", "src")
+    return own.join(peaks, "t").groupBy("src", "block").agg(F.sum(F.col("w") * F.col("peak")).alias("bound"))
+
+
+def _matrix(pdf: pd.DataFrame, column: dict) -> np.ndarray:
+    dense = np.zeros((len(pdf), max(len(column), 1)))
+    for row, (t, w) in enumerate(zip(pdf["t"], pdf["w"])):
+        keep = [(column[x], y) for x, y in zip(t, w) if x in column]
+        if keep:
+            at, values = zip(*keep)
+            dense[row, list(at)] = values
+    return dense
+
+
+def _products(left: pd.DataFrame, right: pd.DataFrame) -> np.ndarray:
+    """Scores of two blocks of sparse vectors, over the terms of the right block."""
+    seen = np.unique(np.concatenate(right["t"].to_list()))
+    column = {t: i for i, t in enumerate(seen.tolist())}
+    return np.round(_matrix(left, column) @ _matrix(right, column).T, SCORE_DIGITS)
+
+
+def _top(k: int):
+    def kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        right = right.sort_values("id").reset_index(drop=True)
+        scores = _products(left, right)
+        best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+        picked = np.take_along_axis(scores, best, axis=1)
+        rows, cols = np.nonzero(picked > 0)
+        return pd.DataFrame({
+            "src": left["src"].to_numpy()[rows], "dst": right["id"].to_numpy()[best[rows, cols]],
+            "score": picked[rows, cols]})
+
+    return kernel
+
+
+def _visit(sources: DataFrame, blocks: DataFrame, ways: DataFrame, kernel, schema: str, size: int = BLOCK,
+           carried: Sequence[str] = ()) -> DataFrame:
+    """Run ``kernel`` on every (block, chunk of sources) that has a way: about ``size`` rows a side."""
+    n = sources.count()
+    chunk = F.pmod(F.xxhash64("src"), F.lit(max(1, -(-n // size)))).cast("int")
+    flat = lambda: (F.col("vec.t").alias("t"), F.col("vec.w").alias("w"))
+    ways = ways.select("src", "block").withColumn("chunk", chunk)
+    left = ways.join(sources.select(F.col("id").alias("src"), "vec"), "src").select("block", "chunk", "src", *flat())
+    met = ways.select(F.col("block").alias("at"), F.col("chunk").alias("part")).distinct()
+    right = met.join(blocks, met["at"] == blocks["block"]).select("at", "part", "id", *carried, *flat())
+
+    def task(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
+        return kernel(a, b)
+
+    return left.groupBy("block", "chunk").cogroup(right.groupBy("at", "part")).applyInPandas(task, schema)
+
+
+def nearest(sources: DataFrame, candidates: DataFrame, k: int, size: int = BLOCK) -> DataFrame:
+    """(src, dst, score, rank): the k best positive cosines per source, exact, ties by id.
+
+    Two rounds over blocks of candidates.  Each source first meets the block with the highest
+    bound, which gives it k scores to beat; then it meets only the blocks whose bound reaches its
+    k-th score.  No table of pairs exists: a task multiplies two blocks of bounded size and puts out
+    k rows per source.
     """
-    lw = weights(left).select(F.col("id").alias("src"), "t", F.col("w").alias("lw"))
-    rw = weights(right).select(F.col("id").alias("dst"), "t", F.col("w").alias("rw"))
-    # At most one row per term of the bounded vocabulary.
-    heavy = lw.groupBy("t").count().filter(F.col("count") > hot).select("t", F.lit(True).alias("heavy"))
-    lw = lw.join(F.broadcast(heavy), "t", "left").withColumn(
-        "salt", F.when(F.col("heavy"), F.pmod(F.xxhash64("src"), F.lit(salts)).cast("int")).otherwise(0))
-    rw = rw.join(F.broadcast(heavy), "t", "left").withColumn(
-        "salt", F.explode(F.when(F.col("heavy"), F.sequence(F.lit(0), F.lit(salts - 1)))
-                          .otherwise(F.array(F.lit(0)))))
-    pairs = lw.drop("heavy").join(rw.drop("heavy"), ["t", "salt"])
-    return pairs.groupBy("src", "dst").agg(
-        rounded(F.sum(F.col("lw") * F.col("rw")), SCORE_DIGITS).alias("score"))
+    schema = "src string, dst string, score double"
+    sources, blocks = cut(sources.select("id", "vec")), cut(in_blocks(candidates, size))
+    ways = cut(routes(sources, blocks))
+    first = ways.groupBy("src").agg(F.max_by("block", F.struct("bound", "block")).alias("block"))
+    opening = cut(_visit(sources, blocks, first, _top(k), schema, size))
+    to_beat = opening.groupBy("src").agg(F.count("*").alias("n"), F.min("score").alias("low")).select(
+        "src", F.when(F.col("n") >= k, F.col("low")).otherwise(0.0).alias("low"))
+    more = ways.join(first, ["src", "block"], "left_anti").join(to_beat, "src", "left").filter(
+        F.col("bound") + 1e-6 >= F.coalesce("low", F.lit(0.0)))
+    rest = _visit(sources, blocks, more, _top(k), schema, size)
+    return best_per(opening.unionByName(rest), "src", "score", "dst", k)
 
 
 def best_per(df: DataFrame, key: str, score: str, tie: str, k: int) -> DataFrame:
@@ -133,10 +214,8 @@ def neighbours(vecs: DataFrame, k: int, min_score: float = 0.0) -> DataFrame:
         members.withColumn("n", F.row_number().over(Window.partitionBy("rep").orderBy("id")))
         .filter(F.col("n") <= k + 1)
         .groupBy("rep").agg(F.sort_array(F.collect_list("id")).alias("ids")))
-    pairs = pair_scores(distinct, distinct)
-    pairs = pairs.filter((F.col("score") > 0) & (F.col("score") >= min_score))
     # k + 1 distinct vectors hold at least k other documents.
-    near = best_per(pairs, "src", "score", "dst", k + 1)
+    near = nearest(distinct, distinct, k + 1).filter(F.col("score") >= min_score)
     wide = near.join(first_ids, near.dst == first_ids.rep).select(
         F.col("src").alias("rep"), F.explode("ids").alias("dst"), "score")
     lists = best_per(wide, "rep", "score", "dst", k + 1).groupBy("rep").agg(
@@ -163,34 +242,63 @@ def dot(a: Column, b: Column) -> Column:
                        F.lit(0.0), lambda s, e: s + e)
 
 
-def _weighted_pairs(vecs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs of distinct vectors with the number of document pairs each stands for, and the number
-    of document pairs that share one vector."""
+def _tally(bins: int, floor: float):
+    """Per source: pairs, sum, best and histogram of the positive scores, counted with copies."""
+
+    def kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        scores = _products(left, right)
+        own = left["src"].to_numpy()[:, None] == right["id"].to_numpy()[None, :]
+        # A vector meets its own copies with score 1, itself excepted.
+        copies = right["copies"].to_numpy()[None, :] - own
+        scores = np.where(own, 1.0, scores)
+        weight = np.where(scores > 0, copies, 0)
+        bin_of = np.minimum((scores * bins).astype(int), bins - 1)
+        shown = np.where(scores > floor, weight, 0)
+        best = np.where(weight > 0, scores, 0.0).max(axis=1)
+        counts = [(shown * (bin_of == i)).sum(axis=1) for i in range(bins)]
+        return pd.DataFrame({
+            "src": left["src"], "partners": weight.sum(axis=1), "total": (weight * scores).sum(axis=1),
+            "best": best, "bins": list(np.stack(counts, axis=1))})
+
+    return kernel
+
+
+def similarity_profile(vecs: DataFrame, bins: int = 10, floor: float = 0.01, size: int = BLOCK) -> DataFrame:
+    """(rep, copies, partners, total, best, bins) per distinct vector: how many other documents it
+    has a positive cosine with, their sum, the best and a histogram.  Nothing is sampled."""
     distinct, members = collapse(vecs)
+    copies = members.groupBy("rep").agg(F.count("*").alias("copies"))
     distinct = cut(distinct)
-    copies = members.groupBy("rep").agg(F.count("*").alias("m"))
-    pairs = pair_scores(distinct, distinct).filter("src <> dst AND score > 0")
-    counted = (pairs.join(copies.select(F.col("rep").alias("src"), F.col("m").alias("ms")), "src")
-               .join(copies.select(F.col("rep").alias("dst"), F.col("m").alias("md")), "dst")
-               .select("score", (F.col("ms") * F.col("md")).alias("pairs")))
-    same = copies.select(F.lit(1.0).alias("score"), (F.col("m") * (F.col("m") - 1)).alias("pairs")).filter("pairs > 0")
-    return counted, same
+    blocks = cut(in_blocks(distinct, size).join(copies.withColumnRenamed("rep", "id"), "id"))
+    ways = routes(distinct, blocks)
+    schema = "src string, partners long, total double, best double, bins array<long>"
+    seen = _visit(distinct, blocks, ways, _tally(bins, floor), schema, size, ("copies",))
+    tallied = seen.groupBy("src").agg(
+        F.sum("partners").alias("partners"), F.sum("total").alias("total"), F.max("best").alias("best"),
+        F.array(*[F.sum(F.col("bins")[i]) for i in range(bins)]).alias("bins"))
+    return tallied.withColumnRenamed("src", "rep").join(copies, "rep")
+
+
+def similarity_per_document(vecs: DataFrame) -> DataFrame:
+    """(src, partners, total, best) for every document with a partner."""
+    _, members = collapse(vecs)
+    return members.join(similarity_profile(vecs), "rep").filter("partners > 0").select(
+        F.col("id").alias("src"), "partners", "total", "best")
 
 
 def average_similarity(vecs: DataFrame) -> DataFrame:
     """One row: ordered pairs with positive similarity and their mean."""
-    counted, same = _weighted_pairs(vecs)
-    return counted.unionByName(same).agg(
-        F.sum("pairs").cast("bigint").alias("positive_pairs"),
-        rounded(F.sum(F.col("score") * F.col("pairs")) / F.sum("pairs"), 6).alias("avg_similarity"))
+    return similarity_profile(vecs).agg(
+        F.sum(F.col("partners") * F.col("copies")).alias("positive_pairs"),
+        rounded(F.sum(F.col("total") * F.col("copies")) / F.sum(F.col("partners") * F.col("copies")), 6)
+        .alias("avg_similarity"))
 
 
 def similarity_histogram(vecs: DataFrame, bins: int = 10, floor: float = 0.01) -> DataFrame:
-    """(bin, pairs) over all ordered pairs above the floor; nothing is sampled."""
-    counted, same = _weighted_pairs(vecs)
-    index = F.least(F.floor(F.col("score") * bins).cast("bigint"), F.lit(bins - 1).cast("bigint"))
-    return counted.unionByName(same).filter(F.col("score") > floor).groupBy(index.alias("bin")).agg(
-        F.sum("pairs").cast("bigint").alias("pairs"))
+    """(bin, pairs) over all ordered pairs above the floor."""
+    profile = similarity_profile(vecs, bins, floor)
+    return profile.select("copies", F.posexplode("bins").alias("bin", "n")).groupBy(
+        F.col("bin").cast("bigint").alias("bin")).agg(F.sum(F.col("n") * F.col("copies")).alias("pairs")).filter("pairs > 0")
 
 
 def dense_ranking(users: DataFrame, items: DataFrame, user: str, item: str, k: int, small: int = 1024) -> DataFrame:

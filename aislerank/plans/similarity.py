@@ -91,8 +91,7 @@ def x4(spark, sf):
 SELECT src, count(*) AS partners, {S.rnd('sum(score)', 4)} AS total, max(score) AS best FROM sims WHERE score > 0 GROUP BY 1""")
 def x5(spark, sf):
     _, vecs = fitted(spark, sf)
-    return vectors.pair_scores(vecs, vecs).filter("src <> dst AND score > 0").groupBy("src").agg(
-        F.count("*").alias("partners"), rounded(F.sum("score"), 4).alias("total"), F.max("score").alias("best"))
+    return vectors.similarity_per_document(vecs).withColumn("total", rounded(F.col("total"), 4))
 
 
 @query("X6_all_pairs_top", S.with_(PAIRS, near_cte(20)) + "SELECT src, dst, score, rank FROM near")
