@@ -74,13 +74,13 @@ def price_text(value: Column, symbol: str = "₹") -> Column:
 
 
 def discount_text(actual: Column, discounted: Column) -> Column:
-    pct = F.rint((actual - discounted) / actual * 100).cast("bigint")
+    pct = F.rint(F.try_divide(actual - discounted, actual) * 100).cast("bigint")
     return F.when(actual <= 0, "0%").otherwise(F.concat(pct.cast("string"), F.lit("%")))
 
 
 def shown_discount(actual: Column, price: Column) -> Column:
     """Percent off recomputed from the two prices; NULL unless it lies strictly between 0 and 100."""
-    pct = F.floor((actual - price) / actual * 100 + 0.5)
+    pct = F.floor(F.try_divide(actual - price, actual) * 100 + 0.5)
     return F.when((actual > price) & (pct > 0) & (pct < 100), pct)
 
 

@@ -173,7 +173,7 @@ def price_bands(catalogue: DataFrame, n: int, tolerance: float = 0.20) -> DataFr
     nodes = L.group_lists(filed, "node", n)
 
     def within(c: Column) -> Column:
-        return F.abs(c / 100.0 - F.col("cents") / 100.0) / (F.col("cents") / 100.0) <= tolerance
+        return F.try_divide(F.abs(c / 100.0 - F.col("cents") / 100.0), F.col("cents") / 100.0) <= tolerance
 
     low = F.ceil(F.col("cents") * (1 - tolerance)).cast("bigint")
     high = F.floor(F.col("cents") * (1 + tolerance)).cast("bigint")
@@ -208,7 +208,7 @@ def price_similarity(catalogue: DataFrame, queries: DataFrame, k: int = 10, tole
         beside[F.col("q_bucket")].alias("beside"))
     q = L.attach(L.attach(L.attach(q, bands, "point", "band"), tier, "bucket", "same"), nearby, "beside", "next")
     price = F.col("q_price")
-    rest = F.filter(_not_self(F.col("same")), lambda e: F.abs(e["discounted_price"] - price) / price > tolerance)
+    rest = F.filter(_not_self(F.col("same")), lambda e: F.try_divide(F.abs(e["discounted_price"] - price), price) > tolerance)
     rows = L.unfold(q, L.tiers((_not_self(F.col("band")), 1.0), (rest, 0.7), (_not_self(F.col("next")), 0.4)), k, QUERY_FIELDS)
     blend = F.col("match") * 0.65 + F.col("c_popularity_score") * 0.35
     cost, bucket = F.col("c_discounted_price"), F.col("c_price_bucket")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from aislerank.functions import text
 from aislerank.functions.numbers import rounded
-from aislerank.session import cut
+from aislerank.session import cut, ship_package
 from aislerank.settings import TextModel
 
 SCORE_DIGITS = 9
@@ -124,21 +124,21 @@ def routes(sources: DataFrame, blocks: DataFrame) -> DataFrame:
     return own.join(peaks, "t").groupBy("src", "block").agg(F.sum(F.col("w") * F.col("peak")).alias("bound"))
 
 
-def _matrix(pdf: pd.DataFrame, column: dict) -> np.ndarray:
-    dense = np.zeros((len(pdf), max(len(column), 1)))
-    for row, (t, w) in enumerate(zip(pdf["t"], pdf["w"])):
-        keep = [(column[x], y) for x, y in zip(t, w) if x in column]
-        if keep:
-            at, values = zip(*keep)
-            dense[row, list(at)] = values
+def _matrix(pdf: pd.DataFrame, columns: np.ndarray) -> np.ndarray:
+    """Dense rows over the sorted term numbers ``columns``; other terms are left out."""
+    rows = np.repeat(np.arange(len(pdf)), pdf["t"].map(len))
+    terms, values = np.concatenate(pdf["t"].to_list()), np.concatenate(pdf["w"].to_list())
+    at = np.minimum(np.searchsorted(columns, terms), len(columns) - 1)
+    known = columns[at] == terms
+    dense = np.zeros((len(pdf), len(columns)))
+    dense[rows[known], at[known]] = values[known]
     return dense
 
 
 def _products(left: pd.DataFrame, right: pd.DataFrame) -> np.ndarray:
     """Scores of two blocks of sparse vectors, over the terms of the right block."""
-    seen = np.unique(np.concatenate(right["t"].to_list()))
-    column = {t: i for i, t in enumerate(seen.tolist())}
-    return np.round(_matrix(left, column) @ _matrix(right, column).T, SCORE_DIGITS)
+    columns = np.unique(np.concatenate(right["t"].to_list()))
+    return np.round(_matrix(left, columns) @ _matrix(right, columns).T, SCORE_DIGITS)
 
 
 def _top(k: int):
@@ -158,6 +158,7 @@ def _top(k: int):
 def _visit(sources: DataFrame, blocks: DataFrame, ways: DataFrame, kernel, schema: str, size: int = BLOCK,
            carried: Sequence[str] = ()) -> DataFrame:
     """Run ``kernel`` on every (block, chunk of sources) that has a way: about ``size`` rows a side."""
+    ship_package(sources.sparkSession)
     n = sources.count()
     chunk = F.pmod(F.xxhash64("src"), F.lit(max(1, -(-n // size)))).cast("int")
     flat = lambda: (F.col("vec.t").alias("t"), F.col("vec.w").alias("w"))
@@ -201,7 +202,7 @@ def best_per(df: DataFrame, key: str, score: str, tie: str, k: int) -> DataFrame
     return df.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def neighbours(vecs: DataFrame, k: int, min_score: float = 0.0) -> DataFrame:
+def neighbours(vecs: DataFrame, k: int, min_score: float = 0.0, size: int = BLOCK) -> DataFrame:
     """(src, dst, score, rank): the k nearest other documents of every document, score > 0, exact.
 
     Works on distinct vectors.  Of the ids that share a vector only the first k + 1 can enter any
@@ -215,7 +216,7 @@ def neighbours(vecs: DataFrame, k: int, min_score: float = 0.0) -> DataFrame:
         .filter(F.col("n") <= k + 1)
         .groupBy("rep").agg(F.sort_array(F.collect_list("id")).alias("ids")))
     # k + 1 distinct vectors hold at least k other documents.
-    near = nearest(distinct, distinct, k + 1).filter(F.col("score") >= min_score)
+    near = nearest(distinct, distinct, k + 1, size).filter(F.col("score") >= min_score)
     wide = near.join(first_ids, near.dst == first_ids.rep).select(
         F.col("src").alias("rep"), F.explode("ids").alias("dst"), "score")
     lists = best_per(wide, "rep", "score", "dst", k + 1).groupBy("rep").agg(

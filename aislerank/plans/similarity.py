@@ -24,7 +24,8 @@ def texted(spark, sf):
 
 
 def fitted(spark, sf):
-    return vectors.fit(texted(spark, sf))
+    """The texts are written first, because the vocabulary and the vectors both read them."""
+    return vectors.fit(cut(texted(spark, sf).select("product_id", "combined_text_tfidf")))
 
 
 def described(spark, sf):
@@ -82,7 +83,7 @@ def x3(spark, sf):
 SELECT term, {S.rnd('sum(w) / any_value(nd)', 6)} AS importance, {S.rnd('any_value(idf)', 4)} AS idf
 FROM tfidf JOIN vocab USING (term), size GROUP BY term ORDER BY importance DESC, term LIMIT 30""")
 def x4(spark, sf):
-    docs = texted(spark, sf)
+    docs = cut(texted(spark, sf).select("product_id", "combined_text_tfidf"))
     vocab, vecs = vectors.fit(docs)
     return vectors.top_terms(vecs, vocab, docs)
 

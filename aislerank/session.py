@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -58,3 +59,18 @@ def cut(df: DataFrame) -> DataFrame:
     """
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this package, whatever their working folder (once per application)."""
+    application = spark.sparkContext.applicationId
+    if application not in _SHIPPED:
+        home = os.path.dirname(os.path.abspath(__file__))
+        archive = shutil.make_archive(
+            os.path.join(tempfile.mkdtemp(prefix="run-"), "aislerank"), "zip",
+            root_dir=os.path.dirname(home), base_dir=os.path.basename(home))
+        spark.sparkContext.addPyFile(archive)
+        _SHIPPED.add(application)

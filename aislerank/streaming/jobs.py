@@ -12,7 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from aislerank.functions.numbers import rounded
 from aislerank.operators import drift, personal
 from aislerank.operators.vectors import best_per
-from aislerank.session import scratch_path
+from aislerank.session import scratch_path, ship_package
 
 # ---------------------------------------------------------------- sources and sinks
 
@@ -109,6 +109,7 @@ def repeat_views(events: DataFrame, gap_seconds: float = 60, delay: str = "1 hou
 
     Custom state, because "the newest event of the session" is no windowed aggregate.
     """
+    ship_package(events.sparkSession)
     rows = events.withWatermark("ts", delay).select(
         "session_id", "event_id", "product_id", "event_type", "ts", F.unix_micros("ts").alias("us"))
     return rows.groupBy("session_id").applyInPandasWithState(
@@ -130,6 +131,7 @@ def _keeper(n: int):
 def newest_events(events: DataFrame, n: int = 50) -> DataFrame:
     """The n newest events per session, put out again whenever they change.  Update mode; the state
     of a session never holds more than n events."""
+    ship_package(events.sparkSession)
     rows = events.select("session_id", "event_id", F.unix_micros("ts").alias("us"))
     return rows.groupBy("session_id").applyInPandasWithState(
         _keeper(n), "session_id string, event_id bigint, position bigint",
