@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from aislerank.functions.numbers import rounded
 from aislerank.operators import lists as L
 from aislerank.operators import strategies
+from aislerank.operators.skew import salted_join
 from aislerank.operators.strategies import CANDIDATE_FIELDS, QUERY_FIELDS
+from aislerank.session import cut
 from aislerank.settings import HYBRID_WEIGHTS
 
 
@@ -24,7 +26,7 @@ def normalised(recs: DataFrame) -> DataFrame:
 
 def run_strategies(catalogue: DataFrame, queries: DataFrame, edges: DataFrame | None, k: int,
                    weights: dict = HYBRID_WEIGHTS) -> DataFrame:
-    """Every weighted strategy at 3k, as (query_id, product_id, strategy, score)."""
+    """Every weighted strategy at 3k, as (query_id, product_id, strategy, score, rating)."""
     n = 3 * k
     runs = {
         "category_similarity": lambda: strategies.category_similarity(catalogue, queries, n),
@@ -32,13 +34,15 @@ def run_strategies(catalogue: DataFrame, queries: DataFrame, edges: DataFrame |
         "price_similarity": lambda: strategies.price_similarity(catalogue, queries, n),
         "popularity": lambda: strategies.popularity(catalogue, queries, n),
     }
-    parts = [run().select("query_id", "product_id", "strategy", "score")
+    rating = F.coalesce("c_rating", F.lit(0.0)).alias("rating")
+    parts = [run().select("query_id", "product_id", "strategy", "score", rating)
              for name, run in runs.items() if weights.get(name, 0) > 0]
     if edges is not None and weights.get("content_based", 0) > 0:
         near = edges.filter(F.col("rank") <= n).select(
             F.col("src").alias("query_id"), F.col("dst").alias("product_id"),
             F.lit("content_based").alias("strategy"), "score")
-        parts.append(near.join(queries.select("query_id"), "query_id", "left_semi"))
+        rated = salted_join(near, catalogue.select("product_id", F.coalesce("rating", F.lit(0.0)).alias("rating")), "product_id")
+        parts.append(rated.join(queries.select("query_id"), "query_id", "left_semi"))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -56,7 +60,7 @@ def blend(catalogue: DataFrame, queries: DataFrame, edges: DataFrame | None, k:
     share = weights.get("rating", 0.0)
     ratings = catalogue.select("product_id", F.coalesce("rating", F.lit(0.0)).alias("rating"))
     listed = run_strategies(catalogue, queries, edges, k, weights)
-    listed = listed.join(ratings, "product_id").repartition("query_id")
+    listed = listed.repartition("query_id")
     weight = reduce(
         lambda c, w: c.when(F.col("strategy") == w[0], F.lit(float(w[1]))),
         list(weights.items())[1:], F.when(F.col("strategy") == list(weights)[0], F.lit(float(list(weights.values())[0]))))
@@ -91,8 +95,8 @@ def _with_ratings(best: DataFrame, ratings: DataFrame, k: int, share: float, rea
 def hybrid(catalogue: DataFrame, queries: DataFrame, edges: DataFrame | None, k: int = 10,
            weights: dict = HYBRID_WEIGHTS) -> DataFrame:
     """Full hybrid rows with reason and tags, in the layout of the other strategies."""
-    rows = blend(catalogue, queries, edges, k, weights)
-    rows = strategies.enrich(rows.join(queries, "query_id"), catalogue)
+    rows = cut(blend(catalogue, queries, edges, k, weights))
+    rows = strategies.enrich(rows, catalogue).join(queries, "query_id")
     reason, tags = hybrid_reason()
     confidence = F.when(F.col("top") > 0, F.col("score") / F.col("top")).otherwise(0.0)
     return strategies._finish(rows, "hybrid", F.col("score"), confidence, reason, tags)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from aislerank.operators import vectors
+from aislerank.operators.skew import salted_join
 
 
 def sample_queries(catalogue: DataFrame, n: int = 100) -> DataFrame:
@@ -52,7 +52,7 @@ def list_similarity(recs: DataFrame, vecs: DataFrame, key: str = "query_id") ->
     |sum of vectors|^2 - sum of |vector|^2.
     """
     items = recs.groupBy(key).agg(F.count("*").alias("items")).filter("items > 1")
-    terms = recs.select(key, "product_id").join(vecs.withColumnRenamed("id", "product_id"), "product_id").select(
+    terms = salted_join(recs.select(key, "product_id"), vecs.withColumnRenamed("id", "product_id"), "product_id").select(
         key, F.explode("vec").alias("e")).groupBy(key, F.col("e.t").alias("t")).agg(
             F.sum("e.w").alias("s"), F.sum(F.col("e.w") * F.col("e.w")).alias("q"))
     sums = terms.groupBy(key).agg((F.sum(F.col("s") * F.col("s")) - F.sum("q")).alias("twice"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from aislerank import settings
 from aislerank.functions.numbers import rounded
 from aislerank.operators import lists as L
+from aislerank.operators.skew import salted_join
 
 QUERY_FIELDS = ("query_id", "q_l1", "q_l2", "q_brand", "q_price", "q_bucket")
 CANDIDATE_FIELDS = tuple(f"c_{c}" for c in L.CARRIED if c != "product_id")
@@ -346,19 +347,16 @@ def content_reason(rows: DataFrame) -> tuple[Column, Column]:
 
 
 def enrich(rows: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """Adds c_* from the catalogue by ``product_id``.
-
-    A product that many lists share makes a hot key on the left; adaptive execution splits it.
-    """
+    """Adds c_* from the catalogue by ``product_id``; a product may be in very many lists."""
     fields = catalogue.select("product_id", *[F.col(n).alias(f"c_{n}") for n in L.CARRIED if n != "product_id"])
-    return rows.join(fields, "product_id")
+    return salted_join(rows, fields, "product_id")
 
 
 def content_based(catalogue: DataFrame, queries: DataFrame, edges: DataFrame, k: int = 10) -> DataFrame:
     """``edges`` are the nearest neighbours (src, dst, score, rank)."""
     rows = edges.filter(F.col("rank") <= k).select(
         F.col("src").alias("query_id"), F.col("dst").alias("product_id"), "score", "rank")
-    rows = enrich(rows.join(queries, "query_id"), catalogue)
+    rows = enrich(rows, catalogue).join(queries, "query_id")
     reason, tags = content_reason(rows)
     return _finish(rows, "content_based", F.col("score"), F.col("score"), reason, tags)
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from aislerank.functions import text
 from aislerank.functions.numbers import rounded
+from aislerank.operators.skew import salted_join
 from aislerank.session import cut, ship_package
 from aislerank.settings import TextModel
 
@@ -93,7 +94,7 @@ def collapse(vecs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     keyed = vecs.withColumn("digest", F.sha2(F.to_json("vec"), 256))
     distinct = keyed.groupBy("digest").agg(F.min("id").alias("rep"), F.first("vec").alias("vec"))
-    members = keyed.select("digest", "id").join(distinct.select("digest", "rep"), "digest").select("rep", "id")
+    members = salted_join(keyed.select("digest", "id"), distinct.select("digest", "rep"), "digest").select("rep", "id")
     return distinct.select(F.col("rep").alias("id"), "vec"), members
 
 
@@ -121,7 +122,7 @@ def routes(sources: DataFrame, blocks: DataFrame) -> DataFrame:
     peaks = blocks.select("block", F.explode("vec").alias("e")).groupBy("block", F.col("e.t").alias("t")).agg(
         F.max("e.w").alias("peak"))
     own = weights(sources).withColumnRenamed("id", "src")
-    return own.join(peaks, "t").groupBy("src", "block").agg(F.sum(F.col("w") * F.col("peak")).alias("bound"))
+    return salted_join(own, peaks, "t").groupBy("src", "block").agg(F.sum(F.col("w") * F.col("peak")).alias("bound"))
 
 
 def _matrix(pdf: pd.DataFrame, columns: np.ndarray) -> np.ndarray:
@@ -210,7 +211,7 @@ def neighbours(vecs: DataFrame, k: int, min_score: float = 0.0, size: int = BLOC
     document reads the list of its own vector.
     """
     distinct, members = collapse(vecs)
-    distinct = cut(distinct)
+    distinct, members = cut(distinct), cut(members)
     first_ids = (
         members.withColumn("n", F.row_number().over(Window.partitionBy("rep").orderBy("id")))
         .filter(F.col("n") <= k + 1)
@@ -223,7 +224,7 @@ def neighbours(vecs: DataFrame, k: int, min_score: float = 0.0, size: int = BLOC
         F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("dst").alias("id")))).alias("list"))
     own = F.slice(F.filter("list", lambda e: e["id"] != F.col("id")), 1, k)
     return (
-        members.join(lists, "rep")
+        salted_join(members, lists, "rep")
         .select(F.col("id").alias("src"), F.posexplode(own).alias("p", "e"))
         .select("src", F.col("e.id").alias("dst"), (-F.col("e.s")).alias("score"), (F.col("p") + 1).alias("rank")))
 

@@ -179,3 +179,13 @@ def test_no_cartesian_products(spark, sf):
         text = plan._sc._jvm.PythonSQLUtils.explainString(plan._jdf.queryExecution(), "simple")
         assert "CartesianProduct" not in text and "NestedLoop" not in text
         assert "WindowGroupLimit" in text or "TakeOrdered" in text
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_salted_join_equals_plain_join(spark, how):
+    from aislerank.operators.skew import salted_join
+
+    left = spark.range(600).select(F.when(F.col("id") < 400, 1).otherwise(F.col("id") % 50).alias("k"), F.col("id").alias("a"))
+    right = spark.range(40).select(F.col("id").alias("k"), (F.col("id") * 2).alias("b"))
+    rows = lambda df: sorted(map(tuple, df.select("k", "a", "b").collect()), key=str)
+    assert rows(salted_join(left, right, "k", how, floor=5, salts=4)) == rows(left.join(right, "k", how))
