@@ -8,10 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aislerank.functions.numbers import rounded
-from aislerank.operators import lists as L
 from aislerank.operators import strategies
 from aislerank.operators.skew import salted_join
-from aislerank.operators.strategies import CANDIDATE_FIELDS, QUERY_FIELDS
+from aislerank.operators.strategies import QUERY_FIELDS
 from aislerank.session import cut
 from aislerank.settings import HYBRID_WEIGHTS
 

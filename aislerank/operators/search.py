@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+# Shown where a review part is missing.
+NO_NAME, NO_TITLE, NO_BODY = "Amazon Customer", "Review", "No review content provided."
+
+
 def unnest_reviews(df: DataFrame, limit: int = 5) -> DataFrame:
     """Names, titles and bodies paired by position; missing parts take a default."""
     parts = lambda c: F.coalesce(
@@ -19,8 +23,8 @@ def unnest_reviews(df: DataFrame, limit: int = 5) -> DataFrame:
         F.nullif(F.trim(F.get(F.col(array), F.col("i") - 1)), F.lit("")), F.lit(default))
     return shown.select("*", F.explode(positions).alias("i")).select(
         "product_id", F.col("i").cast("bigint").alias("position"),
-        at("n", "Amazon Customer").alias("reviewer"), at("t", "Review").alias("title"),
-        at("c", "No review content provided.").alias("content"))
+        at("n", NO_NAME).alias("reviewer"), at("t", NO_TITLE).alias("title"),
+        at("c", NO_BODY).alias("content"))
 
 
 # ---------------------------------------------------------------- catalogue look-ups

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from aislerank.operators import search, strategies
+from aislerank.operators import search
 from aislerank.operators.interactions import validated
 from aislerank.plans import sqltext as S
 from aislerank.plans.book import query
 from aislerank.plans.loading import RAW
-from aislerank.plans.ranking import CORE, popular_cte, shelf
+from aislerank.plans.ranking import shelf
 from aislerank.sources.driver_tables import catalogue, interactions, raw_catalogue, table
 
 FEAT = S.with_(S.FEATURES)

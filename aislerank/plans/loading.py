@@ -12,7 +12,7 @@ from aislerank.plans.book import query
 from aislerank.session import scratch_path
 from aislerank.settings import RAW_COLUMNS
 from aislerank.sources import csv_catalogue, tables
-from aislerank.sources.driver_tables import catalogue, raw_catalogue, table
+from aislerank.sources.driver_tables import catalogue, raw_catalogue
 
 RAW = S.with_(S.RAW)
 CAT = S.with_(S.CATALOGUE)
@@ -219,9 +219,11 @@ def l9(spark, sf):
 def scalar(key: str, sql_expr: str, expr, source=raw_catalogue, cte=RAW, view="raw", key_column="ingest_order"):
     """A projection of one cleaned value per row."""
 
+    texts = "about_product" in sql_expr
+
     @query(key, cte + f"SELECT {key_column}, {sql_expr} AS value FROM {view}")
     def job(spark, sf):
-        return source(spark, sf).select(key_column, expr().alias("value"))
+        return source(spark, sf, texts).select(key_column, expr().alias("value"))
 
     return job
 
@@ -319,7 +321,7 @@ def t14(spark, sf):
 @query("T16_display_price", RAW + f"""
 SELECT ingest_order, coalesce(nullif({S.price('discounted_price')}, 0), nullif({S.price('actual_price')}, 0), 999) AS price FROM raw""")
 def t16(spark, sf):
-    typed = cleaning.parse_numbers(raw_catalogue(spark, sf))
+    typed = cleaning.parse_numbers(raw_catalogue(spark, sf, text=False))
     return typed.select("ingest_order", numbers.display_price(
         F.col("discounted_price"), F.col("actual_price")).alias("price"))
 
@@ -400,7 +402,7 @@ def f4(spark, sf):
 @query("F5_price_bucket", RAW + f"""
 SELECT ingest_order, {S.bucket(S.price('discounted_price'))} AS price_bucket FROM raw""")
 def f5(spark, sf):
-    return raw_catalogue(spark, sf).select(
+    return raw_catalogue(spark, sf, text=False).select(
         "ingest_order",
         features.price_bucket(numbers.parse_price(F.col("discounted_price"))).alias("price_bucket"))
 

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from aislerank.functions.numbers import rounded
-from aislerank.operators import drift, interactions, lists, metrics, search, strategies, vectors
+from aislerank.operators import drift, metrics, search, strategies, vectors
 from aislerank.plans import sqltext as S
 from aislerank.plans.book import query
 from aislerank.plans.loading import TREND
 from aislerank.plans.ranking import K, shelf
 from aislerank.plans.sessions import EVENTS, events
-from aislerank.plans.similarity import CONTENT, PAIRS, TFIDF, described, near_cte
+from aislerank.plans.similarity import CONTENT, PAIRS, described, near_cte
 from aislerank.session import cut, scratch_path
 from aislerank.sources.driver_tables import catalogue, table
 

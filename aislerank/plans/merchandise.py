@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from aislerank.functions.numbers import rounded
 from aislerank.operators import merchandising as M
-from aislerank.operators import quality, strategies, vectors
+from aislerank.operators import quality, strategies
 from aislerank.plans import sqltext as S
 from aislerank.plans.book import query
-from aislerank.plans.measuring import CON, content_recs
+from aislerank.plans.measuring import CON
 from aislerank.plans.ranking import K, brand_cte, category_cte, shelf
-from aislerank.plans.similarity import TERMS, TFIDF, texted
+from aislerank.plans.similarity import TERMS, texted
 from aislerank.session import scratch_path
 from aislerank.sources import csv_catalogue, tables
 from aislerank.sources.driver_tables import catalogue, raw_catalogue, table

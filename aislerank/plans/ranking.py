@@ -26,10 +26,6 @@ def shelf(spark, sf):
     return cut(features.add_trend(features.labelled(catalogue(spark, sf, text=False))))
 
 
-SIGNALS = """product_id, product_name, category, category_l1, category_l2, brand, discounted_price, actual_price,
-  discount_percentage, price_bucket, rating, rating_count, popularity_score"""
-
-
 def rated(r: str) -> str:
     return f"'rated ' || {S.fmt(r, 1)} || '/5'"
 

@@ -6,17 +6,14 @@ from pyspark.sql import functions as F
 
 from aislerank.functions.numbers import rounded
 from aislerank.operators import interactions as I
-from aislerank.operators import personal, strategies, vectors
+from aislerank.operators import personal, vectors
 from aislerank.plans import sqltext as S
 from aislerank.plans.book import query
-from aislerank.plans.loading import TREND
 from aislerank.plans.ranking import BASIC, tags
 from aislerank.plans.similarity import TFIDF, described
 from aislerank.session import cut
 from aislerank.settings import EVENT_WEIGHTS
 from aislerank.sources.driver_tables import catalogue, interactions, table
-from aislerank.sources.tables import serving_rows
-from aislerank.sources.driver_tables import raw_catalogue
 
 GAP = 6 * 3600
 POOL = 50

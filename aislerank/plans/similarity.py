@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from aislerank.functions import text
 from aislerank.functions.numbers import rounded
-from aislerank.operators import cleaning, explain, features, hybrid, search, strategies, vectors
+from aislerank.operators import cleaning, explain, features, hybrid, strategies, vectors
 from aislerank.plans import sqltext as S
 from aislerank.plans.book import query
 from aislerank.plans.finding import search_cte

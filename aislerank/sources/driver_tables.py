@@ -61,7 +61,7 @@ def catalogue(spark: SparkSession, sf_dir: str, text: bool = True) -> DataFrame:
     )
 
 
-def raw_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_catalogue(spark: SparkSession, sf_dir: str, text: bool = True) -> DataFrame:
     """The catalogue as untyped text with gaps, odd spellings and duplicates.
 
     ``ingest_order`` is the position in the file.  Rows whose key is 1 mod 17 come twice unchanged,
@@ -72,7 +72,7 @@ def raw_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     def gap(rest: int, value):
         return F.when(key % 17 != rest, value)
 
-    base = catalogue(spark, sf_dir).select(
+    base = catalogue(spark, sf_dir, text).select(
         "product_id",
         F.when(
             key % 101 != 0,
