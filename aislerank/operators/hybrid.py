@@ -141,7 +141,7 @@ def by_name(catalogue: DataFrame, phrases: DataFrame, edges: DataFrame | None, k
     """
     from aislerank.operators.search import search
 
-    hits = search(catalogue, phrases, 1).select("query", F.col("product_id").alias("source"))
+    hits = cut(search(catalogue, phrases, 1).select("query", F.col("product_id").alias("source")))
     wanted = hits.select(F.col("source").alias("query_id")).distinct()
     recs = hybrid(catalogue, strategies.pick_queries(catalogue, wanted), edges, k, weights)
     found = hits.join(recs.withColumnRenamed("query_id", "source"), "source")

@@ -173,13 +173,14 @@ def column_profile(df: DataFrame, columns: Sequence[str] = RAW_COLUMNS,
                    approximate: bool = False) -> DataFrame:
     """One row per column: nulls, percent null, distinct values, type.
 
-    The exact form expands each row once per column inside one aggregate; ``approximate=True``
-    keeps one sketch per column instead and is the choice for wide or very large tables.
+    Distinct values are counted over (column, value) pairs that combine map-side, a long value
+    standing in as its SHA-256; ``approximate=True`` keeps one sketch per column instead.
     """
-    distinct = F.approx_count_distinct if approximate else F.count_distinct
     aggregates = [F.count("*").alias("total")]
     for c in columns:
-        aggregates += [_count(F.col(c).isNull()).alias(f"n_{c}"), distinct(F.col(c)).alias(f"d_{c}")]
+        aggregates.append(_count(F.col(c).isNull()).alias(f"n_{c}"))
+        if approximate:
+            aggregates.append(F.approx_count_distinct(F.col(c)).alias(f"d_{c}"))
     types = dict(df.dtypes)
     rows = [
         F.struct(
@@ -187,8 +188,21 @@ def column_profile(df: DataFrame, columns: Sequence[str] = RAW_COLUMNS,
             F.lit(types[c]).alias("dtype"),
             F.col(f"n_{c}").alias("null_count"),
             (F.rint(F.col(f"n_{c}") * 10000 / F.greatest("total", F.lit(1))) / 100).alias("null_pct"),
-            F.col(f"d_{c}").alias("unique_count"),
+            (F.col(f"d_{c}") if approximate else F.lit(0).cast("bigint")).alias("unique_count"),
         )
         for c in columns
     ]
-    return df.agg(*aggregates).select(F.inline(F.array(*rows)))
+    profile = df.agg(*aggregates).select(F.inline(F.array(*rows)))
+    if approximate:
+        return profile
+
+    def short(c: str) -> Column:
+        value = F.col(c).cast("string")
+        return F.when(F.length(value) < 64, value).otherwise(F.sha2(value, 256))
+
+    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), short(c).alias("v")) for c in columns])
+    distinct = df.select(F.inline_outer(cells)).filter("v IS NOT NULL").distinct().groupBy("column_name").agg(
+        F.count("*").alias("found"))
+    # One row per column.
+    return profile.join(F.broadcast(distinct), "column_name", "left").select(
+        "column_name", "dtype", "null_count", "null_pct", F.coalesce("found", F.lit(0)).alias("unique_count"))

@@ -254,15 +254,19 @@ def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
         F.count("*").alias("products")).select("bin", rounded(lo + width * F.col("bin"), 6).alias("low"), "products")
 
 
-def position_in(rows: DataFrame, mode: str, name: str) -> DataFrame:
-    """(product_id, position) under a sort mode: ranks inside price or rating blocks plus offsets."""
+def position_in(rows: DataFrame, mode: str, name: str, blocks: int = 64) -> DataFrame:
+    """(product_id, position) under a sort mode: a rank inside each block of values, the blocks cut
+    by a sketch of the values, plus the sizes of the blocks before."""
     value = {"price_asc": F.col("discounted_price"), "price_desc": -F.col("discounted_price"),
              "rating": -F.col("rating")}[mode]
     keyed = rows.select("product_id", value.alias("_v"))
-    sizes = keyed.groupBy("_v").agg(F.count("*").alias("_n"))
-    running = F.sum("_n").over(Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, -1))
-    # One row per distinct value, far fewer than products.
-    offsets = sizes.select("_v", F.coalesce(running, F.lit(0)).alias("_o"))
-    inner = F.row_number().over(Window.partitionBy("_v").orderBy("product_id"))
-    return keyed.withColumn("_r", inner).join(offsets, "_v").select(
+    edges = keyed.agg(F.percentile_approx("_v", [i / blocks for i in range(1, blocks)], 1000)).scalar()
+    blocked = keyed.withColumn("_edges", edges).withColumn(
+        "_b", F.size(F.filter("_edges", lambda e: e < F.col("_v")))).drop("_edges")
+    sizes = blocked.groupBy("_b").agg(F.count("*").alias("_n"))
+    # One row per block.
+    before = F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select("_b", F.coalesce(before, F.lit(0)).alias("_o"))
+    inner = F.row_number().over(Window.partitionBy("_b").orderBy("_v", "product_id"))
+    return blocked.withColumn("_r", inner).join(offsets, "_b").select(
         "product_id", (F.col("_r") + F.col("_o")).cast("bigint").alias(name))
