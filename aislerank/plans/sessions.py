@@ -9,8 +9,8 @@ from aislerank.operators import interactions as I
 from aislerank.operators import personal, vectors
 from aislerank.plans import sqltext as S
 from aislerank.plans.book import query
-from aislerank.plans.ranking import BASIC, tags
-from aislerank.plans.similarity import TFIDF, described
+from aislerank.plans.ranking import BASIC, rated, reviews, tags
+from aislerank.plans.similarity import PAIRS, TFIDF, described, near_cte
 from aislerank.session import cut
 from aislerank.settings import EVENT_WEIGHTS
 from aislerank.sources.driver_tables import catalogue, interactions, table
@@ -180,13 +180,29 @@ def p6(spark, sf):
     return pool.select("session_id", "product_id", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
+def mmr_cte(pool: str, k: int) -> str:
+    """The greedy choice written out step by step over a pool (session_id, product_id, score, rank)."""
+    steps = [f"m1 AS MATERIALIZED (SELECT session_id, product_id, score, rank AS place, 1 AS rank FROM {pool} WHERE rank = 1)"]
+    for i in range(2, k + 1):
+        steps.append(f"""m{i} AS MATERIALIZED (SELECT * FROM m{i - 1} UNION ALL SELECT session_id, product_id, score, place, {i} FROM (
+  SELECT session_id, product_id, score, place, row_number() OVER (PARTITION BY session_id ORDER BY 0.6::DOUBLE * score - 0.4::DOUBLE * worst DESC, place) AS n FROM (
+    SELECT p.session_id, p.product_id, p.score, p.rank AS place, max(coalesce(s.score, 0)) AS worst
+    FROM {pool} p JOIN m{i - 1} c ON c.session_id = p.session_id LEFT JOIN sims s ON s.src = p.product_id AND s.dst = c.product_id
+    WHERE (p.session_id, p.product_id) NOT IN (SELECT (session_id, product_id) FROM m{i - 1}) GROUP BY ALL)) WHERE n = 1)""")
+    return ",\n".join(steps)
+
+
+MMR_OUT = f"SELECT session_id, product_id, score, rank::BIGINT AS rank FROM m{K}"
+SIMS = PAIRS.replace(TFIDF + ",", "").strip()
+
+
 def picks(spark, sf):
     df, vecs, hist = prepared(spark, sf)
     pool = cut(personal.candidate_pool(personal.profiles(hist, vecs), vecs, hist, POOL))
     return df, hist, pool, vecs
 
 
-@query("P7_mmr")
+@query("P7_mmr", S.with_(POOLED, SIMS, mmr_cte("pool", K)) + MMR_OUT)
 def p7(spark, sf):
     _, _, pool, vecs = picks(spark, sf)
     return personal.mmr(pool, vecs, K)
@@ -276,7 +292,8 @@ def p11(spark, sf):
     return personal.shaped(rows, serving).drop("discount_percentage", "recommendation_reason")
 
 
-@query("P12_single_item")
+@query("P12_single_item", S.with_(PAIRS, near_cte(POOL), "single AS (SELECT src AS session_id, dst AS product_id, score, rank FROM near)",
+                                  mmr_cte("single", K)) + MMR_OUT)
 def p12(spark, sf):
     df = described(spark, sf)
     _, vecs = vectors.fit(df)
@@ -285,7 +302,16 @@ def p12(spark, sf):
     return personal.mmr(near, vecs, K)
 
 
-@query("P_sessions_end_to_end")
+_TREND_SAID = f"""'Trending #' || h.rank || ' — ' || array_to_string(list_filter(['in ' || category_l1,
+  CASE WHEN rating >= 4.0 THEN {rated('rating')} END, CASE WHEN rating_count >= 500 THEN {reviews('rating_count')} END], lambda t: t IS NOT NULL), ', ')"""
+
+
+@query("P_sessions_end_to_end", S.with_(MODES, SIMS, mmr_cte("pool", K), SIGNAL, INTERESTS) + f"""
+SELECT session_id AS query_id, product_id, rank::BIGINT AS rank, score, least(1.0, score) AS confidence_score, 'personalized' AS mode, {_SAID} AS recommendation_reason
+FROM m{K} JOIN features USING (product_id) JOIN signal USING (session_id) LEFT JOIN liked USING (session_id)
+UNION ALL SELECT query_id, h.product_id, h.rank, h.trending_score, h.trending_score,
+  CASE WHEN query_id IN (SELECT session_id FROM hist) THEN 'fallback' ELSE 'cold_start' END, {_TREND_SAID}
+FROM asked, hot h JOIN trend t ON t.product_id = h.product_id WHERE query_id NOT IN (SELECT session_id FROM m{K})""")
 def p_all(spark, sf):
     df = described(spark, sf)
     _, vecs = vectors.fit(df)
