@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from aislerank.llm import dac, packing, simhash
+from aislerank.llm import bitslice, dac, html_text, mixing, packing, secret_scan, simhash, toxicity
 
 QUERIES = {
+    "op3_hypergeometric_tree": mixing.op3_hypergeometric_tree,
     "op4_popcount_grid": simhash.op4_popcount_grid,
     "op5_swap_packing": packing.op5_swap_packing,
+    "op6_bit_sliced_top": bitslice.op6_bit_sliced_top,
+    "op7_line_blocks": html_text.op7_line_blocks,
+    "op8_ftrl_toxicity": toxicity.op8_ftrl_toxicity,
     "op9_direct_codes": dac.op9_direct_codes,
+    "op10_trigram_index": secret_scan.op10_trigram_index,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {"op6_bit_sliced_top": bitslice.OP6_SQL}

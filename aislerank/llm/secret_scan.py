@@ -258,12 +258,13 @@ def mask(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRET]
 
 
 def op10_trigram_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spans = F.col("spans")
-    base = F.filter("spans", lambda s: s["kind"].isin(*[r.kind for r in BASE]))
+    def of(*kinds: str):
+        return F.filter("spans", lambda span: span["kind"].isin(*kinds))
 
     def joined(column):
         return F.array_join(F.transform(column, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
-    counts = [F.size(F.filter(spans, lambda s, k=r.kind: s["kind"] == k)).cast("long").alias(f"n_{r.kind}") for r in BASE]
+    counts = [F.size(of(rule.kind)).cast("long").alias(f"n_{rule.kind}") for rule in BASE]
+    base = of(*[rule.kind for rule in BASE])
     return find(table(spark, sf_dir, "documents")).select(
-        "doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(spans).alias("spans"))
+        "doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from aislerank.llm.common import ready, remainder, store, table, unit_hash
 
 BITS = 20
-SAMPLE = 24_000
+SAMPLE = 16_000
 THRESHOLD = 0.7
 _WORD = re.compile(r"[^\W_]+")
 _KEEP = 400_000
@@ -117,7 +117,7 @@ def fit(training: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
     rows = training.select(unit_hash(8, F.col("doc_id")).alias("rank"), "text", F.col("toxic").cast("int")).mapInArrow(
         features, "rank long, grams array<int>, toxic int")
-    return rows.groupBy(F.lit(1)).applyInPandas(learn, "index long, weight double")
+    return rows.groupBy().applyInPandas(learn, "index long, weight double")
 
 
 def scores(docs: DataFrame, weights: DataFrame, keep: list[str]) -> DataFrame:
