@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from aislerank.llm import bitslice, dac, html_text, mixing, packing, secret_scan, simhash, toxicity
+from aislerank.llm import bitslice, dac, html_text, language, mixing, outliers, packing, secret_scan, simhash, toxicity
 
 QUERIES = {
+    "op1_robust_outliers": outliers.op1_robust_outliers,
+    "op2_family_then_pairs": language.op2_family_then_pairs,
     "op3_hypergeometric_tree": mixing.op3_hypergeometric_tree,
     "op4_popcount_grid": simhash.op4_popcount_grid,
     "op5_swap_packing": packing.op5_swap_packing,
