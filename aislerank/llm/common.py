@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,10 +26,37 @@ def store(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    if _OPEN:
+        _OPEN[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_OPEN: list[list[str]] = []
+_LEFT: list[str] = []
+
+
+@contextmanager
+def stage_scratch(spark: SparkSession) -> Iterator[None]:
+    """What a stage stores, which its lazy result may read, is removed when the next stage begins.
+
+    By then the result has been written: stages are handed tables that were read again.
+    """
+    while _LEFT:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_LEFT.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        _LEFT.extend(_OPEN.pop())
+
+
+def row_keys(docs: DataFrame) -> DataFrame:
+    """Adds _a and _b, which name a row by its doc_id and text; only repeated rows share them."""
+    return docs.withColumns({"_a": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)),
+                             "_b": F.xxhash64(F.col("doc_id").isNull(), F.coalesce("text", F.lit("")), F.col("text").isNull())})
+
 def ready(spark: SparkSession) -> None:
     """Let Python workers on any executor import this library."""
     ship_package(spark)

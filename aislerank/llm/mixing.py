@@ -19,11 +19,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from aislerank.llm.common import ready, store, table, unit_hash, word_count
+from aislerank.llm.common import ready, row_keys, store, table, unit_hash, word_count
 
 WEIGHTS = (1, 2, 3)
 PASSES = 3
@@ -31,7 +30,7 @@ BLOCK_WORDS = 1 << 16
 BLOCK_ROWS = 1 << 10
 #: A source has at most so many blocks; beyond that blocks grow, so that what is ordered per source stays bounded.
 MOST_BLOCKS = 1 << 16
-SHARD_WORDS = 1 << 21
+SHARD_WORDS = 1 << 20
 #: Levels of the tree that one task splits at once.
 LEVELS = 6
 SEED = 3
@@ -69,13 +68,6 @@ def _blocks(source_size: Column, n_docs: Column) -> Column:
     return F.least(wanted, F.lit(MOST_BLOCKS)).cast("long")
 
 
-def _same(left: DataFrame, right: DataFrame, *keys: str) -> Column:
-    condition = F.lit(True)
-    for key in keys:
-        condition &= left[key].eqNullSafe(right[key])
-    return condition
-
-
 def block_plan(dealt: DataFrame, targets: DataFrame) -> DataFrame:
     """source, block, rank (place in the source's permuted order), draws (whole passes) and part.
 
@@ -169,21 +161,20 @@ def shard_quotas(totals: DataFrame, shards: int) -> DataFrame:
 def mix(docs: DataFrame, shard_words: int = SHARD_WORDS) -> tuple[DataFrame, DataFrame]:
     """The mix and the account of it.
 
-    Mix: every taken copy as (row, copy, shard, place), place a hash that orders the shard. Account: row, doc_id, size,
-    source, source_size, target, copies for every row of docs. `row` numbers the rows of the stored input.
+    Mix: every taken copy as (row, copy, shard, place), place a hash that orders the shard. Account: row, _a, _b (see
+    row_keys), doc_id, size, source, source_size, target, copies for every row of docs.
     """
     spark = docs.sparkSession
     ready(spark)
-    sized = store(docs.select(F.col("doc_id").cast("long"), "source", word_count(F.col("text")).alias("size"),
-                              F.coalesce(F.xxhash64("text"), F.lit(0)).alias("digest"),
-                              F.monotonically_increasing_id().alias("row")), "sizes")
+    sized = store(row_keys(docs).select(F.col("doc_id").cast("long"), "source", word_count(F.col("text")).alias("size"),
+                                        "_a", "_b", F.monotonically_increasing_id().alias("row")), "sizes")
     numbered = source_targets(sized).withColumn(
         "number", F.row_number().over(Window.orderBy(*map(F.expr, _SOURCES))).cast("long"))
     targets = store(numbered, "targets").withColumn("blocks", _blocks(F.col("source_size"), F.col("n_docs")))
 
     right = targets.withColumnRenamed("source", "s")
     joined = sized.join(right, sized["source"].eqNullSafe(right["s"])).drop("s")
-    order = unit_hash(SEED, F.col("doc_id"), F.col("digest"))
+    order = unit_hash(SEED, F.col("_a"), F.col("_b"))
     dealt = joined.withColumn("order", order).withColumn("block", F.pmod("order", "blocks"))
     plan = store(block_plan(dealt, targets).join(
         targets.select(F.col("source").alias("s"), "number"), F.col("source").eqNullSafe(F.col("s"))).drop("s"), "blocks")
@@ -210,7 +201,7 @@ def mix(docs: DataFrame, shard_words: int = SHARD_WORDS) -> tuple[DataFrame, Dat
     whole = dealt.join(plan.select("number", "block", "passes", "part", "words"), ["number", "block"])
     extra = F.when(F.col("part") == F.col("words"), (F.col("part") > 0).cast("long")).otherwise(F.coalesce("extra", F.lit(0)))
     account = store(whole.join(store(chosen, "ends"), "row", "left").select(
-        "row", "doc_id", "size", "source", "source_size", "target", "number", "block", "order",
+        "row", "_a", "_b", "doc_id", "size", "source", "source_size", "target", "number", "block", "order",
         F.when(F.col("size") > 0, F.col("passes") + extra).otherwise(F.lit(0)).alias("copies")), "account")
     copies = account.where("copies > 0").join(homes, ["number", "block"]).select(
         "row", "order", "copies", F.explode("homes").alias("home")).where("home.copy <= copies")

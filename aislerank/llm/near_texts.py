@@ -1,0 +1,120 @@
+"""Near-duplicate texts by SimHash candidates and an exact test of similarity.
+
+Texts with equal sets of shingles are one class. Classes become candidates in two ways: their fingerprints differ in at
+most two bits (the popcount grid of simhash.py), or they agree in a partial fingerprint. A partial fingerprint is the
+SimHash of those shingles whose hash ends in a given number; the numbers are as many as there are shingles / 4, rounded
+to the powers of two on both sides, and PARTS of them are used. Texts of similarity 0.8 differ in so few shingles that
+some part is untouched: of 8 parts at each of two widths, about 97 in 100 such pairs have one in common, and more as the
+similarity rises.
+
+All classes under a common key are compared with its leaders, the classes that come first in each of three hashed orders:
+stars, not pairs. A candidate is a link if the Jaccard similarity of the whole shingle sets is high enough. Links make
+components. Texts without words are one class; null texts count as empty.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from aislerank.llm import simhash
+from aislerank.llm.common import ready, row_keys, store, unit_hash
+from aislerank.llm.components import components
+from aislerank.session import cut
+
+PARTS = 8
+ORDERS = 3
+
+
+def partial_keys(shingles: np.ndarray) -> np.ndarray:
+    """Keys of the partial fingerprints of a set of shingle hashes (ascending)."""
+    import xxhash
+
+    level = math.log2(max(4, len(shingles)) / 4)
+    keys = []
+    for width in sorted({math.floor(level), math.ceil(level)}):
+        part = shingles & np.uint64((1 << width) - 1)
+        chosen = part < PARTS
+        some, part = shingles[chosen], part[chosen]
+        for number in np.unique(part):
+            word = simhash.majority(some[part == number])
+            keys.append(xxhash.xxh64_intdigest(f"{width}:{number}:{word}"))
+    return np.array(keys, np.uint64).view(np.int64)
+
+
+def features(docs: DataFrame, words: int) -> DataFrame:
+    """_a, _b, class, fp and keys of every row."""
+    import xxhash
+
+    ready(docs.sparkSession)
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            classes, fps, keys = [], [], []
+            for text in batch.column(2):
+                hashes = simhash.shingle_hashes(text.as_py(), words)
+                distinct = np.unique(hashes)
+                classes.append(xxhash.xxh64_intdigest(distinct.tobytes()) if len(distinct) else 0)
+                fps.append(simhash.majority(hashes))
+                keys.append(partial_keys(distinct) if len(distinct) else np.zeros(0, np.int64))
+            signed = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (classes, fps)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), *signed, pa.array(keys, pa.list_(pa.int64()))],
+                names=["_a", "_b", "class", "fp", "keys"])
+
+    return row_keys(docs).select("_a", "_b", "text").mapInArrow(
+        compute, "_a long, _b long, class long, fp long, keys array<long>")
+
+
+def candidates(found: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different classes to be compared."""
+    members = found.select("class", F.explode("keys").alias("key"))
+    orders = [F.min(F.struct(unit_hash(n, F.col("class")), "class"))["class"] for n in range(ORDERS)]
+    leaders = store(members.groupBy("key").agg(F.array_distinct(F.array(*orders)).alias("leaders"),
+                                               F.min("class").alias("low"), F.max("class").alias("high"))
+                    .where("low <> high").select("key", "leaders"), "leaders")
+    by_parts = members.join(leaders, "key").select(F.col("class").alias("a"), F.explode("leaders").alias("b"))
+    first = cut(found.groupBy("fp").agg(F.min("class").alias("first")))
+    near = simhash.links(first.select("fp"))
+    one, two = first.toDF("a", "x"), first.toDF("b", "y")
+    by_bits = near.join(one, "a").join(two, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    same_bits = found.join(first, "fp").select(F.col("class").alias("a"), F.col("first").alias("b"))
+    pairs = by_parts.unionByName(by_bits).unionByName(same_bits).where("a <> b")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
+    """class and its set of shingle hashes, from class and text."""
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(simhash.shingle_hashes(t.as_py(), words)).view(np.int64) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["class", "shingles"])
+
+    return texts.select("class", "text").mapInArrow(compute, "class long, shingles array<long>")
+
+
+def first_of_each_group(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs without near copies: of each group the row with the smallest doc_id stays (null ids last)."""
+    found = store(features(docs, words), "near-features")
+    pairs = store(candidates(found), "near-pairs")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    sources = (found.groupBy("class").agg(F.min(F.struct("_a", "_b")).alias("row")).join(asked, "class", "left_semi")
+               .select("class", "row._a", "row._b"))
+    texts = row_keys(docs).select("_a", "_b", "text").join(store(sources, "near-sources"), ["_a", "_b"])
+    sets = store(shingle_sets(texts, words).dropDuplicates(["class"]), "near-sets")
+    both = (pairs.join(sets.toDF("a", "left"), "a").join(sets.toDF("b", "right"), "b")
+            .withColumn("common", F.size(F.array_intersect("left", "right")))
+            .withColumn("all", F.size("left") + F.size("right") - F.col("common")))
+    roots = components(both.where(F.col("common") >= similarity * F.col("all")).select("a", "b"))
+    rooted = found.join(roots.withColumnRenamed("node", "class"), "class", "left").select(
+        "_a", "_b", F.coalesce("root", "class").alias("root"))
+    kept = store(rooted.groupBy("root").agg(F.min(F.struct(F.col("_a") == -1, F.col("_a").alias("_a"), F.col("_b").alias("_b")))
+                                            .alias("row")).select("row._a", "row._b"), "near-kept")
+    repeats = Window.partitionBy("_a", "_b").orderBy("_a", "_b")
+    return (row_keys(docs).join(kept, ["_a", "_b"], "left_semi").withColumn("_n", F.row_number().over(repeats))
+            .where("_n = 1").select(*docs.columns))

@@ -30,21 +30,25 @@ SEED = 42
 SEGMENTS = 16
 
 
-def fingerprint(text: str | None, words: int = 3) -> int:
-    """Unsigned 64-bit SimHash over shingles of lower-cased (A-Z) words, repeats included."""
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """XXH64 of every shingle of the lower-cased (A-Z) words; of the whole sequence if it has fewer words."""
     import xxhash
 
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes split at exactly the six spaces
     if not parts:
-        return 0
+        return np.zeros(0, "<u8")
     digest = xxhash.xxh64_intdigest
-    if len(parts) <= words:
-        return digest(b" ".join(parts), SEED)
     line = b" ".join(parts)
+    if len(parts) <= words:
+        return np.array([digest(line, SEED)], "<u8")
     lengths = np.fromiter(map(len, parts), np.int64, len(parts))
     ends = np.cumsum(lengths + 1) - 1
     starts = (ends - lengths)[: len(parts) - words + 1].tolist()
-    hashes = np.array([digest(line[a:b], SEED) for a, b in zip(starts, ends[words - 1 :].tolist())], "<u8")
+    return np.array([digest(line[a:b], SEED) for a, b in zip(starts, ends[words - 1 :].tolist())], "<u8")
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The 64-bit word of the bits that are set in over half of the hashes."""
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         bits = np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -52,6 +56,11 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(hashes), bitorder="little").tobytes(), "little")
 
 
+def fingerprint(text: str | None, words: int = 3) -> int:
+    """Unsigned 64-bit SimHash over the shingles of a text, repeats included."""
+    return majority(shingle_hashes(text, words))
+
+
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     """doc_id and fp (the fingerprint as a signed long) of every row."""
     ready(docs.sparkSession)
