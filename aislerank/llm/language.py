@@ -109,7 +109,7 @@ def sample(docs: DataFrame, learn: Column) -> DataFrame:
     order = Window.partitionBy("lang").orderBy(unit_hash(2, F.col("doc_id")), "doc_id")
     chosen = (keys.join(F.broadcast(many.select("lang")), "lang").withColumn("n", F.row_number().over(order))
               .where(F.col("n") <= PER_LANGUAGE).orderBy("n", "lang", "doc_id").limit(SAMPLE).select("doc_id", "lang"))
-    return docs.select("doc_id", "text").join(chosen.distinct(), "doc_id")
+    return docs.select("doc_id", "text").join(F.broadcast(chosen.distinct()), "doc_id")  # SAMPLE rows at most
 
 
 def has_letter(text: Column) -> Column:
