@@ -9,8 +9,8 @@ coarse value; rows within that bound of the k-th coarse score are the boundary,
 exactly. So are ties: every row that may equal the k-th score is among them.
 
 Queries are met with all rows in blocks: a block of queries and a block of rows are one unit of work, and each query puts
-out at most k rows of a block. Vectors that are null, or hold null or non-finite components, or have a null id, take no
-part; neither do scaled components beyond 2^26 in size, whose products need not fit a long. A query meets vectors of its
+out at most k rows of a block. Vectors that are null or empty, hold null or non-finite components, or have a null id take
+no part; neither do scaled components beyond 2^26 in size, whose products need not fit a long. A query meets vectors of its
 own length only. Rows that repeat an id are candidates of their own, but never of a query of that id. An empty table
 gives no rows; other columns are not read.
 """
@@ -135,7 +135,7 @@ def integers(vectors: DataFrame, key: str = "vec_id", value: str = "embedding",
     """vec_id, dims and vector (array<long>) of the rows that take part."""
     x = F.transform(value, lambda c: c.cast("double") * scale)
     fine = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < LIMIT))
-    return (vectors.where(F.col(key).isNotNull() & F.col(value).isNotNull()).withColumn("x", x).where(fine)
+    return (vectors.where(F.col(key).isNotNull() & (F.size(value) > 0)).withColumn("x", x).where(fine)
             .select(F.col(key).cast("long").alias("vec_id"), F.size("x").alias("dims"),
                     F.transform("x", lambda c: F.floor(c).cast("long")).alias("vector")))
 
@@ -215,7 +215,7 @@ def op6_bit_sliced_top(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP6_SQL = f"""
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)::BIGINT) AS x FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
     AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.x, c.x), lambda z: z[1] * z[2]))::BIGINT AS score
   FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.x) = len(c.x) WHERE q.vec_id % 100 = 0),
