@@ -35,11 +35,11 @@ _KEEP = 400_000
 
 @dataclass(frozen=True)
 class Settings:
-    alpha: float = 2.0
+    alpha: float = 4.0
     beta: float = 1.0
     l1: float = 5.0
     l2: float = 0.1
-    passes: int = 8
+    passes: int = 6
 
 
 class Hasher(dict):
