@@ -6,16 +6,25 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Characters dropped before a number is read.
-CURRENCY_CHARS = r"[₹$€£¥,\s]"
-PERCENT_CHARS = r"[%\s]"
+CURRENCY_CHARS = r"(?U)[₹$€£¥,\s\x1c-\x1f]"
+PERCENT_CHARS = r"(?U)[%\s\x1c-\x1f]"
 CHECK_CHARS = r"[₹,% ]"
 
+# What counts as white space at the ends of a text, no-break and ideographic spaces included.
+WHITE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B)))
+    + "\u2028\u2029\u202f\u205f\u3000")
+
 PLAIN_NUMBER = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 
 
+def trimmed_text(text: Column) -> Column:
+    return F.btrim(text, F.lit(WHITE))
+
+
 def to_number(text: Column) -> Column:
     """Double, or NULL when the text is not a finite plain number."""
-    trimmed = F.trim(text)
+    trimmed = trimmed_text(text)
     return F.when(trimmed.rlike(PLAIN_NUMBER), trimmed.try_cast("double"))
 
 
@@ -47,13 +56,13 @@ def checked_number(text: Column) -> Column:
 
 def safe_number(text: Column, default: float = 0.0) -> Column:
     """Keep digits, dot and minus; anything unreadable becomes the default."""
-    kept = F.regexp_replace(F.trim(text), r"[^0-9.-]", "")
-    blank = F.lower(F.trim(text)).isin("nan", "none", "null")
+    kept = F.regexp_replace(trimmed_text(text), r"[^0-9.-]", "")
+    blank = F.lower(trimmed_text(text)).isin("nan", "none", "null")
     return F.coalesce(F.when(~blank, to_number(kept)), F.lit(float(default)))
 
 
 def safe_text(text: Column, default: str = "") -> Column:
-    trimmed = F.trim(text)
+    trimmed = trimmed_text(text)
     return F.when(
         trimmed.isNull() | F.lower(trimmed).isin("nan", "none", "null"), F.lit(default)
     ).otherwise(trimmed)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from aislerank.functions.numbers import trimmed_text
 from aislerank.settings import EVENT_WEIGHTS
 
 EVENT_TYPES = tuple(EVENT_WEIGHTS)
@@ -21,9 +22,9 @@ def event_time(value: Column) -> Column:
 
 def validated(events: DataFrame) -> DataFrame:
     """Known types in lower case, anything else a view; events without a product are rejected."""
-    kind = F.lower(F.trim("event_type"))
+    kind = F.lower(trimmed_text(F.col("event_type")))
     return (
-        events.withColumn("product_id", F.trim("product_id")).filter("product_id <> ''")
+        events.withColumn("product_id", trimmed_text(F.col("product_id"))).filter("product_id <> ''")
         .withColumn("event_type", F.when(kind.isin(*EVENT_TYPES), kind).otherwise("view")))
 
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aislerank.functions.numbers import checked_number
+from aislerank.functions.numbers import checked_number, trimmed_text
 from aislerank.settings import RAW_COLUMNS
 
 
@@ -64,7 +64,7 @@ def schema_check(df: DataFrame, expected: Sequence[str] = RAW_COLUMNS,
 
 def is_blank(column: Column) -> Column:
     """Whitespace only or the literal nan; a missing value counts, as its text form is nan."""
-    return column.isNull() | (F.trim(column) == "") | (column == "nan")
+    return column.isNull() | (trimmed_text(column) == "") | (column == "nan")
 
 
 def row_digest(columns: Sequence[str]) -> Column:

@@ -121,14 +121,24 @@ def brand_similarity(catalogue: DataFrame, queries: DataFrame, k: int = 10) -> D
 
 # ---------------------------------------------------------------- price
 
-_FAN, _LEVELS = 4, 14
+_FAN = 4
+_MOST_CENTS = 4e18  # larger prices are taken for this one, so that a dirty value cannot overflow
 
 
 def _cents(price: Column) -> Column:
-    return F.rint(price * 100).cast("bigint")
+    return F.rint(F.least(price * 100, F.lit(_MOST_CENTS))).cast("bigint")
 
 
-def _cover(low: Column, high: Column) -> Column:
+def _levels(priced: DataFrame, tolerance: float) -> int:
+    """Levels of the ladder of blocks: the top one holds every range in a few blocks."""
+    most = (priced.agg(F.max("cents")).first()[0] or 0) * (1 + tolerance)
+    levels = 1
+    while _FAN**levels <= most:
+        levels += 1
+    return levels
+
+
+def _cover(low: Column, high: Column, levels: int) -> Column:
     """The aligned blocks of 4^level cents that tile [low, high], as (level, block) structs.
 
     On each level only the blocks whose parent sticks out of the range are needed: at most three on
@@ -145,9 +155,9 @@ def _cover(low: Column, high: Column) -> Column:
         return F.transform(seq, lambda x: F.struct(F.lit(level).alias("level"), x.alias("block")))
 
     parts = []
-    for level in range(_LEVELS):
+    for level in range(levels):
         first, last = full(level)
-        if level == _LEVELS - 1:
+        if level == levels - 1:
             parts.append(run(first, last, level))
             continue
         up_first, up_last = full(level + 1)
@@ -166,10 +176,11 @@ def price_bands(catalogue: DataFrame, n: int, tolerance: float = 0.20) -> DataFr
     is (products + distinct prices) x levels, however dense the prices are.
     """
     priced = catalogue.filter(F.col("discounted_price") > 0).withColumn("cents", _cents(F.col("discounted_price")))
+    levels = _levels(priced, tolerance)
     filed = priced.select("*", F.explode(F.array(*[
         F.struct(F.lit(level).alias("level"),
                  F.floor(F.col("cents") / F.lit(_FAN**level)).cast("bigint").alias("block"))
-        for level in range(_LEVELS)])).alias("_b")).select(
+        for level in range(levels)])).alias("_b")).select(
             "*", F.struct("price_bucket", "_b.level", "_b.block").alias("node"))
     nodes = L.group_lists(filed, "node", n)
 
@@ -177,13 +188,13 @@ def price_bands(catalogue: DataFrame, n: int, tolerance: float = 0.20) -> DataFr
         return F.try_divide(F.abs(c / 100.0 - F.col("cents") / 100.0), F.col("cents") / 100.0) <= tolerance
 
     low = F.ceil(F.col("cents") * (1 - tolerance)).cast("bigint")
-    high = F.floor(F.col("cents") * (1 + tolerance)).cast("bigint")
+    high = F.floor(F.least(F.col("cents") * (1 + tolerance), F.lit(9e18))).cast("bigint")
     # The tolerance is a ratio of doubles; settle the two end points by that ratio itself.
     points = priced.select("price_bucket", "cents").distinct().select(
         "price_bucket", "cents",
         F.when(within(low - 1), low - 1).when(within(low), low).otherwise(low + 1).alias("low"),
         F.when(within(high + 1), high + 1).when(within(high), high).otherwise(high - 1).alias("high"))
-    tiled = points.select("price_bucket", "cents", F.explode(_cover(F.col("low"), F.col("high"))).alias("_b")).select(
+    tiled = points.select("price_bucket", "cents", F.explode(_cover(F.col("low"), F.col("high"), levels)).alias("_b")).select(
         "price_bucket", "cents", F.struct("price_bucket", "_b.level", "_b.block").alias("node"))
     best = tiled.join(nodes, "node").groupBy("price_bucket", "cents").agg(
         F.flatten(F.collect_list("items")).alias("items"))
@@ -196,8 +207,9 @@ def price_bands(catalogue: DataFrame, n: int, tolerance: float = 0.20) -> DataFr
 def price_similarity(catalogue: DataFrame, queries: DataFrame, k: int = 10, tolerance: float = 0.20) -> DataFrame:
     """Same bucket within the tolerance, then same bucket, then the neighbouring bucket.
 
-    The second tier is read only when the band holds fewer than k others, so 2k + 1 rows of the
-    bucket suffice; likewise k rows of the neighbour.
+    The band's rule (whole cents) decides both tiers: the second one is the bucket without the ids
+    of the band.  It is read only when the band holds fewer than k others, all of which are then in
+    its list, so 2k + 1 rows of the bucket suffice; likewise k rows of the neighbour.
     """
     bands = price_bands(catalogue, k + 1, tolerance).withColumn("point", F.struct("price_bucket", "cents")).select("point", "items")
     tier = L.group_lists(catalogue.filter("discounted_price > 0").withColumn("bucket", F.col("price_bucket")), "bucket", 2 * k + 1)
@@ -208,8 +220,8 @@ def price_similarity(catalogue: DataFrame, queries: DataFrame, k: int = 10, tole
         F.when(F.col("q_price") > 0, F.col("q_bucket")).alias("bucket"),
         beside[F.col("q_bucket")].alias("beside"))
     q = L.attach(L.attach(L.attach(q, bands, "point", "band"), tier, "bucket", "same"), nearby, "beside", "next")
-    price = F.col("q_price")
-    rest = F.filter(_not_self(F.col("same")), lambda e: F.try_divide(F.abs(e["discounted_price"] - price), price) > tolerance)
+    in_band = F.coalesce(F.transform("band", lambda e: e["product_id"]), F.array().cast("array<string>"))
+    rest = F.filter(_not_self(F.col("same")), lambda e: ~F.array_contains(in_band, e["product_id"]))
     rows = L.unfold(q, L.tiers((_not_self(F.col("band")), 1.0), (rest, 0.7), (_not_self(F.col("next")), 0.4)), k, QUERY_FIELDS)
     blend = F.col("match") * 0.65 + F.col("c_popularity_score") * 0.35
     cost, bucket = F.col("c_discounted_price"), F.col("c_price_bucket")

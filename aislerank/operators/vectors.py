@@ -16,6 +16,8 @@ from aislerank.session import cut, ship_package
 from aislerank.settings import TextModel
 
 SCORE_DIGITS = 9
+# How far rounding may put a score above its bound.
+SLACK = 1e-6
 # Vectors per block: two dense blocks and their product stay around 200 MB at 5000 terms.
 BLOCK = 2048
 
@@ -116,13 +118,15 @@ def in_blocks(vecs: DataFrame, size: int = BLOCK) -> DataFrame:
         "block", F.floor(place / size).cast("int")).select("id", "vec", "block")
 
 
-def routes(sources: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(src, block, bound): the blocks a source shares a term with, and the most any vector there
-    can score: the sum over its terms of its weight times the block's largest weight."""
-    peaks = blocks.select("block", F.explode("vec").alias("e")).groupBy("block", F.col("e.t").alias("t")).agg(
-        F.max("e.w").alias("peak"))
-    own = weights(sources).withColumnRenamed("id", "src")
-    return salted_join(own, peaks, "t").groupBy("src", "block").agg(F.sum(F.col("w") * F.col("peak")).alias("bound"))
+def block_bounds(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(a, b, bound): the pairs of blocks that share a term, and the most any two of their vectors can
+    score: the sum over the terms of the product of both blocks' largest weights."""
+    def peaks(blocks: DataFrame, name: str, weight: str) -> DataFrame:
+        return blocks.select(F.col("block").alias(name), F.explode("vec").alias("e")).groupBy(
+            name, F.col("e.t").alias("t")).agg(F.max("e.w").alias(weight))
+
+    met = salted_join(cut(peaks(left, "a", "p")), peaks(right, "b", "q"), "t")
+    return met.groupBy("a", "b").agg(F.sum(F.col("p") * F.col("q")).alias("bound"))
 
 
 def _matrix(pdf: pd.DataFrame, columns: np.ndarray) -> np.ndarray:
@@ -143,57 +147,67 @@ def _products(left: pd.DataFrame, right: pd.DataFrame) -> np.ndarray:
 
 
 def _top(k: int):
+    """The k best of a block for every source that its bound lets reach the score it has to beat."""
+
     def kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         right = right.sort_values("id").reset_index(drop=True)
-        scores = _products(left, right)
+        columns = np.unique(np.concatenate(right["t"].to_list()))
+        wanted, held = _matrix(left, columns), _matrix(right, columns)
+        open_ = wanted @ held.max(axis=0) + SLACK >= left["low"].to_numpy()
+        scores = np.round(wanted[open_] @ held.T, SCORE_DIGITS)
         best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
         picked = np.take_along_axis(scores, best, axis=1)
         rows, cols = np.nonzero(picked > 0)
         return pd.DataFrame({
-            "src": left["src"].to_numpy()[rows], "dst": right["id"].to_numpy()[best[rows, cols]],
+            "src": left["src"].to_numpy()[open_][rows], "dst": right["id"].to_numpy()[best[rows, cols]],
             "score": picked[rows, cols]})
 
     return kernel
 
 
-def _visit(sources: DataFrame, blocks: DataFrame, ways: DataFrame, kernel, schema: str, size: int = BLOCK,
-           carried: Sequence[str] = ()) -> DataFrame:
-    """Run ``kernel`` on every (block, chunk of sources) that has a way: about ``size`` rows a side."""
+def _visit(pairs: DataFrame, sources: DataFrame, blocks: DataFrame, kernel, schema: str,
+           carried: Sequence[str] = (), known: Sequence[str] = ()) -> DataFrame:
+    """Run ``kernel`` on every pair (a, b) of a block of sources and a block of candidates."""
     ship_package(sources.sparkSession)
-    n = sources.count()
-    chunk = F.pmod(F.xxhash64("src"), F.lit(max(1, -(-n // size)))).cast("int")
     flat = lambda: (F.col("vec.t").alias("t"), F.col("vec.w").alias("w"))
-    ways = ways.select("src", "block").withColumn("chunk", chunk)
-    left = ways.join(sources.select(F.col("id").alias("src"), "vec"), "src").select("block", "chunk", "src", *flat())
-    met = ways.select(F.col("block").alias("at"), F.col("chunk").alias("part")).distinct()
-    right = met.join(blocks, met["at"] == blocks["block"]).select("at", "part", "id", *carried, *flat())
+    pairs = pairs.select("a", "b")
+    left = pairs.join(sources.withColumnRenamed("block", "a"), "a").select("a", "b", F.col("id").alias("src"), *known, *flat())
+    right = pairs.join(blocks.withColumnRenamed("block", "b"), "b").select(
+        F.col("a").alias("at"), F.col("b").alias("part"), "id", *carried, *flat())
 
     def task(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
         return kernel(a, b)
 
-    return left.groupBy("block", "chunk").cogroup(right.groupBy("at", "part")).applyInPandas(task, schema)
+    return left.groupBy("a", "b").cogroup(right.groupBy("at", "part")).applyInPandas(task, schema)
+
+
+def open_pairs(bounds: DataFrame, visited: DataFrame, lows: DataFrame) -> DataFrame:
+    """Pairs of blocks, the visited ones apart, whose bound reaches the lowest score that some source of
+    the block still has to beat."""
+    floors = lows.groupBy(F.col("block").alias("a")).agg(F.min("low").alias("floor"))
+    return bounds.join(visited, ["a", "b"], "left_anti").join(floors, "a").filter(F.col("bound") + SLACK >= F.col("floor"))
 
 
 def nearest(sources: DataFrame, candidates: DataFrame, k: int, size: int = BLOCK) -> DataFrame:
     """(src, dst, score, rank): the k best positive cosines per source, exact, ties by id.
 
-    Two rounds over blocks of candidates.  Each source first meets the block with the highest
-    bound, which gives it k scores to beat; then it meets only the blocks whose bound reaches its
-    k-th score.  No table of pairs exists: a task multiplies two blocks of bounded size and puts out
-    k rows per source.
+    Two rounds over pairs of blocks.  Each block of sources first meets the block with the highest
+    bound, which gives its sources k scores to beat; then it meets only the blocks whose bound reaches
+    the lowest of these.  Inside a pair the sources that cannot gain are left out before any product.
+    There is one row per pair of blocks, none per source and block; a task puts out k rows per source.
     """
     schema = "src string, dst string, score double"
-    sources, blocks = cut(sources.select("id", "vec")), cut(in_blocks(candidates, size))
-    ways = cut(routes(sources, blocks))
-    first = ways.groupBy("src").agg(F.max_by("block", F.struct("bound", "block")).alias("block"))
-    opening = cut(_visit(sources, blocks, first, _top(k), schema, size))
-    to_beat = opening.groupBy("src").agg(F.count("*").alias("n"), F.min("score").alias("low")).select(
-        "src", F.when(F.col("n") >= k, F.col("low")).otherwise(0.0).alias("low"))
-    more = ways.join(first, ["src", "block"], "left_anti").join(to_beat, "src", "left").filter(
-        F.col("bound") + 1e-6 >= F.coalesce("low", F.lit(0.0)))
-    rest = _visit(sources, blocks, more, _top(k), schema, size)
+    own = cut(in_blocks(sources.select("id", "vec"), size))
+    blocks = own if candidates is sources else cut(in_blocks(candidates, size))
+    bounds = cut(block_bounds(own, blocks))
+    first = cut(bounds.groupBy("a").agg(F.max_by("b", F.struct("bound", "b")).alias("b")))
+    opening = cut(_visit(first, own.withColumn("low", F.lit(0.0)), blocks, _top(k), schema, known=("low",)))
+    to_beat = opening.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n"), F.min("score").alias("least")).select(
+        "id", F.when(F.col("n") >= k, F.col("least")).alias("least"))
+    lows = cut(own.join(to_beat, "id", "left").withColumn("low", F.coalesce("least", F.lit(0.0))).drop("least"))
+    rest = _visit(open_pairs(bounds, first, lows), lows, blocks, _top(k), schema, known=("low",))
     return best_per(opening.unionByName(rest), "src", "score", "dst", k)
 
 
@@ -272,9 +286,9 @@ def similarity_profile(vecs: DataFrame, bins: int = 10, floor: float = 0.01, siz
     copies = members.groupBy("rep").agg(F.count("*").alias("copies"))
     distinct = cut(distinct)
     blocks = cut(in_blocks(distinct, size).join(copies.withColumnRenamed("rep", "id"), "id"))
-    ways = routes(distinct, blocks)
+    pairs = block_bounds(blocks, blocks)
     schema = "src string, partners long, total double, best double, bins array<long>"
-    seen = _visit(distinct, blocks, ways, _tally(bins, floor), schema, size, ("copies",))
+    seen = _visit(pairs, blocks, blocks, _tally(bins, floor), schema, ("copies",))
     tallied = seen.groupBy("src").agg(
         F.sum("partners").alias("partners"), F.sum("total").alias("total"), F.max("best").alias("best"),
         F.array(*[F.sum(F.col("bins")[i]) for i in range(bins)]).alias("bins"))
@@ -303,22 +317,33 @@ def similarity_histogram(vecs: DataFrame, bins: int = 10, floor: float = 0.01) -
         F.col("bin").cast("bigint").alias("bin")).agg(F.sum(F.col("n") * F.col("copies")).alias("pairs")).filter("pairs > 0")
 
 
-def dense_ranking(users: DataFrame, items: DataFrame, user: str, item: str, k: int, small: int = 1024) -> DataFrame:
+def dense_ranking(users: DataFrame, items: DataFrame, user: str, item: str, k: int, size: int = BLOCK) -> DataFrame:
     """The k best items per user by cosine of dense vectors.
 
-    Up to ``small`` users (counted first) travel to the items as one array value, and each item row
-    scores them in place.  Beyond that the coordinates of both sides meet in an equi-join.
+    Both sides lie in blocks of about ``size`` rows.  A task multiplies a block of users with a block
+    of items and puts out k rows per user, so no table of pairs exists, however many users there are.
     """
     unit = lambda v: F.transform(v, lambda x: x / F.sqrt(dot(v, v)))
-    users = cut(users.select(user, unit(F.col("vector")).alias("u")))
-    items = items.select(item, F.col("vector").alias("v"), F.sqrt(dot(F.col("vector"), F.col("vector"))).alias("n"))
-    if users.limit(small + 1).count() <= small:
-        packed = users.agg(F.collect_list(F.struct(user, "u")).alias("us")).scalar()
-        scored = items.withColumn("us", packed).select(item, F.inline(F.transform("us", lambda e: F.struct(
-            e[user].alias(user), rounded(dot(e["u"], F.col("v")) / F.col("n"), SCORE_DIGITS).alias("score")))))
-    else:
-        left = users.select(user, F.posexplode("u").alias("i", "x"))
-        right = items.select(item, "n", F.posexplode("v").alias("i", "y"))
-        scored = left.join(right, "i").groupBy(user, item).agg(
-            rounded(F.sum(F.col("x") * F.col("y") / F.col("n")), SCORE_DIGITS).alias("score"))
+    parts, counts = [], []
+    for df, key in ((users, user), (items, item)):
+        rows = cut(df.select(F.col(key).alias("id"), unit(F.col("vector")).alias("x")))
+        counts.append(max(1, -(-rows.count() // size)))
+        parts.append(rows.withColumn("at", F.pmod(F.xxhash64("id"), F.lit(counts[-1]))))
+    numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+    left = parts[0].withColumnRenamed("at", "p").withColumn("q", numbers(counts[1]))
+    right = parts[1].withColumnRenamed("at", "q").withColumn("p", numbers(counts[0]))
+    kinds = [dict(df.dtypes)[key] for df, key in ((users, user), (items, item))]
+
+    def task(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame({user: [], item: [], "score": []})
+        b = b.sort_values("id").reset_index(drop=True)
+        scores = np.round(np.stack(a["x"]) @ np.stack(b["x"]).T, SCORE_DIGITS)
+        best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+        return pd.DataFrame({
+            user: np.repeat(a["id"].to_numpy(), best.shape[1]), item: b["id"].to_numpy()[best].ravel(),
+            "score": np.take_along_axis(scores, best, axis=1).ravel()})
+
+    scored = left.groupBy("p", "q").cogroup(right.groupBy("p", "q")).applyInPandas(
+        task, f"{user} {kinds[0]}, {item} {kinds[1]}, score double")
     return best_per(scored, user, "score", item, k)

@@ -153,12 +153,12 @@ def m11(spark, sf):
 two AS (SELECT a.scenario, coalesce(s.score, 0) AS score FROM shown a JOIN shown b ON a.scenario = b.scenario AND a.rank < b.rank AND b.rank <= 8
   LEFT JOIN sims s ON s.src = a.product_id AND s.dst = b.product_id),
 spread AS (SELECT scenario, 1 - avg(score) AS d FROM two GROUP BY 1)
-SELECT scenario, session_id, {S.rnd('8 / (SELECT count(*) FROM seen)', 6)} AS coverage_session, history_leakage, {S.rnd('d', 6)} AS diversity_intra_list
+SELECT scenario, session_id, {S.rnd('8 / (SELECT count(*) FROM trend)', 6)} AS coverage_session, history_leakage, {S.rnd('d', 6)} AS diversity_intra_list
 FROM leaks JOIN spread USING (scenario)""")
 def m12(spark, sf):
-    seen, past, _, recs = holdout(spark, sf)
+    _, past, _, recs = holdout(spark, sf)
     _, vecs = vectors.fit(described(spark, sf))
-    checks = metrics.session_checks(recs, past, seen, vecs, ("scenario", "session_id"))
+    checks = metrics.session_checks(recs, past, shelf(spark, sf), vecs, ("scenario", "session_id"))
     return six(checks.select("scenario", "session_id", "coverage_session", "history_leakage", "diversity_intra_list"),
                "coverage_session", "diversity_intra_list")
 

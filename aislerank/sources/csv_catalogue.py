@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,19 +18,33 @@ MISSING_SPELLINGS = (
 )
 
 
-def detect_encoding(spark: SparkSession, path: str) -> str:
-    """UTF-8 when every line is valid UTF-8, otherwise Latin-1.  Stops at the first bad line."""
-    bad = spark.read.text(path).filter(~F.is_valid_utf8(F.col("value"))).limit(1)
-    return "ISO-8859-1" if bad.count() else "UTF-8"
+def source_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, bytes, encoding) of every file: UTF-8 when each of its lines is valid, otherwise Latin-1."""
+    lines = spark.read.text(path).select("_metadata.file_path", "_metadata.file_size", F.is_valid_utf8("value").alias("valid"))
+    return lines.groupBy(F.col("file_path").alias("path"), F.col("file_size").alias("bytes")).agg(
+        F.when(F.min("valid"), "UTF-8").otherwise("ISO-8859-1").alias("encoding"))
 
 
 def read_catalogue_csv(spark: SparkSession, path: str, columns: Sequence[str] = RAW_COLUMNS,
-                       encoding: str | None = None) -> DataFrame:
-    """All columns as text, missing spellings as NULL."""
+                       encoding: str | None = None, multi_line: bool = True) -> DataFrame:
+    """All columns as text, missing spellings as NULL.
+
+    Without a given encoding every file is read in its own; the driver holds the paths of the files
+    that are not UTF-8.  ``multi_line=False`` lets large files be split, if no field holds a line end.
+    """
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    df = spark.read.csv(
-        path, schema=schema, header=True, multiLine=True, escape='"',
-        encoding=encoding or detect_encoding(spark, path))
+
+    def read(paths: str | list[str], name: str) -> DataFrame:
+        return spark.read.csv(paths, schema=schema, header=True, multiLine=multi_line, escape='"', encoding=name)
+
+    found = source_files(spark, path).collect() if encoding is None else []
+    latin = [unquote(f["path"]) for f in found if f["encoding"] != "UTF-8"]
+    if not latin:
+        df = read(path, encoding or "UTF-8")
+    elif len(latin) == len(found):
+        df = read(path, "ISO-8859-1")
+    else:
+        df = read([unquote(f["path"]) for f in found if f["encoding"] == "UTF-8"], "UTF-8").unionByName(read(latin, "ISO-8859-1"))
     return df.select(
         *[F.when(~F.col(c).isin(*MISSING_SPELLINGS), F.col(c)).alias(c) for c in columns])
 

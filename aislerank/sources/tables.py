@@ -42,7 +42,7 @@ def serving_rows(raw: DataFrame, order: str = "ingest_order") -> DataFrame:
 
 
 def append_recommendations(recs: DataFrame, path: str, engine: str | None = None,
-                           at: Column | None = None) -> None:
+                           at: Column | None = None, mode: str = "append") -> None:
     """Append shown recommendations to the log; clicks and purchases start at 0."""
     recs.select(
         F.col("query_id").cast("string").alias("session_id"),
@@ -53,7 +53,7 @@ def append_recommendations(recs: DataFrame, path: str, engine: str | None = None
         (F.current_timestamp() if at is None else at).alias("timestamp"),
         F.lit(0).alias("clicked"),
         F.lit(0).alias("purchased"),
-    ).write.mode("append").parquet(path)
+    ).write.mode(mode).parquet(path)
 
 
 def append_training_run(metrics: DataFrame, path: str) -> None:

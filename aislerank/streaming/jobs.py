@@ -45,11 +45,11 @@ def run_once(stream: DataFrame, mode: str = "append",
 
 
 def log_recommendations(stream: DataFrame, path: str, engine: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink for the recommendation log, one folder per micro-batch."""
+    """A foreachBatch sink for the recommendation log; a batch that is replayed overwrites its folder."""
     from aislerank.sources.tables import append_recommendations
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        append_recommendations(batch, f"{path}/batch={batch_id}", engine)
+        append_recommendations(batch, f"{path}/batch={batch_id}", engine, mode="overwrite")
 
     return write
 

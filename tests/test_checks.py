@@ -13,6 +13,7 @@ from aislerank.plans import pipeline
 from aislerank.settings import RAW_COLUMNS
 from aislerank.sources import csv_catalogue, tables
 from aislerank.sources.driver_tables import raw_catalogue
+from aislerank.streaming import jobs
 
 
 def one(spark, value, expr):
@@ -36,12 +37,37 @@ def test_csv_round_trip_in_latin_1(spark, tmp_path):
     quoted = ",".join('"' + v.replace('"', '""') + '"' for v in row)
     path = tmp_path / "raw.csv"
     path.write_bytes((",".join(RAW_COLUMNS) + "\n" + quoted + "\n").encode("latin-1"))
-    assert csv_catalogue.detect_encoding(spark, str(path)) == "ISO-8859-1"
+    found = csv_catalogue.source_files(spark, str(path)).first()
+    assert (found["encoding"], found["bytes"]) == ("ISO-8859-1", path.stat().st_size)
     got = csv_catalogue.read_catalogue_csv(spark, str(path)).first()
     assert got["product_name"] == 'Café "x", y' and got["actual_price"] is None and got["discount_percentage"] is None
     assert got["about_product"] == "two\nlines" and got["img_link"] is None
 
 
+def test_every_file_is_read_in_its_own_encoding(spark, tmp_path):
+    for name, encoding in (("utf 8.csv", "utf-8"), ("latin.csv", "latin-1")):
+        lines = [",".join(RAW_COLUMNS), ",".join([name[0], "café"] + ["x"] * (len(RAW_COLUMNS) - 2))]
+        (tmp_path / name).write_bytes("\n".join(lines).encode(encoding))
+    got = csv_catalogue.read_catalogue_csv(spark, str(tmp_path)).collect()
+    assert sorted((r["product_id"], r["product_name"]) for r in got) == [("l", "café"), ("u", "café")]
+
+
+def test_white_space_of_every_kind(spark):
+    assert one(spark, "1\u00a0234,5", numbers.parse_price) == 12345.0
+    assert one(spark, "\u3000 12 \u00a0%", numbers.parse_percent) == 12.0
+    assert one(spark, "\t none\u2003", numbers.safe_text) == ""
+    assert one(spark, " \t\u00a0\n", quality.is_blank) is True
+
+
+def test_a_replayed_batch_does_not_repeat_its_log(spark, tmp_path):
+    rows = spark.createDataFrame([("s", "a", "b", 0.5)], "query_id string, source_product_id string, product_id string, score double")
+    write = jobs.log_recommendations(rows, str(tmp_path), "hybrid")
+    write(rows, 3)
+    write(rows, 3)
+    write(rows, 4)
+    assert spark.read.parquet(str(tmp_path)).groupBy("batch").count().orderBy("batch").collect() == [(3, 1), (4, 1)]
+
+
 def test_content_version_ignores_order_but_not_copies(spark, sf):
     raw = raw_catalogue(spark, sf)
     version = lambda df: csv_catalogue.content_version(df).first()["version"]

@@ -188,4 +188,52 @@ def test_salted_join_equals_plain_join(spark, how):
     left = spark.range(600).select(F.when(F.col("id") < 400, 1).otherwise(F.col("id") % 50).alias("k"), F.col("id").alias("a"))
     right = spark.range(40).select(F.col("id").alias("k"), (F.col("id") * 2).alias("b"))
     rows = lambda df: sorted(map(tuple, df.select("k", "a", "b").collect()), key=str)
-    assert rows(salted_join(left, right, "k", how, floor=5, salts=4)) == rows(left.join(right, "k", how))
+    assert rows(salted_join(left, right, "k", how, floor=5)) == rows(left.join(right, "k", how))
+
+
+def test_prices_below_a_cent_and_beyond_a_long(spark):
+    rows = random_catalogue(5, 30)
+    rng = random.Random(5)
+    for r in rows:
+        r["discounted_price"] = rng.choice([100.004, 120.0049, 120.0051, 119.996, 1e12, 1.1e12, 3e17])
+        r["price_bucket"] = "Luxury"
+    df = frame(spark, rows)
+    got = lists(strategies.price_similarity(df, strategies.as_queries(df), 6))
+    assert len(got) == 30 and all(len({i for i, _ in found}) == 6 for found in got.values())
+    shares = {i: r["discounted_price"] for i, r in ((r["product_id"], r) for r in rows)}
+    for q, found in got.items():  # the rule is one of whole cents
+        near = [i for i, p in shares.items() if i != q and abs(round(p * 100) - round(shares[q] * 100)) <= 0.2 * round(shares[q] * 100)]
+        assert len(set(near) & {i for i, _ in found}) == min(6, len(near))
+
+
+def test_dense_ranking_in_blocks(spark):
+    rng = random.Random(6)
+    items = [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(50)]
+    users = [(f"u{i}", [rng.gauss(0, 1) for _ in range(4)]) for i in range(13)]
+    norm = lambda v: sum(x * x for x in v) ** 0.5
+    got = vectors.dense_ranking(spark.createDataFrame(users, "u string, vector array<double>"),
+                                spark.createDataFrame(items, "i long, vector array<double>"), "u", "i", 5, size=6)
+    found = {}
+    for r in got.collect():
+        found.setdefault(r["u"], []).append((r["rank"], r["i"]))
+    for u, v in users:
+        best = sorted(items, key=lambda e: (-round(sum(a * b for a, b in zip(v, e[1])) / norm(v) / norm(e[1]), 9), e[0]))[:5]
+        assert sorted(found[u]) == [(n + 1, i) for n, (i, _) in enumerate(best)]
+
+
+def test_blocks_that_cannot_gain_are_not_visited(spark):
+    """Four clusters with terms of their own and one weak common term: only a cluster's own blocks are met."""
+    rng = random.Random(7)
+    rows = []
+    for i in range(120):
+        own = {10 * (i % 4) + t: rng.choice([1.0, 2.0]) for t in rng.sample(range(5), 4)} | {99: 0.05}
+        norm = sum(x * x for x in own.values()) ** 0.5
+        rows.append((f"d{i:03d}", [(t, x / norm) for t, x in sorted(own.items())]))
+    df = spark.createDataFrame(rows, "id string, vec array<struct<t:int,w:double>>")
+    own = vectors.in_blocks(df, 15).cache()
+    bounds = vectors.block_bounds(own, own).cache()
+    lows = vectors.nearest(df, df, 3, 15).groupBy(F.col("src").alias("id")).agg(F.min("score").alias("low")).join(own, "id")
+    visited = bounds.where("false").select("a", "b")
+    cluster = {r["block"]: {int(d[1:]) % 4 for d in r["ids"]} for r in own.groupBy("block").agg(F.collect_list("id").alias("ids")).collect()}
+    met = vectors.open_pairs(bounds, visited, lows).collect()
+    assert met and all(cluster[r["a"]] & cluster[r["b"]] for r in met) and bounds.count() > len(met)
