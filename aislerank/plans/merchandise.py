@@ -9,10 +9,13 @@ from aislerank.operators import merchandising as M
 from aislerank.operators import quality, strategies
 from aislerank.plans import sqltext as S
 from aislerank.plans.book import query
+from aislerank.plans.loading import _ALL as ALL_RULES
+from aislerank.plans.loading import _ROW as ROW_TEXT
 from aislerank.plans.measuring import CON
 from aislerank.plans.ranking import K, brand_cte, category_cte, shelf
 from aislerank.plans.similarity import TERMS, texted
 from aislerank.session import scratch_path
+from aislerank.settings import RAW_COLUMNS
 from aislerank.sources import csv_catalogue, tables
 from aislerank.sources.driver_tables import catalogue, raw_catalogue, table
 
@@ -145,11 +148,27 @@ def s7(spark, sf):
     return spark.read.parquet(path).select("dataset_rows", "vocab_size", "coverage")
 
 
-@query("S8_validation_report")
+_NULL_CELLS = " + ".join(f"count(*) - count({c})" for c in RAW_COLUMNS)
+
+
+@query("S8_validation_report", ALL_RULES + f"""
+, h AS (SELECT ('0x' || substr(md5({ROW_TEXT}), 1, 15))::BIGINT AS d FROM raw),
+a AS (SELECT count(*) AS records, bit_xor(d) AS x, sum(d % 2147483647)::BIGINT AS s FROM h),
+v AS (SELECT count(*) FILTER (WHERE failed AND severity = 'error') AS errors, count(*) FILTER (WHERE failed AND severity = 'warning') AS warnings,
+  count(*) FILTER (WHERE failed) AS issues, coalesce(sum(hits) FILTER (WHERE failed), 0)::BIGINT AS issue_hits FROM judged)
+SELECT errors = 0 AS validation_status, substr(md5(x || '-' || s || '-' || records), 1, 12) AS dataset_version, records AS record_count,
+  errors, warnings, issues, issue_hits, {len(RAW_COLUMNS)}::BIGINT AS columns, (SELECT {_NULL_CELLS} FROM raw)::BIGINT AS null_cells FROM a, v""")
 def s8(spark, sf):
+    """The written document, parsed back into columns."""
     path = scratch_path(spark, "report")
     tables.write_json_report(validation_report(raw_catalogue(spark, sf)), path)
-    return spark.read.text(path).withColumnRenamed("value", "report")
+    schema = ("validation_status boolean, dataset_version string, record_count bigint, errors bigint, warnings bigint, "
+              "issues array<struct<hits: bigint>>, column_stats array<struct<null_count: bigint>>")
+    total = lambda values: F.aggregate(values, F.lit(0).cast("bigint"), lambda s, x: s + x)
+    return spark.read.text(path).select(F.from_json("value", schema).alias("r")).select(
+        *[f"r.{c}" for c in ("validation_status", "dataset_version", "record_count", "errors", "warnings")],
+        F.size("r.issues").cast("bigint").alias("issues"), total(F.col("r.issues.hits")).alias("issue_hits"),
+        F.size("r.column_stats").cast("bigint").alias("columns"), total(F.col("r.column_stats.null_count")).alias("null_cells"))
 
 
 def validation_report(raw):
