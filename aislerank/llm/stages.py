@@ -17,8 +17,11 @@ from aislerank.llm.common import row_keys, stage_scratch, store
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: documents that the model calls toxic go. The labels that are not held out train it."""
     with stage_scratch(spark):
-        scored = toxicity.scores(docs, toxicity.model(spark, sf_dir), docs.columns)
-        return scored.where(F.col("score") < toxicity.THRESHOLD).select(*docs.columns)
+        name = "_score"
+        while name in docs.columns:
+            name += "_"
+        scored = toxicity.scores(docs, toxicity.model(spark, sf_dir), docs.columns, name)
+        return scored.where(F.col(name) < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,9 +47,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     with stage_scratch(spark):
         taken, account = mixing.mix(docs)
-        copies = store(taken.join(account.select("row", "_a", "_b"), "row").select("_a", "_b", "shard", "place"), "mix-copies")
+        copies = store(taken.join(account.select("row", "_a", "_b"), "row").select(
+            "_a", "_b", F.col("shard").alias("_shard"), F.col("place").alias("_place")), "mix-copies")
         return (row_keys(docs).dropDuplicates(["_a", "_b"]).join(copies, ["_a", "_b"])
-                .repartition("shard").sortWithinPartitions("shard", "place").select(*docs.columns))
+                .repartition("_shard").sortWithinPartitions("_shard", "_place").select(*docs.columns))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -120,8 +120,8 @@ def fit(training: DataFrame, settings: Settings = Settings()) -> DataFrame:
     return rows.groupBy().applyInPandas(learn, "index long, weight double")
 
 
-def scores(docs: DataFrame, weights: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns `keep` and score of every row of docs. The model's rows (2^BITS at most) are broadcast."""
+def scores(docs: DataFrame, weights: DataFrame, keep: list[str], name: str = "score") -> DataFrame:
+    """The columns `keep` and the score of every row of docs. The model's rows (2^BITS at most) are broadcast."""
     spark = docs.sparkSession
     ready(spark)
     model = weights.where("index >= 0").limit(1 << BITS).toPandas()
@@ -129,7 +129,7 @@ def scores(docs: DataFrame, weights: DataFrame, keep: list[str]) -> DataFrame:
     shared = spark.sparkContext.broadcast((model["index"].to_numpy(np.int64), model["weight"].to_numpy(float), start))
     columns = [*keep, "text"] if "text" not in keep else keep
     place = columns.index("text")
-    schema = docs.select(*keep).schema.add("score", "double")
+    schema = docs.select(*keep).schema.add(name, "double")
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, values, intercept = shared.value
@@ -143,7 +143,7 @@ def scores(docs: DataFrame, weights: DataFrame, keep: list[str]) -> DataFrame:
                 out[i] = intercept + dense[hit].sum()
             done = 1.0 / (1.0 + np.exp(-np.clip(out, -500, 500)))
             arrays = [batch.column(columns.index(c)) for c in keep]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(done)], names=[*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(done)], names=[*keep, name])
 
     return docs.select(*columns).mapInArrow(rate, schema)
 

@@ -5,6 +5,7 @@ import zlib
 
 import corpus_pipeline
 import numpy as np
+from conftest_llm import ODD
 from test_dedup_and_links import classes, shingles
 
 from aislerank.llm import packing, secret_scan, tokens, toxicity
@@ -68,3 +69,19 @@ def test_stages_in_turn(spark, sf):
     for r in packed:
         fill[r.sequence_id] = fill.get(r.sequence_id, 0) + r.length
     assert max(fill.values()) <= packing.CAPACITY and len(fill) <= 1.02 * sum(fill.values()) / packing.CAPACITY + 1
+
+
+def test_odd_and_empty_tables_through_all_stages(spark, docs_of, tmp_path):
+    """Nulls, blanks, repeated rows and columns whose names the operators use themselves."""
+    spark.createDataFrame([(1, 0, 0), (None, 1, None), (2, None, None)], "doc_id long, quality int, toxic int").write.parquet(
+        str(tmp_path / "labels.parquet"))
+    odd = docs_of(ODD)
+    odd.write.parquet(str(tmp_path / "documents.parquet"))
+    extra = ("score", "size", "row", "class", "fp", "keys", "shard", "block", "target", "_score")
+    for docs in (odd.selectExpr("*", *[f"'e' AS {c}" for c in extra]), odd.where("false")):
+        some = not docs.isEmpty()
+        for name, stage in corpus_pipeline.STAGES:
+            columns = docs.columns
+            docs = store(stage(spark, docs, str(tmp_path)), "odd-stage")
+            assert name == "packing" or docs.columns == columns
+            assert bool(docs.count()) == some
