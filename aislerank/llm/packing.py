@@ -4,7 +4,7 @@ Documents become token ids with an end id; longer ones than a sequence are cut,
 over. Pieces are dealt by hash to groups of bounded size, and each group is packed by itself: best fit in order of
 falling length, then local search. The search takes the emptiest bin and hands its pieces on: it moves one, exchanges one
 for one, two for one or one for two with a fuller bin, each time raising the sum of squared fills, until the bin is empty
-or nothing fits. It ends when the bins reach the bound total / capacity, or when donors no longer empty.
+or nothing fits; then the next one gives. It ends when the bins reach the bound total / capacity, or when no bin can give any more.
 
 Null and empty texts are one end id. Repeated rows are packed once each. An empty table packs to no rows; other columns
 are not read. Null ids are kept as they are.
@@ -106,37 +106,37 @@ def _exchange(giver: list[int], taker: list[int], gap: int, lengths: list[int])
     return best
 
 
-def local_search(bins: list[list[int]], lengths: list[int], capacity: int, patience: int = 12) -> list[list[int]]:
-    """Empty the emptiest bins into the gaps of the others; `patience` stuck donors in a row end the search."""
+def local_search(bins: list[list[int]], lengths: list[int], capacity: int, patience: int = 16) -> list[list[int]]:
+    """Pass pieces from emptier bins to fuller ones until the emptiest are empty.
+
+    The emptiest bin gives first. One that no exchange can make emptier is set aside until another bin has changed, and
+    the next one gives; so gaps gather in few bins. `patience` such bins in a row end the search. Each step raises the
+    sum of squared fills, so it ends.
+    """
     fill = [sum(lengths[i] for i in b) for b in bins]
     least = -(-sum(fill) // capacity)
     alive = {n for n in range(len(bins)) if fill[n] < capacity}
-    count, stuck, tried = len(bins), 0, set()
-    while count > least and stuck < patience and len(tried) < len(alive):
-        donor = min(alive - tried, key=lambda n: (fill[n], n))
-        moved = True
-        while moved and bins[donor]:
-            moved = False
-            for n in sorted(alive - {donor}, key=lambda n: (fill[n], n), reverse=True):
-                found = _exchange(bins[donor], bins[n], capacity - fill[n], lengths)
-                # tokens * (fill[taker] - fill[giver] + tokens) > 0: the squares grow
-                if found and fill[n] - fill[donor] + found[0] > 0:
-                    tokens_moved, given, returned = found
-                    bins[donor] = [i for i in bins[donor] if i not in given] + returned
-                    bins[n] = [i for i in bins[n] if i not in returned] + given
-                    fill[n] += tokens_moved
-                    fill[donor] -= tokens_moved
-                    if fill[n] == capacity:
-                        alive.discard(n)
-                    moved = True
-                    if not bins[donor]:
-                        break
-        if bins[donor]:
-            tried.add(donor)
-            stuck += 1
-        else:
+    count, aside = len(bins), set()
+    while count > least and len(aside) < min(patience, len(alive)):
+        donor = min(alive - aside, key=lambda n: (fill[n], n))
+        before = fill[donor]
+        for n in sorted(alive - {donor}, key=lambda n: (fill[n], n), reverse=True):
+            found = _exchange(bins[donor], bins[n], capacity - fill[n], lengths)
+            # tokens * (fill[taker] - fill[giver] + tokens) > 0: the squares grow
+            if found and fill[n] - fill[donor] + found[0] > 0:
+                moved, given, returned = found
+                bins[donor] = [i for i in bins[donor] if i not in given] + returned
+                bins[n] = [i for i in bins[n] if i not in returned] + given
+                fill[n] += moved
+                fill[donor] -= moved
+                if fill[n] == capacity:
+                    alive.discard(n)
+                if not bins[donor]:
+                    break
+        if not bins[donor]:
             alive.discard(donor)
-            count, stuck, tried = count - 1, 0, set()
+            count -= 1
+        aside = aside | {donor} if fill[donor] == before else set()
     return [b for b in bins if b]
 
 
