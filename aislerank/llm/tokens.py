@@ -53,7 +53,7 @@ class Encoder(dict):
     length are coded whole, a null text as an empty one.
     """
 
-    def __init__(self, path: str, keep: int = 800_000):
+    def __init__(self, path: str, keep: int = 400_000):
         from tokenizers import Tokenizer
 
         super().__init__()

@@ -30,7 +30,7 @@ BITS = 20
 SAMPLE = 16_000
 THRESHOLD = 0.7
 _WORD = re.compile(r"[^\W_]+")
-_KEEP = 400_000
+_KEEP = 150_000
 
 
 @dataclass(frozen=True)
