@@ -97,7 +97,7 @@ def sample(docs: DataFrame, labels: DataFrame, learn, most: int = SAMPLE) -> Dat
     """doc_id, text and toxic of at most `most` labelled documents; `learn` says which may be used."""
     known = (labels.where(F.col("toxic").isin(0, 1)).where(learn).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
              .orderBy(unit_hash(8, F.col("doc_id")), "doc_id").limit(most))
-    return docs.select("doc_id", "text").join(known, "doc_id")
+    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # `most` rows at most
 
 
 def fit(training: DataFrame, settings: Settings = Settings()) -> DataFrame:
