@@ -164,8 +164,8 @@ def documents(spark: SparkSession, path: str) -> DataFrame:
             for row in batch.to_pylist():
                 codes = Codes(row["codes"])
                 starts = row["starts"]
-                crcs = [zlib.crc32(codes.slice(a, b).astype("<u4").tobytes())
-                        for a, b in zip(starts, [*starts[1:], len(codes)])]
+                ids = memoryview(codes.slice(0, len(codes)).astype("<u4", copy=False)).cast("B")
+                crcs = [zlib.crc32(ids[4 * a : 4 * b]) for a, b in zip(starts, [*starts[1:], len(codes)])]
                 n = len(starts)
                 yield pa.RecordBatch.from_arrays([
                     pa.array([row["part"]] * n, pa.int32()), pa.array([row["segment"]] * n, pa.int32()),
