@@ -1,15 +1,21 @@
-"""Near-duplicate texts by SimHash candidates and an exact test of similarity.
-
-Texts with equal sets of shingles are one class. Classes become candidates in two ways: their fingerprints differ in at
-most two bits (the popcount grid of simhash.py), or they agree in a partial fingerprint. A partial fingerprint is the
-SimHash of those shingles whose hash ends in a given number; the numbers are as many as there are shingles / 4, rounded
-to the powers of two on both sides, and PARTS of them are used. Texts of similarity 0.8 differ in so few shingles that
-some part is untouched: of 8 parts at each of two widths, about 97 in 100 such pairs have one in common, and more as the
-similarity rises.
-
-All classes under a common key are compared with its leaders, the classes that come first in each of three hashed orders:
-stars, not pairs. A candidate is a link if the Jaccard similarity of the whole shingle sets is high enough. Links make
-components. Texts without words are one class; null texts count as empty.
+"""Near-duplicate texts: every pair of similarity 0.8 or more is linked, directly or through other texts.
+
+Texts with equal sets of shingles are one class. Candidates come in two rounds.
+
+The first round is cheap and finds most. Classes are candidates if their fingerprints differ in at most two bits (the
+popcount grid of simhash.py), if they agree in a partial fingerprint, or if they share a prefix token. A partial
+fingerprint is the SimHash of those shingles whose hash ends in a given number; all classes under one are compared with
+its leaders, the classes that come first in each of three hashed orders. A prefix token is one of the n - ceil(0.8 n) + 1
+rarest shingles of a text with n; two sets of similarity 0.8 always share one, whatever order counts as "rare", so this
+index leaves none out. Up to SMALL classes under a token are compared with each other, more with the one that has the
+fewest rarer shingles, which in a group of altered copies is the original.
+
+The second round is exact: under tokens of more than SMALL classes, every two classes that the links so far leave apart
+are compared, in blocks of about BLOCK classes against the others. Pairs that sizes or places of the token rule out are
+left out before. What remains grows with the square of a group only if its texts share rare shingles and are not linked.
+
+A candidate is a link if the Jaccard similarity of the whole shingle sets is high enough. Links make components. Texts
+without words are one class; null texts count as empty.
 """
 
 from __future__ import annotations
@@ -19,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aislerank.llm import simhash
@@ -29,6 +35,12 @@ from aislerank.session import cut
 
 PARTS = 8
 ORDERS = 3
+#: A shingle is common if COMMON of about SAMPLE texts have it; this decides what is compared, not what is found.
+SAMPLE, COMMON = 4096, 3
+#: Longest part of a sampled text, in shingles.
+SAMPLED = 4096
+SMALL = 16
+BLOCK = 1024
 
 
 def partial_keys(shingles: np.ndarray) -> np.ndarray:
@@ -47,32 +59,107 @@ def partial_keys(shingles: np.ndarray) -> np.ndarray:
     return np.array(keys, np.uint64).view(np.int64)
 
 
-def features(docs: DataFrame, words: int) -> DataFrame:
-    """_a, _b, class, fp and keys of every row."""
+def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (ascending) of shingles that several sampled texts have, and in how many."""
+    ready(docs.sparkSession)
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0):
+                some = np.unique(simhash.shingle_hashes(text.as_py(), words))[:SAMPLED]
+                yield pa.RecordBatch.from_arrays([pa.array(some.view(np.int64))], names=["token"])
+
+    every = max(1, docs.count() // SAMPLE)
+    sample = row_keys(docs).where(unit_hash(17, F.col("_a"), F.col("_b")) % every == 0).select("text")
+    rows = sample.mapInArrow(compute, "token long").groupBy("token").count().where(F.col("count") >= COMMON).toArrow()
+    tokens = rows.column("token").to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(tokens)
+    return tokens[order], rows.column("count").to_numpy()[order]
+
+
+def prefix_tokens(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The rarest of a set of shingle hashes (ascending), rarest first: sets of that similarity share one of them."""
+    tokens, counts = common
+    weight = np.zeros(len(shingles), np.int64)
+    if len(tokens):
+        at = np.minimum(np.searchsorted(tokens, shingles), len(tokens) - 1)
+        weight = np.where(tokens[at] == shingles, counts[at], 0)
+    kept = len(shingles) - math.ceil(similarity * len(shingles) - 1e-9) + 1
+    return shingles[np.argsort(weight, kind="stable")[:kept]].view(np.int64)
+
+
+def features(docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """_a, _b, class, fp, keys, size (distinct shingles) and prefix tokens of every row."""
     import xxhash
 
-    ready(docs.sparkSession)
+    common = common_shingles(docs, words)
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            classes, fps, keys = [], [], []
+            classes, fps, keys, sizes, tokens = [], [], [], [], []
             for text in batch.column(2):
                 hashes = simhash.shingle_hashes(text.as_py(), words)
                 distinct = np.unique(hashes)
                 classes.append(xxhash.xxh64_intdigest(distinct.tobytes()) if len(distinct) else 0)
                 fps.append(simhash.majority(hashes))
                 keys.append(partial_keys(distinct) if len(distinct) else np.zeros(0, np.int64))
+                sizes.append(len(distinct))
+                tokens.append(prefix_tokens(distinct, common, similarity) if len(distinct) else np.zeros(0, np.int64))
             signed = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (classes, fps)]
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (keys, tokens)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), *signed, pa.array(keys, pa.list_(pa.int64()))],
-                names=["_a", "_b", "class", "fp", "keys"])
+                [batch.column(0), batch.column(1), *signed, lists[0], pa.array(sizes, pa.int64()), lists[1]],
+                names=["_a", "_b", "class", "fp", "keys", "size", "tokens"])
 
     return row_keys(docs).select("_a", "_b", "text").mapInArrow(
-        compute, "_a long, _b long, class long, fp long, keys array<long>")
+        compute, "_a long, _b long, class long, fp long, keys array<long>, size long, tokens array<long>")
+
+
+def shared_tokens(found: DataFrame) -> DataFrame:
+    """token, class, size, place (rarer shingles of the class) and n (classes) of prefix tokens that several classes have."""
+    classes = store(found.select("class", "size", "tokens").dropDuplicates(["class"]), "near-classes")
+    members = classes.select("class", "size", F.posexplode("tokens").alias("place", "token"))
+    shared = store(members.groupBy("token").agg(F.count("*").alias("n")).where("n > 1"), "near-tokens")
+    return store(members.join(shared, "token"), "near-index")
+
+
+def may_reach(similarity: float) -> Column:
+    """Whether two classes that first meet in a token can be similar: what follows it in both is large enough."""
+    after = F.least(F.col("size") - F.col("place"), F.col("size_b") - F.col("place_b"))
+    return (after * (1 + similarity) >= (F.col("size") + F.col("size_b")) * similarity - 1e-6)
+
 
+def other_side(members: DataFrame) -> DataFrame:
+    return members.withColumnsRenamed({c: f"{c}_b" for c in ("class", "size", "place", "root") if c in members.columns})
 
-def candidates(found: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different classes to be compared."""
+
+def pairs_by_token(index: DataFrame, similarity: float) -> DataFrame:
+    """First round: pairs (a, b) under small tokens, and of the leader with the others under large ones."""
+    small = index.where(F.col("n") <= SMALL).drop("n")
+    large = index.where(F.col("n") > SMALL)
+    leaders = large.groupBy("token").agg(F.min(F.struct("place", unit_hash(0, F.col("class")), "class", "size")).alias("x")).select(
+        "token", F.col("x.class").alias("class_b"), F.col("x.size").alias("size_b"), F.col("x.place").alias("place_b"))
+    some = small.join(other_side(small), "token").where("class < class_b").where(may_reach(similarity))
+    stars = large.drop("n").join(leaders, "token").where("class <> class_b").where(may_reach(similarity))
+    return some.unionByName(stars).select(F.col("class").alias("a"), F.col("class_b").alias("b"))
+
+
+def pairs_left_apart(index: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """Second round: pairs (a, b) under large tokens whose components differ so far."""
+    large = index.where(F.col("n") > SMALL).drop("n")
+    rooted = store(large.join(roots.withColumnRenamed("node", "class"), "class", "left")
+                   .withColumn("root", F.coalesce("root", "class")), "near-rooted")
+    apart = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"))
+    blocks = apart.where("low <> high").select("token", F.ceil(F.col("n") / BLOCK).alias("blocks"))
+    members = store(rooted.join(blocks, "token"), "near-apart")
+    one = members.withColumn("block", unit_hash(3, F.col("class")) % F.col("blocks")).drop("blocks")
+    two = other_side(members.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks"))
+    met = one.join(two, ["token", "block"]).where("class < class_b and root <> root_b").where(may_reach(similarity))
+    return met.select(F.col("class").alias("a"), F.col("class_b").alias("b")).distinct()
+
+
+def candidates(found: DataFrame, index: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of different classes to be compared in the first round."""
     members = found.select("class", F.explode("keys").alias("key"))
     orders = [F.min(F.struct(unit_hash(n, F.col("class")), "class"))["class"] for n in range(ORDERS)]
     leaders = store(members.groupBy("key").agg(F.array_distinct(F.array(*orders)).alias("leaders"),
@@ -84,7 +171,8 @@ def candidates(found: DataFrame) -> DataFrame:
     one, two = first.toDF("a", "x"), first.toDF("b", "y")
     by_bits = near.join(one, "a").join(two, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     same_bits = found.join(first, "fp").select(F.col("class").alias("a"), F.col("first").alias("b"))
-    pairs = by_parts.unionByName(by_bits).unionByName(same_bits).where("a <> b")
+    by_token = pairs_by_token(index, similarity)
+    pairs = by_parts.unionByName(by_bits).unionByName(same_bits).unionByName(by_token).where("a <> b")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -98,19 +186,30 @@ def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
     return texts.select("class", "text").mapInArrow(compute, "class long, shingles array<long>")
 
 
+def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) of classes that are similar enough."""
+    both = (pairs.join(sets.toDF("a", "left"), "a").join(sets.toDF("b", "right"), "b")
+            .withColumn("common", F.size(F.array_intersect("left", "right")))
+            .withColumn("all", F.size("left") + F.size("right") - F.col("common")))
+    return both.where(F.col("common") >= similarity * F.col("all")).select("a", "b")
+
+
 def first_of_each_group(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of docs without near copies: of each group the row with the smallest doc_id stays (null ids last)."""
-    found = store(features(docs, words), "near-features")
-    pairs = store(candidates(found), "near-pairs")
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    found = store(features(docs, words, similarity), "near-features")
+    index = shared_tokens(found)
+    pairs = store(candidates(found, index, similarity), "near-pairs")
+    asked = (pairs.select(F.explode(F.array("a", "b")).alias("class"))
+             .unionByName(index.where(F.col("n") > SMALL).select("class")).distinct())
     sources = (found.groupBy("class").agg(F.min(F.struct("_a", "_b")).alias("row")).join(asked, "class", "left_semi")
                .select("class", "row._a", "row._b"))
     texts = row_keys(docs).select("_a", "_b", "text").join(store(sources, "near-sources"), ["_a", "_b"])
     sets = store(shingle_sets(texts, words).dropDuplicates(["class"]), "near-sets")
-    both = (pairs.join(sets.toDF("a", "left"), "a").join(sets.toDF("b", "right"), "b")
-            .withColumn("common", F.size(F.array_intersect("left", "right")))
-            .withColumn("all", F.size("left") + F.size("right") - F.col("common")))
-    roots = components(both.where(F.col("common") >= similarity * F.col("all")).select("a", "b"))
+    links = store(similar(pairs, sets, similarity), "near-links")
+    roots = components(links)
+    rest = store(pairs_left_apart(index, roots, similarity), "near-rest")
+    if not rest.isEmpty():
+        roots = components(links.unionByName(similar(rest, sets, similarity)))
     rooted = found.join(roots.withColumnRenamed("node", "class"), "class", "left").select(
         "_a", "_b", F.coalesce("root", "class").alias("root"))
     kept = store(rooted.groupBy("root").agg(F.min(F.struct(F.col("_a") == -1, F.col("_a").alias("_a"), F.col("_b").alias("_b")))

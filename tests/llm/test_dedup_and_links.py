@@ -107,6 +107,43 @@ def test_near_texts_keep_one_of_each_group(docs_of):
     assert sorted(i - 9000 for i in got if i >= 9000) == [0, 3, 6, 7, 8, 9]
 
 
+def test_altered_copies_that_only_resemble_their_original(docs_of):
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+    rows = [(0, " ".join(base), "en", "s")]
+    for number in range(1, 1001):
+        changed = list(base)
+        for at in rng.sample(range(200), 3):
+            changed[at] = f"x{number}-{at}"
+        rows.append((number, " ".join(changed), "en", "s"))
+    assert [r.doc_id for r in near_texts.first_of_each_group(docs_of(rows)).collect()] == [0]
+
+
+def test_texts_left_apart_are_compared_in_the_second_round(docs_of):
+    """Pairs that resemble only each other under a token that all share, with blocks and leaders that cannot do it."""
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(200)]
+    stem = [rng.choice(words) for _ in range(60)]
+    rows = []
+    for number in range(40):  # 40 texts about 0.64 alike, each with a copy that ends in another word
+        tail = [f"t{number}-{i}" for i in range(14)]
+        rows.append((2 * number, " ".join(stem + tail), "en", "s"))
+        rows.append((2 * number + 1, " ".join(stem + tail[:-1] + [f"u{number}"]), "en", "s"))
+    sets = {i: set(shingles(t, 5)) for i, t, _, _ in rows}
+    want = classes(sets, lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    assert len(set(want.values())) == 40
+    got = [r.doc_id for r in near_texts.first_of_each_group(docs_of(rows)).collect()]
+    assert sorted(got) == sorted(set(want.values()))
+
+
+def test_second_round_alone_finds_what_the_first_left(spark):
+    """Chain of sets under one token: the leader resembles only its neighbour."""
+    index = spark.createDataFrame([(7, i, 100, 0, 40) for i in range(40)], "token long, class long, size long, place int, n long")
+    roots = spark.createDataFrame([(0, 0), (1, 0)], "node long, root long")
+    got = {(r.a, r.b) for r in near_texts.pairs_left_apart(index, roots, 0.8).collect()}
+    assert got == {(a, b) for a in range(40) for b in range(a + 1, 40)} - {(0, 1)}
+
+
 def test_odd_and_empty_tables(docs_of):
     docs = docs_of(ODD)
     kept = near_texts.first_of_each_group(docs)
