@@ -144,6 +144,17 @@ def test_second_round_alone_finds_what_the_first_left(spark):
     assert got == {(a, b) for a in range(40) for b in range(a + 1, 40)} - {(0, 1)}
 
 
+def test_short_texts_at_the_bound(docs_of):
+    rng = random.Random(8)
+    rows, kept = [], []
+    for short, long in ((8, 9), (12, 14), (20, 24), (36, 44)):  # shingles: 4 of 5, 8 of 10, 16 of 20, 32 of 40
+        for _ in range(60):
+            text = [f"w{rng.randrange(9000)}" for _ in range(long)]
+            kept.append(len(rows))
+            rows += [(len(rows), " ".join(text[:short]), "en", "s"), (len(rows) + 1, " ".join(text), "en", "s")]
+    assert sorted(r.doc_id for r in near_texts.first_of_each_group(docs_of(rows)).collect()) == kept
+
+
 def test_odd_and_empty_tables(docs_of):
     docs = docs_of(ODD)
     kept = near_texts.first_of_each_group(docs)
