@@ -262,10 +262,10 @@ modes AS (SELECT * FROM shown WHERE query_id IN (SELECT query_id FROM asked)
 
 
 def moded(spark, sf):
-    """Modes over every customer as a session; the pool order stands in for the re-ranked one."""
-    df, hist, pool, _ = picks(spark, sf)
+    """Modes over every customer as a session, personal rows in their re-ranked order."""
+    df, hist, pool, vecs = picks(spark, sf)
     sessions = table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("session_id"))
-    personal_rows = personal.personalised(pool.filter(F.col("rank") <= K), hist, df)
+    personal_rows = personal.personalised(cut(personal.mmr(pool, vecs, K)), hist, df)
     asked = personal_rows.join(sessions.withColumnRenamed("session_id", "query_id"), "query_id", "left_semi")
     return df, personal.with_modes(asked, sessions, hist, df, K)
 

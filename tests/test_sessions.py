@@ -171,3 +171,15 @@ def test_text_weights_follow_the_formula(spark):
     raw = {"red": (1 + math.log(2)) * idf(2), "bolt": idf(1), "red red": idf(1), "red bolt": idf(1)}
     norm = math.sqrt(sum(x * x for x in raw.values()))
     assert got == pytest.approx({t: x / norm for t, x in raw.items()})
+
+
+def test_modes_show_the_reranked_picks(spark, sf):
+    from aislerank.plans import sessions
+
+    keys = ["query_id", "product_id", "rank", "score"]
+    asked = {str(r[0]) for r in spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey").collect()}
+    picks = {(r["session_id"], r["product_id"], r["rank"], r["score"]) for r in sessions.p7(spark, sf).collect()}
+    got = sessions.p10(spark, sf).filter("mode = 'personalized'").select(*keys).collect()
+    assert got and {tuple(r) for r in got} == {p for p in picks if p[0] in asked}
+    rows = {(r["query_id"], r["product_id"], r["rank"]) for r in sessions.p11(spark, sf).collect()}
+    assert {p[:3] for p in picks if p[0] in asked} <= rows
