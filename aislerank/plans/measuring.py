@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from aislerank.functions.numbers import rounded
-from aislerank.operators import drift, metrics, search, strategies, vectors
+from aislerank.operators import drift, metrics, strategies, vectors
 from aislerank.plans import sqltext as S
 from aislerank.plans.book import query
 from aislerank.plans.loading import TREND
@@ -117,14 +117,14 @@ def holdout(spark, sf):
     cut_at = F.unix_micros("ts") < CUT_US
     past = ev.filter(cut_at).select("session_id", "product_id").distinct()
     later = ev.filter(~cut_at).select("session_id", "product_id").distinct()
-    seen = cut(search.by_ids(shelf(spark, sf), ev))
+    stock = cut(shelf(spark, sf))
     sessions = ev.select(F.col("session_id").alias("query_id")).distinct()
     recs = None
     for name, score in (("popularity", "popularity_score"), ("trending", "trending_score"), ("rating", "rating")):
-        rows = strategies.overall(seen, sessions, 8, score).select(
+        rows = strategies.overall(stock, sessions, 8, score).select(
             F.lit(name).alias("scenario"), F.col("query_id").alias("session_id"), "product_id", "rank")
         recs = rows if recs is None else recs.unionByName(rows)
-    return seen, past, later, recs
+    return stock, past, later, recs
 
 
 def _lists(spark, sf):
@@ -156,9 +156,9 @@ spread AS (SELECT scenario, 1 - avg(score) AS d FROM two GROUP BY 1)
 SELECT scenario, session_id, {S.rnd('8 / (SELECT count(*) FROM trend)', 6)} AS coverage_session, history_leakage, {S.rnd('d', 6)} AS diversity_intra_list
 FROM leaks JOIN spread USING (scenario)""")
 def m12(spark, sf):
-    _, past, _, recs = holdout(spark, sf)
+    stock, past, _, recs = holdout(spark, sf)
     _, vecs = vectors.fit(described(spark, sf))
-    checks = metrics.session_checks(recs, past, shelf(spark, sf), vecs, ("scenario", "session_id"))
+    checks = metrics.session_checks(recs, past, stock, vecs, ("scenario", "session_id"))
     return six(checks.select("scenario", "session_id", "coverage_session", "history_leakage", "diversity_intra_list"),
                "coverage_session", "diversity_intra_list")
 
@@ -168,8 +168,8 @@ def m12(spark, sf):
 SELECT scenario, count(*) AS sessions, {S.rnd('avg(precision)', 6)} AS precision, {S.rnd('avg(recall)', 6)} AS recall, {S.rnd('avg(ndcg)', 6)} AS ndcg,
   {S.rnd('avg(hit_rate)', 6)} AS hit_rate, any_value(n) AS history_leakage FROM rel LEFT JOIN leaks USING (scenario) GROUP BY 1""")
 def m13(spark, sf):
-    seen, past, later, recs = holdout(spark, sf)
-    return six(metrics.compare_scenarios(recs, later, past, seen), "precision", "recall", "ndcg", "hit_rate")
+    stock, past, later, recs = holdout(spark, sf)
+    return six(metrics.compare_scenarios(recs, later, past, stock), "precision", "recall", "ndcg", "hit_rate")
 
 
 @query("M14_scenario_overlap", S.with_(TREND, HOLDOUT) + """

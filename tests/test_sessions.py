@@ -183,3 +183,13 @@ def test_modes_show_the_reranked_picks(spark, sf):
     assert got and {tuple(r) for r in got} == {p for p in picks if p[0] in asked}
     rows = {(r["query_id"], r["product_id"], r["rank"]) for r in sessions.p11(spark, sf).collect()}
     assert {p[:3] for p in picks if p[0] in asked} <= rows
+
+
+def test_holdout_recommends_from_the_whole_catalogue(spark, sf):
+    from aislerank.plans import measuring
+    from aislerank.plans.ranking import shelf
+
+    best = shelf(spark, sf).orderBy(F.desc("trending_score"), "product_id").limit(8)
+    want = {r["product_id"] for r in best.collect()}
+    recs = measuring.holdout(spark, sf)[3].filter("scenario = 'trending'")
+    assert {r["product_id"] for r in recs.select("product_id").distinct().collect()} == want
