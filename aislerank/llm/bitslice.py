@@ -8,16 +8,22 @@ selected from the most significant slice of that sum downward. The dropped bits
 coarse value; rows within that bound of the k-th coarse score are the boundary, whose integer products are computed
 exactly. So are ties: every row that may equal the k-th score is among them.
 
-Queries are met with all rows in blocks: a block of queries and a block of rows are one unit of work, and each query puts
-out at most k rows of a block. Vectors that are null or empty, hold null or non-finite components, or have a null id take
-no part; neither do scaled components beyond 2^26 in size, whose products need not fit a long. A query meets vectors of its
-own length only. Rows that repeat an id are candidates of their own, but never of a query of that id. An empty table
-gives no rows; other columns are not read.
+Rows are put into blocks once. Queries are taken in sets of at most QUERY_BYTES, which are broadcast one after the other;
+the row blocks are read where they lie for each set and never exchanged, and a query puts out at most k rows of a block.
+
+Vectors that are null or empty, hold null or non-finite components, or have a null id take no part. Vectors with a scaled
+component of 2^26 or more, whose products need not fit a long, are kept beside the index: pairs with such a vector on
+either side are multiplied in exact integers, which costs far more. A score beyond the range of a long counts as that
+range's end, so such scores are ties. A query meets vectors of its own length only. Rows that repeat an id are candidates of their own, but never of
+a query of that id. An empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
 from collections.abc import Iterator
+from operator import mul
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +35,9 @@ from aislerank.llm.common import ready, store, table
 SCALE = 1024
 DROPPED = 4
 BLOCK_ROWS = 1 << 14
-QUERY_ROWS = 1 << 10
+QUERY_BYTES = 1 << 25
 LIMIT = 1 << 26
+LONGEST = (1 << 63) - 1
 
 BLOCKS = "dims int, block long, ids binary, vectors binary"
 
@@ -132,78 +139,142 @@ class Slices:
 
 
 def integers(vectors: DataFrame, key: str = "vec_id", value: str = "embedding", scale: int = SCALE) -> DataFrame:
-    """vec_id, dims and vector (array<long>) of the rows that take part."""
+    """vec_id, dims, vector (array<long>) of the rows that take part; wide rows have no vector but `wide`, the scaled
+    components as doubles."""
     x = F.transform(value, lambda c: c.cast("double") * scale)
-    fine = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < LIMIT))
-    return (vectors.where(F.col(key).isNotNull() & (F.size(value) > 0)).withColumn("x", x).where(fine)
-            .select(F.col(key).cast("long").alias("vec_id"), F.size("x").alias("dims"),
-                    F.transform("x", lambda c: F.floor(c).cast("long")).alias("vector")))
+    finite = F.forall("x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
+    wide = F.exists("x", lambda c: F.abs(c) >= LIMIT)
+    rows = vectors.where(F.col(key).isNotNull() & (F.size(value) > 0)).select(F.col(key).cast("long").alias("vec_id"), x.alias("x"))
+    return rows.where(finite).select(
+        "vec_id", F.size("x").alias("dims"), F.when(~wide, F.transform("x", lambda c: F.floor(c).cast("long"))).alias("vector"),
+        F.when(wide, F.col("x")).alias("wide"))
 
 
 def blocks(rows: DataFrame, size: int) -> DataFrame:
-    """Rows of equal length in blocks of about `size`, dealt by hash; `rows` is a stored table."""
+    """Rows of equal length in blocks of about `size`, dealt by hash; `rows` is a stored table.
+
+    A task sorts its rows by block and puts each block out as it ends, so it holds one at a time.
+    """
     ready(rows.sparkSession)
     number = max(1, -(-rows.count() // size))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, tuple[list, list]] = {}
-        for batch in batches:
-            dims, place, ids, vectors = (batch.column(i) for i in range(4))
-            keys = np.stack([dims.to_numpy(), place.to_numpy()], axis=1)
-            for key in np.unique(keys, axis=0):
-                some = np.flatnonzero((keys == key).all(axis=1))
-                a, b = held.setdefault(tuple(key.tolist()), ([], []))
-                a.append(ids.take(pa.array(some)).to_numpy(zero_copy_only=False))
-                b.append(vectors.take(pa.array(some)).flatten().to_numpy(zero_copy_only=False).astype("<i4"))
-        for (d, place), (a, b) in held.items():
-            yield pa.RecordBatch.from_arrays([
-                pa.array([d], pa.int32()), pa.array([place], pa.int64()),
-                pa.array([np.concatenate(a).astype("<i8").tobytes()]), pa.array([np.concatenate(b).tobytes()])],
+        current, ids, vectors = None, [], []
+
+        def close() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([
+                pa.array([current[0]], pa.int32()), pa.array([current[1]], pa.int64()),
+                pa.array([np.concatenate(ids).astype("<i8").tobytes()]), pa.array([np.concatenate(vectors).tobytes()])],
                 names=["dims", "block", "ids", "vectors"])
 
+        for batch in batches:
+            dims, place = (batch.column(i).to_numpy() for i in range(2))
+            new = np.flatnonzero((np.diff(dims, prepend=-1) != 0) | (np.diff(place, prepend=-1) != 0))
+            for start, end in zip(new, [*new[1:], batch.num_rows]):
+                key = (int(dims[start]), int(place[start]))
+                if key != current:
+                    if ids:
+                        yield close()
+                    current, ids, vectors = key, [], []
+                part = batch.slice(start, end - start)
+                ids.append(part.column(2).to_numpy())
+                vectors.append(part.column(3).flatten().to_numpy(zero_copy_only=False).astype("<i4"))
+        if ids:
+            yield close()
+
     dealt = rows.select("dims", F.pmod(F.xxhash64(F.lit(6), "vec_id", "vector"), F.lit(number)).alias("block"), "vec_id", "vector")
-    return dealt.repartition("dims", "block").mapInArrow(pack, BLOCKS)
+    return dealt.repartition("dims", "block").sortWithinPartitions("dims", "block").mapInArrow(pack, BLOCKS)
 
 
-def search(queries: DataFrame, rows: DataFrame, k: int = 10, query_rows: int = QUERY_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """query_id, rank, vec_id, score: the k best rows of every query, ties to the smaller id.
+def query_sets(queries: DataFrame, most_bytes: int) -> Iterator[list]:
+    """The queries in sets of about most_bytes of vectors, dealt by hash; `queries` is a stored table."""
+    total = queries.agg(F.coalesce(F.sum(8 * (F.col("dims").cast("long") + 1)), F.lit(0))).first()[0]
+    number = max(1, -(-int(total) // most_bytes))
+    for n in range(number if total else 0):
+        yield queries.where(F.pmod(F.xxhash64(F.lit(7), "vec_id", "vector", "wide"), F.lit(number)) == n).collect()
 
-    Both sides come from `integers`, stored. Every block of rows meets every block of queries of its length.
-    """
-    spark = rows.sparkSession
-    asked = store(blocks(queries, query_rows), "query-blocks").select(
-        "dims", F.col("block").alias("query_block"), F.col("ids").alias("query_ids"), F.col("vectors").alias("query_vectors"))
-    held = store(blocks(rows, block_rows), "row-blocks")
-    last = [side.agg(F.coalesce(F.max(c), F.lit(-1))).first()[0] for side, c in ((held, "block"), (asked, "query_block"))]
-    numbers = [F.sequence(F.lit(0), F.lit(max(0, n))) for n in last]
-    # the key of a unit is the pair of its blocks, so that units are spread evenly whatever their number
-    met = held.withColumn("query_block", F.explode(numbers[1])).join(
-        asked.withColumn("block", F.explode(numbers[0])), ["dims", "block", "query_block"])
-    ready(spark)
+
+def whole(row) -> list[int]:
+    """The integer vector of a row, wide or not."""
+    return row["vector"] if row["vector"] is not None else [math.floor(x) for x in row["wide"]]
+
+
+FOUND = "query_id long, vec_id long, score long"
+
+
+def _batch(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    columns = [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0, np.int64)] * 3
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
+
+
+def by_index(held: DataFrame, asked: list, k: int) -> DataFrame:
+    """The k best rows of every block for each of the queries `asked`."""
+    by_length: dict[int, list] = {}
+    for row in asked:
+        by_length.setdefault(row["dims"], []).append(row)
+    shared = held.sparkSession.sparkContext.broadcast(
+        {d: (np.array([r["vec_id"] for r in rows], np.int64), np.array([r["vector"] for r in rows], np.int64))
+         for d, rows in by_length.items()})
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
+                query_ids, wanted = shared.value.get(row["dims"], ((), ()))
+                if not len(query_ids):
+                    continue
                 ids = np.frombuffer(row["ids"], "<i8")
                 index = Slices(np.frombuffer(row["vectors"], "<i4").reshape(len(ids), row["dims"]).astype(np.int64))
-                query_ids = np.frombuffer(row["query_ids"], "<i8")
-                wanted = np.frombuffer(row["query_vectors"], "<i4").reshape(len(query_ids), row["dims"]).astype(np.int64)
-                out: list[tuple[np.ndarray, ...]] = []
-                copies = {i: int((ids == i).sum()) for i in query_ids.tolist()}
+                copies = dict(zip(*(c.tolist() for c in np.unique(ids, return_counts=True))))
+                out = []
                 for query_id, query in zip(query_ids.tolist(), wanted):
-                    found, scores = index.nearest(query, k + copies[query_id])
+                    found, scores = index.nearest(query, k + copies.get(query_id, 0))
                     other = ids[found] != query_id
                     found, scores = ids[found[other]], scores[other]
                     best = np.lexsort((found, -scores))[:k]
                     out.append((np.full(len(best), query_id), found[best], scores[best]))
-                if out:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(c), pa.int64()) for c in zip(*out)], names=["query_id", "vec_id", "score"])
+                yield _batch(out)
+
+    return held.select("dims", "ids", "vectors").mapInArrow(meet, FOUND)
+
+
+def by_product(rows: DataFrame, asked: list, k: int) -> DataFrame:
+    """The k best rows of every batch for each of the queries `asked`, by exact products of whole numbers of any size."""
+    shared = rows.sparkSession.sparkContext.broadcast([(r["vec_id"], r["dims"], whole(r)) for r in asked])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [(r["vec_id"], r["dims"], whole(r)) for r in batch.to_pylist()]
+            out = []
+            for query_id, dims, query in shared.value:
+                scored = [(-max(-LONGEST - 1, min(LONGEST, sum(map(mul, query, v)))), i)
+                          for i, d, v in held if d == dims and i != query_id]
+                best = heapq.nsmallest(k, scored)
+                out.append((np.full(len(best), query_id), np.array([i for _, i in best], np.int64),
+                            np.array([-s for s, _ in best], np.int64)))
+            yield _batch(out)
 
-    pairs = met.select("dims", "ids", "vectors", "query_ids", "query_vectors").mapInArrow(
-        meet, "query_id long, vec_id long, score long")
+    return rows.select("vec_id", "dims", "vector", "wide").mapInArrow(meet, FOUND)
+
+
+def search(queries: DataFrame, rows: DataFrame, k: int = 10, query_bytes: int = QUERY_BYTES, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """query_id, rank, vec_id, score: the k best rows of every query, ties to the smaller id.
+
+    Both sides come from `integers`, stored. Every row meets every query of its length, a set of queries at a time.
+    """
+    spark = rows.sparkSession
+    ready(spark)
+    held = store(blocks(rows.where("wide is null"), block_rows), "row-blocks")
+    wide = rows.where("wide is not null")
+    any_wide = not wide.isEmpty()
+    found = spark.createDataFrame([], FOUND)
+    for asked in query_sets(queries.where("wide is null"), query_bytes):
+        part = by_index(held, asked, k)
+        found = found.unionByName(store(part.unionByName(by_product(wide, asked, k)) if any_wide else part, "found"))
+    if any_wide:
+        for asked in query_sets(queries.where("wide is not null"), query_bytes):
+            found = found.unionByName(store(by_product(rows, asked, k), "found"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,10 +53,29 @@ def stage_scratch(spark: SparkSession) -> Iterator[None]:
         _LEFT.extend(_OPEN.pop())
 
 
-def row_keys(docs: DataFrame) -> DataFrame:
-    """Adds _a and _b, which name a row by its doc_id and text; only repeated rows share them."""
-    return docs.withColumns({"_a": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)),
-                             "_b": F.xxhash64(F.col("doc_id").isNull(), F.coalesce("text", F.lit("")), F.col("text").isNull())})
+def free_name(columns: list[str], name: str) -> str:
+    """The name, with as many marks after it as it takes to differ from all columns, whatever their case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def row_keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with one more column, and that column's name: (file, row), which names a row and is the same in every read.
+
+    Rows of Parquet files are named by their place (the file by a 64-bit hash of its path); other tables are written first.
+    """
+    name = free_name(docs.columns, "row_key")
+    place = "struct(xxhash64(_metadata.file_path) AS file, _metadata.row_index AS row)"
+    if "_metadata" not in map(str.lower, docs.columns):
+        try:
+            return docs.select("*", F.expr(place).alias(name)), name
+        except AnalysisException:  # not read from files
+            pass
+    number = F.monotonically_increasing_id()
+    return store(docs.select("*", F.struct(F.shiftright(number, 33).alias("file"), number.alias("row")).alias(name)), "rows"), name
+
 
 def ready(spark: SparkSession) -> None:
     """Let Python workers on any executor import this library."""

@@ -1,11 +1,13 @@
 """Main text of web pages by the distribution of line blocks.
 
-Markup is stripped and a page becomes lines, one for each block element, in page order. Containers that are never main
-text (menus, headers, footers, sidebars, notices, adverts, forms, comments, by tag, role, class or id) are left out, and
-text inside links counts nothing. The length of a line block is the sum over WINDOW lines. A surge is a block of at least
-SURGE characters; the text runs back and on from it to the dive points, where a whole block is empty. A container's tags
-stand for empty lines, those of article and main for an empty block each, so these always end a run. Runs inside article
-or main elements are the text if there are any, else the runs with a surge, else every line.
+Markup is stripped and a page becomes lines, one for each block element, in page order. What pages mark as a menu, header,
+footer, sidebar, notice, advert, form or comment, by tag, role, class or id, is markup in this sense and gives no line; no
+tag or name says that something is main text. Text inside links counts nothing. The edge of an area (div, section,
+article, ...) stands for AREA empty lines, that of a list, table or quotation for one.
+
+The length of a line block is the sum over WINDOW lines. A dive point is a block of length 0; it ends a run of lines. A
+surge is a block of at least SURGE characters. The text is every run with a surge. A page without any surge has too little
+text to tell, and all its lines are kept.
 
 Character references are decoded, white space in a line becomes one space, empty lines go, and lines are joined by \\n in
 page order. Pages are read whole. A null page is an empty one and gives an empty text; so do pages without text. Rows are
@@ -26,6 +28,7 @@ from aislerank.llm.common import ready, table
 
 WINDOW = 3
 SURGE = 80
+AREA = 2
 
 #: Element names of HTML by what they do here.
 _RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "noembed", "noframes"}
@@ -36,8 +39,8 @@ _BLOCK = {"address", "article", "aside", "blockquote", "body", "br", "caption",
           "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "frameset", "h1", "h2", "h3", "h4",
           "h5", "h6", "header", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "optgroup", "option", "p",
           "pre", "section", "select", "summary", "table", "tbody", "td", "textarea", "tfoot", "th", "thead", "tr", "ul"}
-_TEXT = {"article", "main"}
-_CONTAINERS = {"div", "section", "ul", "ol", "dl", "table", "figure", "details", "center", "blockquote"} | (_HIDDEN & _BLOCK)
+_AREAS = {"div", "section", "article", "main", "details", "center", "body"} | (_HIDDEN & _BLOCK)
+_GROUPS = {"ul", "ol", "dl", "table", "figure", "blockquote"}
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "menu", "menubar", "dialog", "alert",
           "alertdialog", "form"}
 #: Words in class or id that name what is not main text.
@@ -75,13 +78,13 @@ def _is_apart(name: str, rest: str) -> bool:
     return False
 
 
-def lines(page: str) -> list[tuple[str, int, bool]]:
-    """(text, characters outside links, inside article or main) of every line; ("", 0, ...) at container edges."""
-    out: list[tuple[str, int, bool]] = []
+def lines(page: str) -> list[tuple[str, int]]:
+    """(text, characters outside links) of every line, and empty lines at the edges of areas and groups."""
+    out: list[tuple[str, int]] = []
     text: list[str] = []
     counted = 0
-    stack: list[tuple[str, bool, bool]] = []  # open elements: name, apart, article or main
-    apart = inside = links = 0
+    stack: list[tuple[str, bool]] = []  # open elements: name, apart
+    apart = links = 0
 
     def add(piece: str) -> None:
         nonlocal counted
@@ -95,21 +98,20 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
         nonlocal text, counted
         line = _SPACE.sub(" ", html.unescape("".join(text))).strip()
         if line:
-            out.append((line, min(counted, len(line)), inside > 0))
+            out.append((line, min(counted, len(line))))
         text, counted = [], 0
 
-    def edge() -> None:
-        end_line()
-        out.extend([("", 0, inside > 0)] * WINDOW)
+    def edge(name: str) -> None:
+        if not apart:  # what is stripped leaves no gap
+            out.extend([("", 0)] * (AREA if name in _AREAS else name in _GROUPS))
 
     def pop(name: str) -> None:
-        nonlocal apart, inside, links
-        if not any(n == name for n, _, _ in stack):
+        nonlocal apart, links
+        if not any(n == name for n, _ in stack):
             return
         while stack:
-            found, was_apart, was_text = stack.pop()
+            found, was_apart = stack.pop()
             apart -= was_apart
-            inside -= was_text
             links -= found == "a"
             if found == name:
                 return
@@ -128,10 +130,7 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
         if token["close"]:
             if name in _BLOCK:
                 end_line()
-            if name in _TEXT and any(n == name for n, _, _ in stack):
-                edge()
-            elif name in _CONTAINERS:
-                out.append(("", 0, inside > 0))
+            edge(name)
             pop(name)
             continue
         if name in _BLOCK:
@@ -146,14 +145,10 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
             _implied(stack, {"p"}, pop)
         elif name in ("li", "option", "tr", "td", "th", "dt", "dd"):
             _implied(stack, {name, "p"}, pop)
-        was_apart, was_text = _is_apart(name, token["rest"] or ""), name in _TEXT
-        if was_text and not apart:
-            edge()
-        elif name in _CONTAINERS:
-            out.append(("", 0, inside > 0))
-        stack.append((name, was_apart, was_text))
+        was_apart = _is_apart(name, token["rest"] or "")
+        stack.append((name, was_apart))
         apart += was_apart
-        inside += was_text
+        edge(name)
         links += name == "a"
     end_line()
     return out
@@ -161,7 +156,7 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
 
 def _implied(stack: list, names: set[str], pop) -> None:
     """End an open element of these names unless another container was opened inside it."""
-    for found, _, _ in reversed(stack):
+    for found, _ in reversed(stack):
         if found in names:
             pop(found)
             return
@@ -169,25 +164,25 @@ def _implied(stack: list, names: set[str], pop) -> None:
             return
 
 
+def runs_of(lengths: list[int]) -> list[range]:
+    """Lines between dive points: from a line with characters to the last one before WINDOW lines without any."""
+    runs, start, last = [], None, 0
+    for i, n in enumerate(lengths):
+        if n:
+            if start is not None and i - last > WINDOW:
+                runs.append(range(start, last + 1))
+                start = None
+            start, last = i if start is None else start, i
+    return runs if start is None else [*runs, range(start, last + 1)]
+
+
 def main_text(page: str | None) -> str:
     rows = lines(page or "")
-    lengths = [n for _, n, _ in rows] + [0] * WINDOW
+    lengths = [n for _, n in rows]
     blocks = [sum(lengths[i : i + WINDOW]) for i in range(len(rows))]
-    runs: list[list[int]] = []  # lines between dive points
-    empty = WINDOW
-    for i, (line, n, _) in enumerate(rows):
-        if not line or n == 0:
-            empty += 1
-        if line:
-            if empty >= WINDOW:
-                runs.append([])
-            runs[-1].append(i)
-            if n:
-                empty = 0
-    inside = [run for run in runs if any(rows[i][2] for i in run)]
-    surging = [run for run in runs if any(blocks[i] >= SURGE for i in run)]
-    chosen = inside or surging or runs
-    return "\n".join(rows[i][0] for run in chosen for i in run)
+    runs = [run for run in runs_of(lengths) if any(blocks[i] >= SURGE for i in run)]
+    chosen = [i for run in runs for i in run] if runs else range(len(rows))
+    return "\n".join(rows[i][0] for i in chosen if rows[i][0])
 
 
 def extract(pages: DataFrame) -> DataFrame:

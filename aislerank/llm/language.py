@@ -6,8 +6,9 @@ SVM of its own, and the language with most votes wins, ties by the sum of margin
 that is in none is a family of its own.
 
 Models are fitted on at most PER_LANGUAGE documents of a language and SAMPLE in all, those with the lowest hash of their
-id. All SVMs are trained apart, one task each. Their number is bounded by MOST_LANGUAGES (the most frequent ones), which
-bounds the broadcast: a vector of 2^BITS floats for each family and pair.
+id, one row for each id and language; every language gets a document before any gets the next. Pairs are trained apart, one
+task each, families in FAMILY_TASKS tasks at most, each of which holds the sample. All languages of the sample are learned;
+their number, and with it the broadcast of 2^BITS floats for each family and pair, is bounded by SAMPLE.
 
 A null text, or one without a letter, is `und` with score 0. With no labelled document every text is. Repeated rows are
 reported once each; an empty table gives no rows; other columns are not read.
@@ -31,7 +32,7 @@ BITS = 12
 NGRAMS = (1, 2, 3, 4)
 PER_LANGUAGE = 1000
 SAMPLE = 8_000
-MOST_LANGUAGES = 64
+FAMILY_TASKS = 64
 UNKNOWN = "und"
 
 #: Language families by ISO 639-1 code.
@@ -102,14 +103,21 @@ def linear_svm(x: np.ndarray, y: np.ndarray, strength: float = 1e-4, passes: int
 
 
 def sample(docs: DataFrame, learn: Column) -> DataFrame:
-    """Bounded sample: doc_id, text, lang of labelled documents with a letter."""
-    usable = docs.where(learn & F.col("lang").isNotNull() & has_letter(F.col("text")))
-    keys = usable.select("doc_id", "lang")
-    many = keys.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES)
-    order = Window.partitionBy("lang").orderBy(unit_hash(2, F.col("doc_id")), "doc_id")
-    chosen = (keys.join(F.broadcast(many.select("lang")), "lang").withColumn("n", F.row_number().over(order))
-              .where(F.col("n") <= PER_LANGUAGE).orderBy("n", "lang", "doc_id").limit(SAMPLE).select("doc_id", "lang"))
-    return docs.select("doc_id", "text").join(F.broadcast(chosen.distinct()), "doc_id")  # SAMPLE rows at most
+    """Bounded sample: doc_id, text, lang of labelled documents with a letter.
+
+    Of a language with many ids only those with a hash low enough for twice PER_LANGUAGE are ranked.
+    """
+    usable = docs.where(learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & has_letter(F.col("text")))
+    keys = usable.select("doc_id", "lang", unit_hash(2, F.col("doc_id")).alias("hash"))
+    sizes = keys.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("ids"))
+    low = F.col("hash") < F.lit(float(1 << 62)) * 2 * PER_LANGUAGE / F.col("ids")
+    order = Window.partitionBy("lang").orderBy("hash", "doc_id")
+    chosen = (keys.join(sizes, "lang").where(low).select("doc_id", "lang", "hash").distinct()
+              .withColumn("n", F.row_number().over(order)).where(F.col("n") <= PER_LANGUAGE)
+              .orderBy("n", "hash", "lang").limit(SAMPLE).select("doc_id", "lang"))
+    texts = usable.select("doc_id", "lang", F.struct(F.xxhash64("text").alias("by"), "text").alias("row"))
+    one = texts.join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("row").alias("row"))
+    return one.select("doc_id", "row.text", "lang")  # SAMPLE rows at most
 
 
 def has_letter(text: Column) -> Column:
@@ -119,39 +127,44 @@ def has_letter(text: Column) -> Column:
 def fit(training: DataFrame) -> DataFrame:
     """One row for each SVM: step (family, pair), first, second (null for the rest), weights, intercept."""
     ready(training.sparkSession)
-    languages = sorted(r[0] for r in training.select("lang").distinct().limit(MOST_LANGUAGES).collect())
+    languages = sorted(r[0] for r in training.select("lang").distinct().collect())  # SAMPLE at most
     families = sorted({family_of(x) for x in languages})
-    jobs = [("family", f, None, [x for x in languages if family_of(x) == f], [x for x in languages if family_of(x) != f])
-            for f in families]
-    jobs += [("pair", a, b, [a], [b]) for a, b in combinations(languages, 2) if family_of(a) == family_of(b)]
-    roles: dict[str, list[tuple[int, int]]] = {x: [] for x in languages}
-    for n, (_, _, _, plus, minus) in enumerate(jobs):
-        for side, group in ((1, plus), (-1, minus)):
-            for x in group:
-                roles[x].append((n, side))
+    family_tasks = min(FAMILY_TASKS, len(families))
+    members = {f: [x for x in languages if family_of(x) == f] for f in families}
+    pairs = [pair for f in families for pair in combinations(members[f], 2)]
+    #: tasks that need the documents of a language: all of families, those of its own pairs
+    roles = {x: [*range(family_tasks)] for x in languages}
+    for n, pair in enumerate(pairs):
+        for x in pair:
+            roles[x].append(family_tasks + n)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, tasks, sides, rows = [], [], [], []
             for doc_id, text, lang in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 x = features(text).astype(np.float16).tobytes()  # 2^BITS halves: 8 KB a document
-                for task, side in roles[lang]:
-                    ids.append(doc_id), tasks.append(task), sides.append(side), rows.append(x)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(tasks, pa.int32()), pa.array(sides, pa.int32()), pa.array(rows, pa.binary())],
-                names=["doc_id", "task", "side", "x"])
+                tasks = roles[lang]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([doc_id] * len(tasks), pa.int64()), pa.array(tasks, pa.int32()),
+                     pa.array([lang] * len(tasks), pa.string()), pa.array([x] * len(tasks), pa.binary())],
+                    names=["doc_id", "task", "lang", "x"])
 
     def learn(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("doc_id", kind="stable")
+        frame = frame.sort_values(["doc_id", "lang"], kind="stable")
         x = np.empty((len(frame), 1 << BITS), np.float32)
         for n, row in enumerate(frame["x"]):
             x[n] = np.frombuffer(row, np.float16)
-        weights, intercept = linear_svm(x, frame["side"].to_numpy(float))
-        step, first, second, _, _ = jobs[int(key[0])]
-        return pd.DataFrame({"step": [step], "first": [first], "second": [second],
-                             "weights": [weights.astype(np.float32).tobytes()], "intercept": [float(intercept)]})
-
-    rows = training.select("doc_id", "text", "lang").mapInArrow(vectors, "doc_id long, task int, side int, x binary")
+        task = int(key[0])
+        if task < family_tasks:
+            own = frame["lang"].map(family_of)
+            jobs = [("family", f, None, own == f) for f in families[task::family_tasks]]
+        else:
+            first, second = pairs[task - family_tasks]
+            jobs = [("pair", first, second, frame["lang"] == first)]
+        fitted = [linear_svm(x, np.where(plus, 1.0, -1.0)) for _, _, _, plus in jobs]
+        return pd.DataFrame({"step": [j[0] for j in jobs], "first": [j[1] for j in jobs], "second": [j[2] for j in jobs],
+                             "weights": [w.astype(np.float32).tobytes() for w, _ in fitted], "intercept": [float(b) for _, b in fitted]})
+
+    rows = training.select("doc_id", "text", "lang").mapInArrow(vectors, "doc_id long, task int, lang string, x binary")
     return rows.groupBy("task").applyInPandas(
         learn, "step string, first string, second string, weights binary, intercept double")
 

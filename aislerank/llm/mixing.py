@@ -5,16 +5,19 @@ of a source are dealt by hash to blocks, and blocks are put in a permuted order.
 passes first, then the leading blocks of one more pass, the block at the end only in part.
 
 All block draws of all passes are split among output shards by a tree: a node that stands for some shards divides its
-draws of every source between its halves by a multivariate-hypergeometric draw, exact in the quotas of both. At the
+draws of every source between its halves by a multivariate-hypergeometric draw, exact in the quotas of both (see `drawn`
+for what replaces the library's draw beyond 10^9). At the
 leaves a shard owns a range of each source's permuted draws, disjoint from the others'. Inside a shard documents follow
 each other in a hashed order. Every draw is seeded by the node, so that reruns agree.
 
-A null text has size 0, a null source is a source of its own and comes last. Repeated rows are documents of their own. A
-table without words has targets 0 and takes nothing. Other columns pass through `mix` untouched.
+A null text has size 0, a null source is a source of its own and comes last. Repeated rows are documents of their own:
+rows of one doc_id, text and source are numbered, so that they are dealt to different blocks, and hashes are of what a row
+holds and that number, never of its place, so that reruns over other files agree. A table without words has targets 0 and takes nothing. Other columns pass through `mix` untouched.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from aislerank.llm.common import ready, row_keys, store, table, unit_hash, word_count
+from aislerank.llm.common import ready, row_keyed, store, table, unit_hash, word_count
 
 WEIGHTS = (1, 2, 3)
 PASSES = 3
@@ -34,6 +37,8 @@ SHARD_WORDS = 1 << 20
 #: Levels of the tree that one task splits at once.
 LEVELS = 6
 SEED = 3
+#: Sides of a draw: numpy's bound, and what is drawn one by one beyond it.
+LARGE, FEW = 10**9, 10_000
 
 _SOURCES = ("source IS NULL", "source")
 
@@ -99,12 +104,35 @@ def cut_block(frame: pd.DataFrame) -> pd.DataFrame:
     if over and min(over)[0] < left:
         taken[min(over)[1]] = True
     frame["extra"] = taken.astype(np.int64)
-    return frame[["row", "extra"]]
+    return frame[["file", "at", "extra"]]
 
 
 # ---------------------------------------------------------------- the tree
 
 
+def drawn(rng: np.random.Generator, n: int, rest: int, need: int) -> int:
+    """How many of `need` draws from n + rest fall on the n (hypergeometric).
+
+    numpy draws exactly while both sides are below 10^9. Beyond that a side of at most FEW is drawn one by one, which is
+    exact; larger ones by the normal limit, whose error is below one in its standard deviation. Quotas add up in any case.
+    """
+    total = n + rest
+    if not rest or need >= total:
+        return min(need, n)
+    if max(n, rest) < LARGE:
+        return int(rng.hypergeometric(n, rest, need))
+    few = min(n, rest)
+    if few <= FEW:
+        hits, left = 0, need
+        for at in range(few):
+            hit = rng.integers(total - at) < left
+            hits, left = hits + int(hit), left - int(hit)
+        return hits if few == n else need - hits
+    mean = need * (n / total)
+    spread = math.sqrt(mean * (rest / total) * ((total - need) / (total - 1)))
+    return int(min(n, need, max(0, need - rest, round(mean + spread * rng.standard_normal()))))
+
+
 def split(counts: np.ndarray, shards: int, first: int, levels: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Leaves of a subtree as (first shard, number of shards, draws of each source, draws ahead of them).
 
@@ -125,7 +153,7 @@ def split(counts: np.ndarray, shards: int, first: int, levels: int) -> Iterator[
         for i, n in enumerate(counts.tolist()):  # one source after the other, each given the draws before it
             rest -= n
             if need and n:
-                left[i] = rng.hypergeometric(n, rest, need) if rest else need
+                left[i] = drawn(rng, n, rest, need)
                 need -= int(left[i])
         stack.append((first + half, shards - half, counts - left, ahead + left, levels - 1))
         stack.append((first, half, left, ahead, levels - 1))
@@ -158,31 +186,55 @@ def shard_quotas(totals: DataFrame, shards: int) -> DataFrame:
 # ---------------------------------------------------------------- the mix
 
 
-def mix(docs: DataFrame, shard_words: int = SHARD_WORDS) -> tuple[DataFrame, DataFrame]:
-    """The mix and the account of it.
+def hashed_rows(docs: DataFrame, key: str) -> DataFrame:
+    """row (its key), doc_id, source, size and order (a hash of doc_id, text, source and the number among equal rows).
 
-    Mix: every taken copy as (row, copy, shard, place), place a hash that orders the shard. Account: row, _a, _b (see
-    row_keys), doc_id, size, source, source_size, target, copies for every row of docs.
+    Equal rows are numbered file by file, so that no task holds more than a file's.
+    """
+    content = F.xxhash64(F.col("doc_id").isNull(), F.coalesce("text", F.lit("")), F.col("text").isNull(), "source")
+    rows = store(docs.select(
+        F.col(key).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "source",
+        word_count(F.col("text")).alias("size"), content.alias("content")), "sizes")
+    equal = [F.coalesce("doc_id", F.lit(-1)).alias("id"), F.col("content")]
+    many = rows.groupBy(*equal).agg(F.count("*").alias("n")).where("n > 1").select("id", "content")
+    again = rows.select(*equal, "row").join(many, ["id", "content"])
+    in_file = Window.partitionBy("id", "content", "row.file").orderBy("row.row")
+    before = Window.partitionBy("id", "content").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    files = again.groupBy("id", "content", F.col("row.file").alias("file")).agg(F.count("*").alias("n"))
+    ahead = files.select("id", "content", "file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
+    numbers = (again.withColumn("at", F.row_number().over(in_file) - 1).withColumn("file", F.col("row.file"))
+               .join(ahead, ["id", "content", "file"]).select("row", (F.col("at") + F.col("ahead")).alias("number")))
+    plain = unit_hash(SEED, F.coalesce("doc_id", F.lit(-1)), F.col("content"))
+    repeat = unit_hash(SEED, F.coalesce("doc_id", F.lit(-1)), F.col("content"), F.col("number"))
+    order = F.when(F.coalesce("number", F.lit(0)) == 0, plain).otherwise(repeat)
+    return store(rows.join(numbers, "row", "left").select("row", "doc_id", "source", "size", order.alias("order")), "ordered")
+
+
+def mix(docs: DataFrame, key: str, shard_words: int = SHARD_WORDS) -> tuple[DataFrame, DataFrame]:
+    """The mix and the account of it; `key` is the column of docs that names its rows (see row_keyed).
+
+    Mix: every taken copy as (row, copy, shard, place), place a hash that orders the shard. Account: row, doc_id, size,
+    source, source_size, target, copies for every row of docs.
     """
     spark = docs.sparkSession
     ready(spark)
-    sized = store(row_keys(docs).select(F.col("doc_id").cast("long"), "source", word_count(F.col("text")).alias("size"),
-                                        "_a", "_b", F.monotonically_increasing_id().alias("row")), "sizes")
+    sized = hashed_rows(docs, key)
     numbered = source_targets(sized).withColumn(
         "number", F.row_number().over(Window.orderBy(*map(F.expr, _SOURCES))).cast("long"))
     targets = store(numbered, "targets").withColumn("blocks", _blocks(F.col("source_size"), F.col("n_docs")))
 
     right = targets.withColumnRenamed("source", "s")
     joined = sized.join(right, sized["source"].eqNullSafe(right["s"])).drop("s")
-    order = unit_hash(SEED, F.col("_a"), F.col("_b"))
-    dealt = joined.withColumn("order", order).withColumn("block", F.pmod("order", "blocks"))
+    dealt = joined.withColumn("block", F.pmod("order", "blocks"))
     plan = store(block_plan(dealt, targets).join(
         targets.select(F.col("source").alias("s"), "number"), F.col("source").eqNullSafe(F.col("s"))).drop("s"), "blocks")
 
     # the block at the end of a source's last pass, one at most: its documents are chosen one by one
     ends = plan.where("part > 0 and part < words").select("number", "block", "part")
-    chosen = (dealt.join(ends, ["number", "block"]).select("row", "doc_id", "size", "order", "part", "number")
-              .groupBy("number").applyInPandas(cut_block, "row long, extra long"))
+    chosen = (dealt.join(ends, ["number", "block"]).select(
+        F.col("row.file").alias("file"), F.col("row.row").alias("at"), "doc_id", "size", "order", "part", "number")
+              .groupBy("number").applyInPandas(cut_block, "file long, at long, extra long")
+              .select(F.struct(F.col("file"), F.col("at").alias("row")).alias("row"), "extra"))
 
     # draws of a source in permuted order: every pass in turn, and a last one with the blocks that are taken in part
     counts = plan.select("number", "block", "rank", "passes", (F.col("part") > 0).cast("long").alias("more"))
@@ -201,7 +253,7 @@ def mix(docs: DataFrame, shard_words: int = SHARD_WORDS) -> tuple[DataFrame, Dat
     whole = dealt.join(plan.select("number", "block", "passes", "part", "words"), ["number", "block"])
     extra = F.when(F.col("part") == F.col("words"), (F.col("part") > 0).cast("long")).otherwise(F.coalesce("extra", F.lit(0)))
     account = store(whole.join(store(chosen, "ends"), "row", "left").select(
-        "row", "_a", "_b", "doc_id", "size", "source", "source_size", "target", "number", "block", "order",
+        "row", "doc_id", "size", "source", "source_size", "target", "number", "block", "order",
         F.when(F.col("size") > 0, F.col("passes") + extra).otherwise(F.lit(0)).alias("copies")), "account")
     copies = account.where("copies > 0").join(homes, ["number", "block"]).select(
         "row", "order", "copies", F.explode("homes").alias("home")).where("home.copy <= copies")
@@ -211,7 +263,7 @@ def mix(docs: DataFrame, shard_words: int = SHARD_WORDS) -> tuple[DataFrame, Dat
 
 
 def op3_hypergeometric_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    taken, account = mix(table(spark, sf_dir, "documents"))
+    taken, account = mix(*row_keyed(table(spark, sf_dir, "documents")))
     times = taken.groupBy("row").agg(F.count("*").alias("times"), F.sort_array(F.collect_list("shard")).alias("shards"))
     return account.join(times, "row", "left").select(
         "doc_id", "size", "source_size", "target",

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aislerank.llm.common import ready, store, table
+from aislerank.llm.common import ready, row_keyed, store, table
 from aislerank.llm.components import components
 from aislerank.session import cut
 
@@ -61,16 +61,19 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     return majority(shingle_hashes(text, words))
 
 
-def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of every row."""
+def fingerprints(docs: DataFrame, words: int = 3, key: str | None = None) -> DataFrame:
+    """doc_id and fp (the fingerprint as a signed long) of every row, and its key if there is such a column."""
     ready(docs.sparkSession)
+    keep = [F.col("doc_id").cast("long").alias("doc_id"), *([F.col(key).alias("key")] if key else [])]
+    schema = docs.select(*keep).schema.add("fp", "long")
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.fromiter((fingerprint(t.as_py(), words) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            *kept, texts = batch.columns
+            found = np.fromiter((fingerprint(t.as_py(), words) for t in texts), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(found.view(np.int64))], names=schema.names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(compute, "doc_id long, fp long")
+    return docs.select(*keep, "text").mapInArrow(compute, schema)
 
 
 def popcounts(fp: Column) -> Column:
@@ -124,6 +127,22 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     return found.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
+def one_of_each(docs: DataFrame, words: int = 3) -> DataFrame:
+    """The row with the smallest doc_id (a null one last, then by place) of every component; the columns of docs.
+
+    Only row keys and fingerprints are exchanged, and texts once to leave out the rows that go.
+    """
+    rows, key = row_keyed(docs)
+    found = store(fingerprints(rows, words, key), "fingerprints")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    firsts = cut(found.groupBy("fp").agg(F.min(place).alias("first")))
+    roots = components(links(firsts.select("fp"))).withColumnRenamed("node", "fp")
+    stay = (firsts.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root"))
+            .agg(F.min("first").alias("first")).select("first.key"))
+    gone = store(found.select("key").join(stay, "key", "left_anti"), "dropped-rows")
+    return rows.join(gone.withColumnRenamed("key", key), key, "left_anti").select(*docs.columns)
+
+
 def op4_popcount_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

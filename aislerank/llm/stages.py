@@ -10,24 +10,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aislerank.llm import mixing, near_texts, packing, secret_scan, toxicity
-from aislerank.llm.common import row_keys, stage_scratch, store
+from aislerank.llm import mixing, packing, secret_scan, simhash, toxicity
+from aislerank.llm.common import free_name, row_keyed, stage_scratch, store
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: documents that the model calls toxic go. The labels that are not held out train it."""
     with stage_scratch(spark):
-        name = "_score"
-        while name in docs.columns:
-            name += "_"
+        name = free_name(docs.columns, "score")
         scored = toxicity.scores(docs, toxicity.model(spark, sf_dir), docs.columns, name)
         return scored.where(F.col(name) < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4: one document of each group stays; shingles of five words, similarity 0.8 or more."""
+    """Operator 4: one document of each component stays; shingles of three words, at most two bits apart."""
     with stage_scratch(spark):
-        return near_texts.first_of_each_group(docs)
+        return simhash.one_of_each(docs)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,11 +44,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows are dealt to the shards of the mix and lie in each in its shuffled order.
     """
     with stage_scratch(spark):
-        taken, account = mixing.mix(docs)
-        copies = store(taken.join(account.select("row", "_a", "_b"), "row").select(
-            "_a", "_b", F.col("shard").alias("_shard"), F.col("place").alias("_place")), "mix-copies")
-        return (row_keys(docs).dropDuplicates(["_a", "_b"]).join(copies, ["_a", "_b"])
-                .repartition("_shard").sortWithinPartitions("_shard", "_place").select(*docs.columns))
+        rows, key = row_keyed(docs)
+        taken, _ = mixing.mix(rows, key)
+        shard, place = free_name(rows.columns, "shard"), free_name(rows.columns, "place")
+        copies = store(taken.select(F.col("row").alias(key), F.col("shard").alias(shard), F.col("place").alias(place)), "mix-copies")
+        return (rows.join(copies, key).repartition(shard).sortWithinPartitions(shard, place).select(*docs.columns))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

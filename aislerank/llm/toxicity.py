@@ -94,10 +94,15 @@ def train(rows: list[np.ndarray], labels: np.ndarray, settings: Settings = Setti
 
 
 def sample(docs: DataFrame, labels: DataFrame, learn, most: int = SAMPLE) -> DataFrame:
-    """doc_id, text and toxic of at most `most` labelled documents; `learn` says which may be used."""
+    """doc_id, text and toxic of at most `most` labelled documents; `learn` says which may be used.
+
+    An id that several rows bear gives one of them, so that `most` bounds rows.
+    """
     known = (labels.where(F.col("toxic").isin(0, 1)).where(learn).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
              .orderBy(unit_hash(8, F.col("doc_id")), "doc_id").limit(most))
-    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # `most` rows at most
+    texts = docs.select("doc_id", F.struct(F.xxhash64("text").alias("by"), "text").alias("row"))
+    one = texts.join(F.broadcast(known), "doc_id").groupBy("doc_id", "toxic").agg(F.min("row").alias("row"))
+    return one.select("doc_id", "row.text", "toxic")
 
 
 def fit(training: DataFrame, settings: Settings = Settings()) -> DataFrame:

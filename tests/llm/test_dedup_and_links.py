@@ -1,11 +1,11 @@
-"""SimHash components, the similarity stage and connected components against brute force."""
+"""SimHash components, the rows that stay of each, and connected components against brute force."""
 
 import random
 
 import xxhash
 from pyspark.sql import functions as F
 
-from aislerank.llm import near_texts, simhash
+from aislerank.llm import simhash
 from aislerank.llm.components import components
 from conftest_llm import ODD
 
@@ -82,83 +82,37 @@ def test_documents_against_brute_force(docs_of, spark):
     assert {i: (r.fp % (1 << 64), r.component_id) for i, r in got.items()} == {i: (f, low[root[f]]) for i, f in fps.items()}
 
 
-def test_near_texts_keep_one_of_each_group(docs_of):
+def test_one_row_of_each_component_stays(docs_of, spark):
+    """Against all pairs: chains of fingerprints, copies, repeated rows, null ids and clashing names."""
     rng = random.Random(9)
     words = [f"w{i}" for i in range(3000)]
-
-    def text(n):
-        return [rng.choice(words) for _ in range(n)]
-
-    rows, number = [], 0
-    for n in (40, 120, 400, 1500):
-        for _ in range(4):
-            base = text(n)
-            for copies in range(5):
-                changed = list(base)
-                for _ in range(copies * n // 100):  # up to 4 words of 100
-                    changed[rng.randrange(n)] = rng.choice(words)
-                rows.append((number, " ".join(changed), "en", "s"))
-                number += 1
-    sets = {i: set(shingles(t, 5)) for i, t, _, _ in rows}
-    want = classes(sets, lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
-    rows += [(9000 + n, *row[1:]) for n, row in enumerate(ODD)]
-    got = [r.doc_id for r in near_texts.first_of_each_group(docs_of(rows)).collect()]
-    assert sorted(i for i in got if i < 9000) == sorted(set(want.values()))
-    assert sorted(i - 9000 for i in got if i >= 9000) == [0, 3, 6, 7, 8, 9]
-
-
-def test_altered_copies_that_only_resemble_their_original(docs_of):
-    rng = random.Random(4)
-    base = [f"w{rng.randrange(5000)}" for _ in range(200)]
-    rows = [(0, " ".join(base), "en", "s")]
-    for number in range(1, 1001):
-        changed = list(base)
-        for at in rng.sample(range(200), 3):
-            changed[at] = f"x{number}-{at}"
-        rows.append((number, " ".join(changed), "en", "s"))
-    assert [r.doc_id for r in near_texts.first_of_each_group(docs_of(rows)).collect()] == [0]
-
-
-def test_texts_left_apart_are_compared_in_the_second_round(docs_of):
-    """Pairs that resemble only each other under a token that all share, with blocks and leaders that cannot do it."""
-    rng = random.Random(6)
-    words = [f"w{i}" for i in range(200)]
-    stem = [rng.choice(words) for _ in range(60)]
-    rows = []
-    for number in range(40):  # 40 texts about 0.64 alike, each with a copy that ends in another word
-        tail = [f"t{number}-{i}" for i in range(14)]
-        rows.append((2 * number, " ".join(stem + tail), "en", "s"))
-        rows.append((2 * number + 1, " ".join(stem + tail[:-1] + [f"u{number}"]), "en", "s"))
-    sets = {i: set(shingles(t, 5)) for i, t, _, _ in rows}
-    want = classes(sets, lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
-    assert len(set(want.values())) == 40
-    got = [r.doc_id for r in near_texts.first_of_each_group(docs_of(rows)).collect()]
-    assert sorted(got) == sorted(set(want.values()))
-
-
-def test_second_round_alone_finds_what_the_first_left(spark):
-    """Chain of sets under one token: the leader resembles only its neighbour."""
-    index = spark.createDataFrame([(7, i, 100, 0, 40) for i in range(40)], "token long, class long, size long, place int, n long")
-    roots = spark.createDataFrame([(0, 0), (1, 0)], "node long, root long")
-    got = {(r.a, r.b) for r in near_texts.pairs_left_apart(index, roots, 0.8).collect()}
-    assert got == {(a, b) for a in range(40) for b in range(a + 1, 40)} - {(0, 1)}
-
-
-def test_short_texts_at_the_bound(docs_of):
-    rng = random.Random(8)
-    rows, kept = [], []
-    for short, long in ((8, 9), (12, 14), (20, 24), (36, 44)):  # shingles: 4 of 5, 8 of 10, 16 of 20, 32 of 40
-        for _ in range(60):
-            text = [f"w{rng.randrange(9000)}" for _ in range(long)]
-            kept.append(len(rows))
-            rows += [(len(rows), " ".join(text[:short]), "en", "s"), (len(rows) + 1, " ".join(text), "en", "s")]
-    assert sorted(r.doc_id for r in near_texts.first_of_each_group(docs_of(rows)).collect()) == kept
+    rows = [(1000 + n, *row[1:]) for n, row in enumerate(ODD)]
+    for n in (30, 300, 2000):
+        for _ in range(6):
+            text = [rng.choice(words) for _ in range(n)]
+            for _ in range(6):
+                rows.append((len(rows), " ".join(text), rng.choice(["en", None]), "s"))
+                text[rng.randrange(n)] = rng.choice(words)
+    rows += [(5, "a row again", "en", "s")] * 40 + [(None, "a row again", "en", "s")] * 3 + [(None, "no id", "en", "s")] * 2
+    fps = [fingerprint(t) for _, t, _, _ in rows]
+    root = classes(set(fps), lambda a, b: (a ^ b).bit_count() <= 2)
+    lowest = {}
+    for (i, *_), fp in zip(rows, fps):
+        lowest.setdefault(root[fp], []).append(i)
+    want = sorted(str(min((i for i in ids if i is not None), default=None)) for ids in lowest.values())
+    extra = ("_a", "_A", "_b", "_n", "key", "fp", "row_key", "first", "none", "root")
+    docs = docs_of(rows).toDF("doc_id", "text", "lang", "source", "n_chars").select(
+        "*", *[F.lit(f"own {n}").alias(c if c != "_A" else "_A2") for n, c in enumerate(extra)])
+    kept = simhash.one_of_each(docs)
+    assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == want
+    assert {tuple(r)[5:] for r in kept.collect()} == {tuple(f"own {n}" for n in range(len(extra)))}
+    assert len(want) < len(rows) / 2
 
 
 def test_odd_and_empty_tables(docs_of):
     docs = docs_of(ODD)
-    kept = near_texts.first_of_each_group(docs)
+    kept = simhash.one_of_each(docs)
     assert kept.columns == docs.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(["1", "3", "None", "6", "7", "8"])
-    assert near_texts.first_of_each_group(docs_of([])).count() == 0
+    assert simhash.one_of_each(docs_of([])).count() == 0
     assert simhash.near_duplicates(docs_of([])).count() == 0

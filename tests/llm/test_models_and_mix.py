@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from aislerank.llm import bitslice, language, mixing, toxicity
+from aislerank.llm.common import row_keyed
 from conftest_llm import ODD
 
 
@@ -70,12 +71,45 @@ def test_toxicity_on_held_out_documents(docs_of, spark):
     unseen = [i for i in range(900) if zlib.crc32(str(i).encode()) % 3 == 1]
     assert not any(got[i] >= toxicity.THRESHOLD for i in unseen if i % 5)
     assert np.mean([got[i] >= toxicity.THRESHOLD for i in unseen if i % 5 == 0]) >= 0.9
-    assert 3 <= weights.where("weight <> 0 and index >= 0").count() < 100
+    # two words tell the classes apart, so the L1 pull may leave these two alone, but not fewer
+    assert 2 <= weights.where("weight <> 0 and index >= 0").count() < 100
     assert toxicity.scores(docs_of([]), weights, ["doc_id"]).count() == 0
     nothing = toxicity.fit(toxicity.sample(docs, known.where("doc_id < 0"), F.lit(True)))
     assert {r.score for r in toxicity.scores(docs, nothing, ["doc_id"]).collect()} == {0.5}
 
 
+def test_toxicity_that_only_a_skip_gram_shows(docs_of, spark):
+    """Both words are common everywhere; toxic texts have them in this order with one word between."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(300)]
+    rows, labels = [], []
+    for i in range(900):
+        text = [rng.choice(words) for _ in range(60)]
+        for at in rng.sample(range(0, 57, 3), 6):
+            if i % 4 == 0:
+                text[at], text[at + 2] = "you", "die"
+            else:
+                text[at], text[at + 1 + rng.randrange(2) * 1] = rng.choice([("die", "you"), ("you", "die")])
+                if text[at] == "you" and text[at + 2] == "die":
+                    text[at + 2] = "live"
+        rows.append((i, " ".join(text), "en", "s"))
+        labels.append((i, int(i % 4 == 0)))
+    docs, known = docs_of(rows), spark.createDataFrame(labels, "doc_id long, toxic int")
+    weights = toxicity.fit(toxicity.sample(docs, known, F.crc32(F.col("doc_id").cast("string")) % 3 != 1)).cache()
+    got = {r.doc_id: r.score for r in toxicity.scores(docs, weights, ["doc_id"]).collect()}
+    unseen = [i for i in range(900) if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert np.mean([(got[i] >= toxicity.THRESHOLD) == (i % 4 == 0) for i in unseen]) >= 0.95
+    skip = int(toxicity.gram_hashes("you x die")[-1])
+    assert weights.where(F.col("index") == skip).first().weight > 0
+
+
+def test_sample_takes_one_row_of_an_id(docs_of, spark):
+    docs = docs_of([(1, f"text {i % 3}", "en", "s") for i in range(400)] + [(2, "two", "en", "s"), (None, "x", "en", "s")])
+    known = spark.createDataFrame([(1, 1), (2, 0), (None, 1)], "doc_id long, toxic int")
+    assert sorted(r.doc_id for r in toxicity.sample(docs, known, F.lit(True)).collect()) == [1, 2]
+    assert sorted(r.doc_id for r in language.sample(docs, F.lit(True)).collect()) == [1, 2]
+
+
 # ---------------------------------------------------------------- mixing
 
 
@@ -134,9 +168,32 @@ def test_splitting_tree_is_exact(spark):
     assert quotas.groupby("number")["count"].sum().tolist() == [1000, 37, 5003] and quotas["shard"].nunique() == 150
 
 
+def test_draws_beyond_the_librarys_bound():
+    rng = np.random.default_rng(5)
+    for n, rest, need in ((4, 3 * 10**9, 10**9), (2 * 10**9, 7, 10**9), (3 * 10**9, 5 * 10**9, 2 * 10**9), (10**10, 10**10, 5)):
+        drawn = [mixing.drawn(rng, n, rest, need) for _ in range(300)]
+        assert all(max(0, need - rest) <= d <= min(n, need) for d in drawn)
+        mean = need * n / (n + rest)
+        sd = (mean * rest / (n + rest) * (n + rest - need) / (n + rest - 1)) ** 0.5
+        assert abs(np.mean(drawn) - mean) <= 5 * sd / 300**0.5 + 1e-6 * mean
+    counts = np.array([4 * 10**9, 3, 0, 9 * 10**9])
+    leaves = list(mixing.split(counts, 8, 0, 30))
+    assert len(leaves) == 8 and (sum(c for _, _, c, _ in leaves) == counts).all()
+    assert all(abs(c.sum() - counts.sum() / 8) <= 8 for _, _, c, _ in leaves)
+
+
+def test_repeated_rows_are_dealt_apart(docs_of):
+    docs = docs_of([(1, "same text here", "en", "a")] * 500 + [(i, f"text {i}", "en", "a") for i in range(2, 40)]).repartition(5)
+    rows, key = row_keyed(docs)
+    orders = [r.order for r in mixing.hashed_rows(rows, key).collect()]
+    assert len(orders) == 538 and len(set(orders)) == 538
+    again, key = row_keyed(docs.repartition(3))
+    assert sorted(orders) == sorted(r.order for r in mixing.hashed_rows(again, key).collect())
+
+
 def test_mix_of_nothing(docs_of):
     for rows in ([], [(1, None, None, None), (2, "", None, "a")]):
-        taken, account = mixing.mix(docs_of(rows))
+        taken, account = mixing.mix(*row_keyed(docs_of(rows)))
         assert taken.count() == 0 and account.count() == len(rows)
 
 
@@ -167,17 +224,19 @@ def test_search_against_all_products(spark):
     rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
     rows += [(1000, None), (1001, [None] * 6), (1100, [float("nan")] * 6), (1200, [float("inf")] * 6), (None, [0.1] * 6),
              (1300, []), (1400, [1.0, 2.0]), (1500, [0.5, -2.0]), (0, vectors[5].tolist()), (1600, [1e30] * 6)]
+    rows += [(1601, [1e15, 0.5, 0.0, 0.0, 0.0, 0.0]), (1602, [-1e15, 0.25, 0.0, 0.0, 0.0, 0.0]), (1603, [70000.0, 0.0, 0.0, 0.0, 0.0, 1.0])]
     table = spark.createDataFrame([(*r, 0) for r in rows], "vec_id long, embedding array<float>, score int")
     used = [(i, tuple(int(np.floor(1024 * float(np.float32(x)))) for x in v)) for i, v in rows
-            if i is not None and v and i not in (1001, 1100, 1200, 1600)]
+            if i is not None and v and i not in (1001, 1100, 1200)]
     held = bitslice.integers(table).cache()
     got = {}
-    for r in bitslice.search(held.where("vec_id % 100 = 0"), held, query_rows=3, block_rows=100).collect():
+    for r in bitslice.search(held.where("vec_id % 100 = 0"), held, query_bytes=200, block_rows=100).collect():
         got.setdefault(r.query_id, []).append((r["rank"], -r.score, r.vec_id))
     for q, x in used:
         if q % 100 or q == 0:  # id 0 comes twice
             continue
-        scored = sorted((-sum(a * b for a, b in zip(x, y)), i) for i, y in used if i != q and len(y) == len(x))[:10]
+        scored = sorted((max(-(2**63 - 1), min(2**63, -sum(a * b for a, b in zip(x, y)))), i)
+                        for i, y in used if i != q and len(y) == len(x))[:10]
         assert sorted(got.get(q, [])) == [(n + 1, s, i) for n, (s, i) in enumerate(scored)], q
     none = held.where("vec_id < 0")
     assert bitslice.search(none, none).count() == 0

@@ -1,6 +1,7 @@
 """Secret scans against the plain expressions; main text of small pages."""
 
 import hashlib
+import random
 import re
 
 from aislerank.llm import html_text, secret_scan
@@ -92,3 +93,54 @@ def test_odd_pages(spark):
     assert {k: r.text for k, r in got.items() if k != 6} == {1: "", 2: "", 3: "plain text", 4: "a\nb", None: "<b> é", 5: ""}
     assert got[6].n_chars == 5 * 40000 - 1
     assert html_text.extract(rows.where("page_id = 99")).count() == 0
+
+
+def plain_blocks(rows):
+    """Kept lines by the definition, block by block: dive points are blocks of length 0, a run needs a surge."""
+    lengths = [n for _, n in rows]
+    block = [sum(lengths[i : i + html_text.WINDOW]) for i in range(len(rows))]
+    kept, i = [], 0
+    while i < len(rows):
+        if not lengths[i]:
+            i += 1
+            continue
+        end = i
+        while end + 1 < len(rows) and block[end + 1] > 0:  # on until a whole window is empty
+            end += 1
+        while not lengths[end]:
+            end -= 1
+        if max(block[i : end + 1]) >= html_text.SURGE:
+            kept += [text for text, _ in rows[i : end + 1] if text]
+        i = end + 1
+    if not any(b >= html_text.SURGE for b in block):
+        kept = [text for text, _ in rows if text]
+    return "\n".join(kept)
+
+
+WORDS = "Long lines of the main text go on for quite a while, as those of articles do on most pages of the web. "
+
+
+def test_surges_and_dives_alone_find_the_text():
+    """No tag, class or id says what is what."""
+    menu = "<div><ul>" + "".join(f"<li><a href='/{i}'>Entry {i}</a></li>" for i in range(9)) + "</ul></div>"
+    plain_menu = "<div><div>Home</div><div>News</div></div>"
+    body = f"<div><h2>A title</h2><p>{WORDS * 3}</p><p>Short.</p><p>{WORDS}</p><p>End.</p></div>"
+    footer = "<div><p>(c) 2020 somebody</p></div>"
+    text = f"A title\n{(WORDS * 3).strip()}\nShort.\n{WORDS.strip()}\nEnd."
+    for page in (menu + body + footer, plain_menu + body + footer, f"<table><tr><td>{menu}</td></tr></table>{body}<div>{menu}</div>{footer}"):
+        assert html_text.main_text(page) == text, page
+    assert html_text.main_text(menu + body + "<div>x</div><div></div>" + body) == text + "\n" + text
+
+
+def test_main_text_against_plain_block_sums(spark, sf):
+    for r in spark.read.parquet(f"{sf}/pages.parquet").collect():
+        rows = html_text.lines(r.html or "")
+        assert html_text.main_text(r.html) == plain_blocks(rows)
+    rng = random.Random(4)
+    for _ in range(300):
+        rows = [rng.choice([("", 0), ("link", 0), ("short", 5), ("x" * 50, 50), ("y" * 90, 90)]) for _ in range(rng.randrange(30))]
+        lengths = [n for _, n in rows]
+        blocks = [sum(lengths[i : i + 3]) for i in range(len(rows))]
+        runs = [run for run in html_text.runs_of(lengths) if any(blocks[i] >= html_text.SURGE for i in run)]
+        chosen = [i for run in runs for i in run] if runs else range(len(rows))
+        assert "\n".join(rows[i][0] for i in chosen if rows[i][0]) == plain_blocks(rows)
