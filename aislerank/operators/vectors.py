@@ -2,22 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections import Counter
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aislerank.functions import text
 from aislerank.functions.numbers import rounded
+from aislerank.operators import nearest as index
 from aislerank.operators.skew import salted_join
 from aislerank.session import cut, ship_package
 from aislerank.settings import TextModel
 
-SCORE_DIGITS = 9
-# How far rounding may put a score above its bound.
-SLACK = 1e-6
+SCORE_DIGITS = index.SCORE_DIGITS
 # Vectors per block: two dense blocks and their product stay around 200 MB at 5000 terms.
 BLOCK = 2048
 
@@ -58,22 +59,33 @@ def vocabulary(docs: DataFrame, model: TextModel = TextModel()) -> DataFrame:
 def vectors(docs: DataFrame, vocab: DataFrame) -> DataFrame:
     """(id, vec): unit vectors as arrays of (t, w) sorted by t; documents without a term drop out.
 
-    Only words of the vocabulary are shuffled, once, by document.  ``explode_outer`` because a plain
-    ``explode`` makes the optimizer test the array for emptiness first, which runs the whole text
-    chain a second time; the join drops the NULLs.
+    A document is one row, so its terms are counted and looked up there, in the broadcast vocabulary
+    (``max_features`` rows at most), and nothing is shuffled.
     """
-    counted = (
-        docs.select("id", F.explode_outer("terms").alias("term"))
-        .join(F.broadcast(vocab.select("t", "term", "idf")), "term")
-        .select("id", "t", "idf").repartition("id")
-        .groupBy("id", "t", "idf").agg(F.count("*").alias("tf"))
-    )
-    raw = counted.withColumn("w", (1 + F.log("tf")) * F.col("idf")).groupBy("id").agg(
-        F.sort_array(F.collect_list(F.struct("t", "w"))).alias("vec"),
-        F.sum(F.col("w") * F.col("w")).alias("square"))
-    # Twelve digits hide the order of the sum, so equal texts get equal vectors.
-    return raw.select("id", F.transform("vec", lambda e: F.struct(
-        e["t"].alias("t"), rounded(e["w"] / F.sqrt("square"), 12).alias("w"))).alias("vec"))
+    spark = docs.sparkSession
+    known = {r["term"]: (r["t"], r["idf"]) for r in vocab.select("t", "term", "idf").collect()}
+    shared = spark.sparkContext.broadcast(known)
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for batch in batches:
+            ids, ts, ws = [], [], []
+            for at, words in enumerate(batch.column("terms").to_pylist()):
+                found = sorted((*known[w], n) for w, n in Counter(words or ()).items() if w in known)
+                if found:
+                    t, idf, n = (np.array(c) for c in zip(*found))
+                    w = (1 + np.log(n)) * idf
+                    ids.append(at)
+                    ts.append(t)
+                    ws.append(np.round(w / np.sqrt((w * w).sum()), 12))
+            entries = pa.StructArray.from_arrays(
+                [pa.array(np.concatenate([*ts, np.zeros(0)]).astype(np.int32)), pa.array(np.concatenate([*ws, np.zeros(0)]))], names=["t", "w"])
+            ends = np.cumsum([0, *map(len, ts)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id").take(pa.array(ids, pa.int64())), pa.ListArray.from_arrays(pa.array(ends), entries)], names=["id", "vec"])
+
+    kind = docs.schema["id"].dataType.simpleString()
+    return docs.select("id", "terms").mapInArrow(weigh, f"id {kind}, vec array<struct<t:int,w:double>>")
 
 
 def weights(vecs: DataFrame) -> DataFrame:
@@ -94,7 +106,8 @@ def collapse(vecs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     A text that a third of the catalogue shares is one vector here; its ids come back at the end.
     """
-    keyed = vecs.withColumn("digest", F.sha2(F.to_json("vec"), 256))
+    # Two 64-bit hashes under different seeds, together 128 bits.
+    keyed = vecs.withColumn("digest", F.concat_ws("-", F.hex(F.xxhash64(F.lit(1), "vec")), F.hex(F.xxhash64(F.lit(2), "vec"))))
     distinct = keyed.groupBy("digest").agg(F.min("id").alias("rep"), F.first("vec").alias("vec"))
     members = salted_join(keyed.select("digest", "id"), distinct.select("digest", "rep"), "digest").select("rep", "id")
     return distinct.select(F.col("rep").alias("id"), "vec"), members
@@ -146,32 +159,13 @@ def _products(left: pd.DataFrame, right: pd.DataFrame) -> np.ndarray:
     return np.round(_matrix(left, columns) @ _matrix(right, columns).T, SCORE_DIGITS)
 
 
-def _top(k: int):
-    """The k best of a block for every source that its bound lets reach the score it has to beat."""
-
-    def kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        right = right.sort_values("id").reset_index(drop=True)
-        columns = np.unique(np.concatenate(right["t"].to_list()))
-        wanted, held = _matrix(left, columns), _matrix(right, columns)
-        open_ = wanted @ held.max(axis=0) + SLACK >= left["low"].to_numpy()
-        scores = np.round(wanted[open_] @ held.T, SCORE_DIGITS)
-        best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-        picked = np.take_along_axis(scores, best, axis=1)
-        rows, cols = np.nonzero(picked > 0)
-        return pd.DataFrame({
-            "src": left["src"].to_numpy()[open_][rows], "dst": right["id"].to_numpy()[best[rows, cols]],
-            "score": picked[rows, cols]})
-
-    return kernel
-
-
 def _visit(pairs: DataFrame, sources: DataFrame, blocks: DataFrame, kernel, schema: str,
-           carried: Sequence[str] = (), known: Sequence[str] = ()) -> DataFrame:
+           carried: Sequence[str] = ()) -> DataFrame:
     """Run ``kernel`` on every pair (a, b) of a block of sources and a block of candidates."""
     ship_package(sources.sparkSession)
     flat = lambda: (F.col("vec.t").alias("t"), F.col("vec.w").alias("w"))
     pairs = pairs.select("a", "b")
-    left = pairs.join(sources.withColumnRenamed("block", "a"), "a").select("a", "b", F.col("id").alias("src"), *known, *flat())
+    left = pairs.join(sources.withColumnRenamed("block", "a"), "a").select("a", "b", F.col("id").alias("src"), *flat())
     right = pairs.join(blocks.withColumnRenamed("block", "b"), "b").select(
         F.col("a").alias("at"), F.col("b").alias("part"), "id", *carried, *flat())
 
@@ -183,32 +177,17 @@ def _visit(pairs: DataFrame, sources: DataFrame, blocks: DataFrame, kernel, sche
     return left.groupBy("a", "b").cogroup(right.groupBy("at", "part")).applyInPandas(task, schema)
 
 
-def open_pairs(bounds: DataFrame, visited: DataFrame, lows: DataFrame) -> DataFrame:
-    """Pairs of blocks, the visited ones apart, whose bound reaches the lowest score that some source of
-    the block still has to beat."""
-    floors = lows.groupBy(F.col("block").alias("a")).agg(F.min("low").alias("floor"))
-    return bounds.join(visited, ["a", "b"], "left_anti").join(floors, "a").filter(F.col("bound") + SLACK >= F.col("floor"))
-
-
-def nearest(sources: DataFrame, candidates: DataFrame, k: int, size: int = BLOCK) -> DataFrame:
+def nearest(sources: DataFrame, candidates: DataFrame, k: int | Column, size: int = BLOCK) -> DataFrame:
     """(src, dst, score, rank): the k best positive cosines per source, exact, ties by id.
 
-    Two rounds over pairs of blocks.  Each block of sources first meets the block with the highest
-    bound, which gives its sources k scores to beat; then it meets only the blocks whose bound reaches
-    the lowest of these.  Inside a pair the sources that cannot gain are left out before any product.
-    There is one row per pair of blocks, none per source and block; a task puts out k rows per source.
+    ``k`` may be a column of the sources, so that each has its own reach.
     """
-    schema = "src string, dst string, score double"
-    own = cut(in_blocks(sources.select("id", "vec"), size))
-    blocks = own if candidates is sources else cut(in_blocks(candidates, size))
-    bounds = cut(block_bounds(own, blocks))
-    first = cut(bounds.groupBy("a").agg(F.max_by("b", F.struct("bound", "b")).alias("b")))
-    opening = cut(_visit(first, own.withColumn("low", F.lit(0.0)), blocks, _top(k), schema, known=("low",)))
-    to_beat = opening.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n"), F.min("score").alias("least")).select(
-        "id", F.when(F.col("n") >= k, F.col("least")).alias("least"))
-    lows = cut(own.join(to_beat, "id", "left").withColumn("low", F.coalesce("least", F.lit(0.0))).drop("least"))
-    rest = _visit(open_pairs(bounds, first, lows), lows, blocks, _top(k), schema, known=("low",))
-    return best_per(opening.unionByName(rest), "src", "score", "dst", k)
+    if isinstance(k, Column):
+        asked = cut(sources.select("id", "vec", k.alias("k")))
+        found = index.scored(asked, candidates, size).join(asked.select(F.col("id").alias("src"), "k"), "src")
+        order = Window.partitionBy("src").orderBy(F.desc("score"), F.asc("dst"))
+        return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= F.col("k")).drop("k")
+    return best_per(index.scored(sources.withColumn("k", F.lit(k)), candidates, size), "src", "score", "dst", k)
 
 
 def best_per(df: DataFrame, key: str, score: str, tie: str, k: int) -> DataFrame:

@@ -98,7 +98,7 @@ CUT_US = 1705708800000000  # 2024-01-20: events before it are history, later one
 HOLDOUT = f"""{EVENTS},
 past AS (SELECT DISTINCT session_id, product_id FROM ev WHERE us < {CUT_US}),
 later AS (SELECT DISTINCT session_id, product_id FROM ev WHERE us >= {CUT_US}),
-seen AS (SELECT * FROM trend WHERE product_id IN (SELECT product_id FROM ev)),
+seen AS (SELECT * FROM trend),
 shown AS (SELECT 'popularity' AS scenario, product_id, row_number() OVER (ORDER BY popularity_score DESC, product_id) AS rank FROM seen
   UNION ALL SELECT 'trending', product_id, row_number() OVER (ORDER BY trending_score DESC, product_id) FROM seen
   UNION ALL SELECT 'rating', product_id, row_number() OVER (ORDER BY rating DESC, product_id) FROM seen),

@@ -250,9 +250,11 @@ def p9(spark, sf):
 
 
 MODES = f"""{POOLED},
+{SIMS},
+{mmr_cte("pool", K)},
 heat AS (SELECT *, least(greatest(popularity_score, 0), 1) * (1 + ln(1 + greatest(coalesce(rating_count, 0), 0)) * 0.95) AS heat FROM features),
 trend AS (SELECT * EXCLUDE (heat), {S.rnd('heat / (SELECT max(heat) FROM heat)', 9)} AS trending_score FROM heat),
-shown AS (SELECT session_id AS query_id, product_id, rank, score, 'personalized' AS mode FROM pool WHERE rank <= {K}),
+shown AS (SELECT session_id AS query_id, product_id, rank, score, 'personalized' AS mode FROM m{K}),
 hot AS (SELECT product_id, trending_score, row_number() OVER (ORDER BY trending_score DESC, product_id) AS rank FROM trend QUALIFY rank <= {K}),
 asked AS (SELECT c_custkey::VARCHAR AS query_id FROM customer),
 modes AS (SELECT * FROM shown WHERE query_id IN (SELECT query_id FROM asked)
