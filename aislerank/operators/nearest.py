@@ -319,11 +319,11 @@ def scored(sources: DataFrame, candidates: DataFrame, size: int, widths: int = 6
         chosen = spark.sparkContext.broadcast(bandings[best])
         return _meet(source_rows(rows, chosen, heaviest[0]), candidate_rows(held, chosen, least, heaviest[1]))
 
-    opened = met(asked, [Bands(counts, size, size)], 0.0, (2, 4))
+    total = sum(counts.values())
+    opened = met(asked, [Bands(counts, max(size, total >> 5), size)], 0.0, (1, 2))
     best = opened.groupBy("src").agg(F.sort_array(F.collect_list(-F.col("score"))).alias("best")).withColumnRenamed("src", "id")
     kth = F.when(F.size("best") >= F.col("k"), -F.element_at("best", F.col("k").cast("int")))
     lows = cut(asked.drop("low").join(best, "id", "left").select("id", "t", "w", F.coalesce(kth, F.lit(0.0)).alias("low"), "k"))
     least = lows.agg(F.coalesce(F.min("low"), F.lit(0.0))).first()[0]
-    total = sum(counts.values())
     bandings = [Bands(counts, max(size, total >> 2 * i), size) for i in range(widths)]
     return met(lows, bandings, max(0.0, least - SLACK))

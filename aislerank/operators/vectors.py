@@ -95,8 +95,8 @@ def weights(vecs: DataFrame) -> DataFrame:
 
 def fit(df: DataFrame, id_column: str = "product_id", text_column: str = "combined_text_tfidf",
         model: TextModel = TextModel(), stops: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(vocabulary, vectors), both written once to the checkpoint folder."""
-    docs = terms(df, id_column, text_column, model, stops)
+    """(vocabulary, vectors), both written once to the checkpoint folder, and the terms that both read."""
+    docs = cut(terms(df, id_column, text_column, model, stops))
     vocab = cut(vocabulary(docs, model))
     return vocab, cut(vectors(docs, vocab))
 

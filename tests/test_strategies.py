@@ -2,11 +2,13 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from aislerank import settings
-from aislerank.operators import features, hybrid, strategies, vectors
+from aislerank.operators import features, hybrid, nearest, strategies, vectors
 
 
 def random_catalogue(seed, n=40):
@@ -221,8 +223,78 @@ def test_dense_ranking_in_blocks(spark):
         assert sorted(found[u]) == [(n + 1, i) for n, (i, _) in enumerate(best)]
 
 
-def test_blocks_that_cannot_gain_are_not_visited(spark):
-    """Four clusters with terms of their own and one weak common term: only a cluster's own blocks are met."""
+def nearest_by_hand(rows, k):
+    """{id: [(rank, id, score)]} over all pairs, oneself included."""
+    found = {}
+    for a, v in rows:
+        v = dict(v)
+        scored = sorted((-round(sum(v.get(t, 0.0) * w for t, w in u), 9), b) for b, u in rows)
+        found[a] = [(n + 1, b, -s) for n, (s, b) in enumerate(x for x in scored if x[0] < 0)][: k if isinstance(k, int) else k[a]]
+    return found
+
+
+def sparse_rows(rng, n, terms):
+    rows = []
+    for i in range(n):
+        own = {min(terms - 1, int(rng.expovariate(0.15))): rng.uniform(0.5, 3) for _ in range(rng.randint(1, 9))}
+        norm = sum(x * x for x in own.values()) ** 0.5
+        rows.append((f"d{i:03d}", [(t, round(x / norm, 12)) for t, x in sorted(own.items())]))
+    return rows
+
+
+@pytest.mark.parametrize("size", [7, 1000])
+def test_nearest_by_prefix_index(spark, size):
+    """All widths of bands give the lists of all pairs; every source may have a reach of its own."""
+    rng = random.Random(size)
+    rows = sparse_rows(rng, 150, 30) + [("e1", [(40, 1.0)]), ("e2", [])]
+    rows += [(f"copy{i}", rows[0][1]) for i in range(12)]
+    df = spark.createDataFrame(rows, "id string, vec array<struct<t:int,w:double>>")
+    want = nearest_by_hand([r for r in rows if r[1]], 5)
+    for widths in (1, 2, 6):
+        scored = nearest.scored(df.withColumn("k", F.lit(5)), df, size, widths)
+        got = {}
+        for r in vectors.best_per(scored, "src", "score", "dst", 5).collect():
+            got.setdefault(r["src"], []).append((r["rank"], r["dst"], r["score"]))
+        assert {a: sorted(v) for a, v in got.items()} == want, widths
+    own = {a: 1 + i % 7 for i, (a, _) in enumerate(rows)}
+    reach = spark.createDataFrame([(a, own[a], v) for a, v in rows], "id string, reach int, vec array<struct<t:int,w:double>>")
+    got = {}
+    for r in vectors.nearest(reach, df, F.col("reach"), size).collect():
+        got.setdefault(r["src"], []).append((r["rank"], r["dst"], r["score"]))
+    assert {a: sorted(v) for a, v in got.items()} == nearest_by_hand([r for r in rows if r[1]], own)
+    assert vectors.nearest(df.where("id = 'e2'"), df, 3).count() == 0 == vectors.nearest(df, df.where("id = 'e2'"), 3).count()
+
+
+def test_chunks_and_dense_columns_do_not_change_a_visit(monkeypatch):
+    rng = random.Random(3)
+    rows = sparse_rows(rng, 60, 12)
+    flat = {"id": [a for a, _ in rows], "t": [[t for t, _ in v] for _, v in rows], "w": [[w for _, w in v] for _, v in rows]}
+    right = pa.table(flat)
+    left = pa.table(flat | {"low": [0.0 if i % 2 else 0.4 for i in range(60)], "k": [1 + i % 9 for i in range(60)]})
+    want = [(a, b, s) for i, (a, _) in enumerate(rows) for _, b, s in nearest_by_hand(rows, {x: 1 + n % 9 for n, (x, _) in enumerate(rows)})[a]
+            if i % 2 or s >= 0.4]
+    for cells, dense in ((1 << 22, 2.0), (100, 0.0), (1, 0.02)):
+        monkeypatch.setattr(nearest, "CELLS", cells)
+        monkeypatch.setattr(nearest, "DENSE", dense)
+        got = nearest.best_of_piece(left, right).to_pydict()
+        assert sorted(zip(got["src"], got["dst"], got["score"])) == sorted(want)
+
+
+def test_pieces_that_cannot_gain_are_not_visited():
+    """Clusters with rare terms of their own and a weak common term: with their scores to beat, sources stay in bands of
+    their own cluster, and the common term is not indexed at all."""
+    bands = nearest.Bands({0: 40, **{t: 10 for t in range(1, 17)}}, 20, 20)
+    assert bands.number > 4 and bands.of(np.array([0, 99])).tolist() == [bands.number - 1, -1]
+    for cluster in range(4):
+        terms = np.array([0, *range(1 + 4 * cluster, 5 + 4 * cluster)])
+        weights = np.array([0.05, 0.5, 0.5, 0.5, 0.497])
+        met = [b for b, _, _ in bands.prefixes(terms, weights, 0.6)]
+        assert met and set(met) <= set(bands.of(terms[1:]).tolist()) and bands.number - 1 not in met
+        assert bands.number - 1 in [b for b, _, _ in bands.prefixes(terms, weights, 0.0)]
+
+
+def test_blocks_share_terms(spark):
+    """Four clusters with terms of their own and one weak common term."""
     rng = random.Random(7)
     rows = []
     for i in range(120):
@@ -232,8 +304,6 @@ def test_blocks_that_cannot_gain_are_not_visited(spark):
     df = spark.createDataFrame(rows, "id string, vec array<struct<t:int,w:double>>")
     own = vectors.in_blocks(df, 15).cache()
     bounds = vectors.block_bounds(own, own).cache()
-    lows = vectors.nearest(df, df, 3, 15).groupBy(F.col("src").alias("id")).agg(F.min("score").alias("low")).join(own, "id")
-    visited = bounds.where("false").select("a", "b")
     cluster = {r["block"]: {int(d[1:]) % 4 for d in r["ids"]} for r in own.groupBy("block").agg(F.collect_list("id").alias("ids")).collect()}
-    met = vectors.open_pairs(bounds, visited, lows).collect()
-    assert met and all(cluster[r["a"]] & cluster[r["b"]] for r in met) and bounds.count() > len(met)
+    apart = bounds.where("bound > 0.01").collect()
+    assert apart and all(cluster[r["a"]] & cluster[r["b"]] for r in apart) and bounds.count() > len(apart)
