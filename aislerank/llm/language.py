@@ -109,7 +109,8 @@ def sample(docs: DataFrame, learn: Column) -> DataFrame:
     """
     usable = docs.where(learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & has_letter(F.col("text")))
     keys = usable.select("doc_id", "lang", unit_hash(2, F.col("doc_id")).alias("hash"))
-    sizes = keys.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("ids"))
+    # stored, so that the planner knows its size and joins it without dealing the documents by language
+    sizes = store(keys.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("ids")), "language-sizes")
     low = F.col("hash") < F.lit(float(1 << 62)) * 2 * PER_LANGUAGE / F.col("ids")
     order = Window.partitionBy("lang").orderBy("hash", "doc_id")
     chosen = (keys.join(sizes, "lang").where(low).select("doc_id", "lang", "hash").distinct()
