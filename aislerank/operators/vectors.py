@@ -142,7 +142,7 @@ def block_bounds(left: DataFrame, right: DataFrame) -> DataFrame:
     return met.groupBy("a", "b").agg(F.sum(F.col("p") * F.col("q")).alias("bound"))
 
 
-def _matrix(pdf: pd.DataFrame, columns: np.ndarray) -> np.ndarray:
+def matrix(pdf: pd.DataFrame, columns: np.ndarray) -> np.ndarray:
     """Dense rows over the sorted term numbers ``columns``; other terms are left out."""
     rows = np.repeat(np.arange(len(pdf)), pdf["t"].map(len))
     terms, values = np.concatenate(pdf["t"].to_list()), np.concatenate(pdf["w"].to_list())
@@ -156,7 +156,7 @@ def _matrix(pdf: pd.DataFrame, columns: np.ndarray) -> np.ndarray:
 def _products(left: pd.DataFrame, right: pd.DataFrame) -> np.ndarray:
     """Scores of two blocks of sparse vectors, over the terms of the right block."""
     columns = np.unique(np.concatenate(right["t"].to_list()))
-    return np.round(_matrix(left, columns) @ _matrix(right, columns).T, SCORE_DIGITS)
+    return np.round(matrix(left, columns) @ matrix(right, columns).T, SCORE_DIGITS)
 
 
 def _visit(pairs: DataFrame, sources: DataFrame, blocks: DataFrame, kernel, schema: str,

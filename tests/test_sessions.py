@@ -193,3 +193,30 @@ def test_holdout_recommends_from_the_whole_catalogue(spark, sf):
     want = {r["product_id"] for r in best.collect()}
     recs = measuring.holdout(spark, sf)[3].filter("scenario = 'trending'")
     assert {r["product_id"] for r in recs.select("product_id").distinct().collect()} == want
+
+
+def test_pool_of_each_session_has_its_own_reach(spark):
+    """Against all products; one session has seen most of the catalogue, which leaves the others' fetches as they are."""
+    rng = random.Random(12)
+    vecs = []
+    for i in range(90):
+        own = {rng.randrange(12): rng.uniform(0.5, 2) for _ in range(4)}
+        norm = sum(x * x for x in own.values()) ** 0.5
+        vecs.append((f"p{i:02d}", [(t, round(x / norm, 12)) for t, x in sorted(own.items())]))
+    vecs += [(f"q{i:02d}", vecs[3][1]) for i in range(30)]  # copies of one text
+    seen = {"long": [v for v, _ in vecs[:80]], "short": ["p03", "p10"], "copies": ["q01", "q02", "p05"], "none": []}
+    profiles = [(s, vecs[n * 7 + 3][1]) for n, s in enumerate(sorted(seen))]
+    vec = "array<struct<t:int,w:double>>"
+    prof, table = spark.createDataFrame(profiles, f"id string, vec {vec}"), spark.createDataFrame(vecs, f"id string, vec {vec}")
+    hist = spark.createDataFrame([(s, p) for s, ps in seen.items() for p in ps], "session_id string, product_id string")
+    got = {}
+    for r in personal.candidate_pool(prof, table, hist, 6).collect():
+        got.setdefault(r["session_id"], []).append((r["rank"], r["product_id"], r["score"]))
+    for session, v in profiles:
+        v = dict(v)
+        scored = sorted((-round(sum(v.get(t, 0.0) * w for t, w in u), 9), p) for p, u in vecs if p not in seen[session])
+        assert sorted(got.get(session, [])) == [(n + 1, p, -s) for n, (s, p) in enumerate(x for x in scored if x[0] < 0)][:6]
+    fetched = {}
+    for r in personal.reached(prof, table, hist, 6).collect():
+        fetched[r["src"]] = fetched.get(r["src"], 0) + len(r["ids"])
+    assert fetched["short"] < 2 * (6 + 2) and fetched["long"] >= 86
