@@ -60,14 +60,16 @@ def quantile_edges(rows: DataFrame, bins: int = BINS) -> DataFrame:
     return found.select("feature", F.array_sort(F.array_distinct(edges)).alias("edges"))
 
 
-def bin_counts(rows: DataFrame, edges: DataFrame) -> DataFrame:
-    """(feature, bin, n): left-closed bins, the last one closed; values outside are dropped.
+def bin_counts(rows: DataFrame, edges: DataFrame, open_ended: bool = False) -> DataFrame:
+    """(feature, bin, n): left-closed bins, the last one closed; values outside are dropped or, with
+    ``open_ended``, counted in the first and last bin.
 
     ``edges`` has one short array per watched column and is joined by broadcast.
     """
-    binned = rows.join(F.broadcast(edges), "feature").filter(
-        (F.col("value") >= F.col("edges")[0]) & (F.col("value") <= F.element_at("edges", -1)))
-    index = F.least(F.size(F.filter("edges", lambda e: e <= F.col("value"))), F.size("edges") - 1)
+    binned = rows.join(F.broadcast(edges), "feature")
+    if not open_ended:
+        binned = binned.filter((F.col("value") >= F.col("edges")[0]) & (F.col("value") <= F.element_at("edges", -1)))
+    index = F.greatest(F.lit(1), F.least(F.size(F.filter("edges", lambda e: e <= F.col("value"))), F.size("edges") - 1))
     return binned.groupBy("feature", index.alias("bin")).agg(F.count("*").alias("n"))
 
 
@@ -86,11 +88,11 @@ def category_counts(df: DataFrame) -> DataFrame:
     return df.groupBy(F.split("category", r"\|")[0].alias("level")).agg(F.count("*").alias("n"))
 
 
-def psi(baseline: DataFrame, current: DataFrame) -> DataFrame:
-    """(feature, value) from stored baseline bins and the current rows."""
+def psi(baseline: DataFrame, current: DataFrame, open_ended: bool = False) -> DataFrame:
+    """(feature, value) from stored baseline bins and the current rows; ``open_ended`` as in bin_counts."""
     edges = baseline.groupBy("feature").agg(F.array_sort(F.array_distinct(F.concat(
         F.collect_list("edge_low"), F.collect_list("edge_high")))).alias("edges"))
-    now = bin_counts(current, edges).withColumnRenamed("n", "m")
+    now = bin_counts(current, edges, open_ended).withColumnRenamed("n", "m")
     both = baseline.join(now, ["feature", "bin"], "left").withColumn("m", F.coalesce("m", F.lit(0)))
     total = Window.partitionBy("feature")
     share = lambda c: F.greatest(F.col(c) / F.greatest(F.sum(c).over(total), F.lit(1)), F.lit(FLOOR))

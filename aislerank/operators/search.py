@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from aislerank.operators.skew import salted_join
+
 
 # Shown where a review part is missing.
 NO_NAME, NO_TITLE, NO_BODY = "Amazon Customer", "Review", "No review content provided."
@@ -226,6 +228,17 @@ def sorted_by(rows: DataFrame, mode: str) -> DataFrame:
     return rows.orderBy(*SORT_MODES[mode](), F.asc("product_id"))
 
 
+def sorted_lists(found: DataFrame, catalogue: DataFrame, modes: dict[str, str]) -> DataFrame:
+    """The short list of every query (query, product_id, rank) with its place under each sort mode, by column name.
+
+    Products that ``catalogue`` lacks, because a filter left them out, go; a product may be in very many lists.
+    """
+    facts = catalogue.select("product_id", "discounted_price", "rating")
+    rows = salted_join(found.select("query", "product_id", "rank"), facts, "product_id")
+    place = lambda mode: F.row_number().over(Window.partitionBy("query").orderBy(*SORT_MODES[mode](), F.asc("product_id")))
+    return rows.select("query", "product_id", *[place(mode).cast("bigint").alias(name) for name, mode in modes.items()])
+
+
 def cart_totals(cart: DataFrame, catalogue: DataFrame) -> DataFrame:
     """Subtotal per session.  A product in very many carts is a hot key that adaptive execution splits."""
     from aislerank.functions.numbers import display_price, rounded

@@ -10,6 +10,7 @@ from aislerank.plans import sqltext as S
 from aislerank.plans.book import query
 from aislerank.plans.loading import RAW
 from aislerank.plans.ranking import shelf
+from aislerank.session import cut
 from aislerank.sources.driver_tables import catalogue, interactions, raw_catalogue, table
 
 FEAT = S.with_(S.FEATURES)
@@ -169,6 +170,18 @@ def q12(spark, sf):
     return positions
 
 
+@query("Q12_relevance", S.with_(S.FEATURES, search_cte(20)) + f"""
+SELECT query, product_id, row_number() OVER (PARTITION BY query ORDER BY rank, product_id) AS by_relevance,
+  row_number() OVER (PARTITION BY query ORDER BY discounted_price, product_id) AS by_price_asc,
+  row_number() OVER (PARTITION BY query ORDER BY discounted_price DESC, product_id) AS by_price_desc,
+  row_number() OVER (PARTITION BY query ORDER BY rating DESC, product_id) AS by_rating
+FROM (SELECT query, product_id, rank FROM se_r WHERE rank <= 20) JOIN (SELECT * FROM features WHERE {_FILTER}) USING (product_id)""")
+def q12_relevance(spark, sf):
+    found = cut(search.search(shelf(spark, sf), phrases(spark, sf), 20))
+    return search.sorted_lists(found, narrowed(spark, sf), {
+        "by_relevance": "relevance", "by_price_asc": "price_asc", "by_price_desc": "price_desc", "by_rating": "rating"})
+
+
 @query("Q13_cart_totals", FEAT + f"""
 , cart AS (SELECT DISTINCT user_id::VARCHAR AS session_id, json_extract_string(props, '$.k') AS product_id FROM events WHERE event_type = 'click')
 SELECT session_id, count(*) AS items, {S.rnd('sum(coalesce(nullif(discounted_price, 0), nullif(actual_price, 0), 999))', 2)} AS subtotal

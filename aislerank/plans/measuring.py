@@ -258,6 +258,16 @@ def d2(spark, sf):
     return six(drift.psi(cut(drift.baseline_bins(df)), drift.long_form(shifted(df))), "value")
 
 
+_OPEN = PSI.replace(" WHERE v >= e[1] AND v <= e[len(e)]", "").replace(
+    "least(len(list_filter(e, lambda x: x <= v)), len(e) - 1)", "greatest(1, least(len(list_filter(e, lambda x: x <= v)), len(e) - 1))")
+
+
+@query("D2_psi_open_ended", S.with_(S.FEATURES, CURRENT, _OPEN) + f"SELECT feature, {S.rnd('value', 6)} AS value FROM psi")
+def d2_open(spark, sf):
+    df = shelf(spark, sf)
+    return six(drift.psi(cut(drift.baseline_bins(df)), drift.long_form(shifted(df)), open_ended=True), "value")
+
+
 @query("D3_total_variation", S.with_(S.FEATURES, CURRENT, TVD) + f"SELECT {S.rnd('value', 6)} AS value FROM tvd")
 def d3(spark, sf):
     df = shelf(spark, sf)
