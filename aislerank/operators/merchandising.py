@@ -121,25 +121,46 @@ def likeness(a: Column, b: Column) -> Column:
     return 100 * (1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b)))
 
 
-def corrections(typed: DataFrame, vocabulary: DataFrame, min_score: float = 75.0, k: int = 3) -> DataFrame:
-    """(typed, word, score, rank): the closest vocabulary words, exact, without comparing all pairs.
-
-    A score of s allows at most e = len(word) (100 - s) / s edits.  Cut the word into e + 1 pieces:
-    one of them is untouched and so appears in the typed text.  Pieces are looked up by equality.
+def correction_candidates(typed: DataFrame, vocabulary: DataFrame, min_score: float = 75.0) -> DataFrame:
+    """(typed, word): every pair that can reach the score, found by equality of pieces at their places.
+
+    A score of s allows a word of n letters at most e = n (100 - s) / s edits, so it is cut into
+    e + 1 pieces.  With d edits between two given lengths, some untouched piece i <= d has exactly i
+    edits before it and at most d - i after it, so it stands in the typed text at most i places off,
+    and at most d - i off when counted from the end.  Words are filed by (length, piece number,
+    piece); a typed text asks only for the lengths, numbers and places this allows.
     """
-    budget = F.floor(F.length("word") * ((100 - min_score) / min_score) + 1e-9).cast("int")
-    size = lambda i: F.floor(i * F.length("word") / (budget + 1)).cast("int")
-    pieces = F.transform(F.sequence(F.lit(0), budget), lambda i: F.substring(
-        F.col("word"), size(i) + 1, size(i + 1) - size(i)))
-    filed = vocabulary.select("word").distinct().select("word", F.explode(pieces).alias("piece")).distinct()
-    longest = filed.agg(F.max(F.length("piece")).alias("m")).scalar()
-    starts = F.sequence(F.lit(1), F.length("typed"))
-    cuts = typed.select("typed").distinct().withColumn("m", longest).select(
-        "typed", "m", F.explode(starts).alias("a")).select(
-            "typed", F.explode(F.transform(
-                F.sequence(F.lit(1), F.least(F.col("m"), F.length("typed") - F.col("a") + 1)),
-                lambda n: F.substring(F.col("typed"), F.col("a"), n))).alias("piece")).distinct()
-    near = cuts.join(filed, "piece").select("typed", "word").distinct()
-    scored = near.withColumn("score", rounded(likeness(F.col("typed"), F.col("word")), 6)).filter(
-        F.col("score") >= min_score)
+    share = (100 - min_score) / 100
+    budget = lambda n: F.floor(n * (share / (1 - share)) + 1e-9).cast("int")
+    begin = lambda i, n: F.floor(i * n / (budget(n) + 1)).cast("int")
+    n = F.length("word")
+    pieces = F.transform(F.sequence(F.lit(0), budget(n)), lambda i: F.struct(
+        i.alias("number"), F.substring(F.col("word"), begin(i, n) + 1, begin(i + 1, n) - begin(i, n)).alias("piece")))
+    filed = vocabulary.select("word").filter("length(word) > 0").distinct().select(
+        "word", n.alias("length"), F.inline(pieces))
+
+    own, length, number = F.length("typed"), F.col("length"), F.col("number")
+    least, most = F.floor(own * (1 - share) - 1e-9).cast("int"), F.ceil(own / (1 - share) + 1e-9).cast("int")
+    edits = F.floor(F.greatest(own, length) * share + 1e-9).cast("int")
+    asked = (
+        typed.select("typed").filter("length(typed) > 0").distinct()
+        .select("typed", F.explode(F.sequence(F.greatest(least, F.lit(1)), most)).alias("length"))
+        .withColumn("edits", edits).filter(F.abs(own - length) <= F.col("edits"))
+        .withColumn("number", F.explode(F.sequence(F.lit(0), F.least("edits", budget(length)))))
+        .withColumn("low", F.greatest(-number, own - length - F.col("edits") + number))
+        .withColumn("high", F.least(number, own - length + F.col("edits") - number))
+        .filter("low <= high")
+        .withColumn("shift", F.explode(F.sequence("low", "high")))
+        .withColumn("at", begin(number, length) + F.col("shift"))
+        .withColumn("size", begin(number + 1, length) - begin(number, length))
+        .filter((F.col("at") >= 0) & (F.col("at") + F.col("size") <= own))
+        .select("typed", "length", "number", F.substring(F.col("typed"), F.col("at") + 1, F.col("size")).alias("piece"))
+        .distinct())
+    return asked.join(filed, ["length", "number", "piece"]).select("typed", "word").distinct()
+
+
+def corrections(typed: DataFrame, vocabulary: DataFrame, min_score: float = 75.0, k: int = 3) -> DataFrame:
+    """(typed, word, score, rank): the closest vocabulary words, exact, without comparing all pairs."""
+    scored = correction_candidates(typed, vocabulary, min_score).withColumn(
+        "score", rounded(likeness(F.col("typed"), F.col("word")), 6)).filter(F.col("score") >= min_score)
     return best_per(scored, "typed", "score", "word", k)

@@ -73,9 +73,11 @@ def l3_stream(spark, sf):
     return jobs.run_once(jobs.click_through(named)).drop("batch")
 
 
-@query("L4_stream_conversions", S.with_(_EV) + """
-SELECT c.event_id, c.session_id, c.us AS clicked_at, p.us AS purchased_at FROM ev c JOIN ev p
-ON c.event_type = 'click' AND p.event_type = 'purchase' AND p.session_id = c.session_id AND p.us >= c.us AND p.us <= c.us + 43200000000""")
+@query("L4_stream_conversions", S.with_(_EV) + f"""
+, wm AS (SELECT least(max(us) FILTER (WHERE event_type = 'click'), max(us) FILTER (WHERE event_type = 'purchase')) // 1000 * 1000 - {HOUR} AS wm FROM ev)
+SELECT c.event_id, c.session_id, c.us AS clicked_at, min(p.us) AS purchased_at FROM (SELECT * FROM ev WHERE event_type = 'click') c
+LEFT JOIN (SELECT * FROM ev WHERE event_type = 'purchase') p ON p.session_id = c.session_id AND p.us >= c.us AND p.us <= c.us + 43200000000
+WHERE c.us < (SELECT wm FROM wm) - 43200000000 GROUP BY ALL""")
 def l4_stream(spark, sf):
     return jobs.run_once(jobs.conversions(stream(spark, sf), 720)).drop("batch")
 

@@ -168,16 +168,26 @@ def click_through(events: DataFrame, by: str = "engine", hours: int = 24, min_im
 
 
 def conversions(events: DataFrame, minutes: int = 30, delay: str = "1 hour") -> DataFrame:
-    """(event_id, session_id, clicked_at, purchased_at) for every purchase within the window after a
-    click; a stream-stream interval join whose state both watermarks bound."""
+    """(event_id, session_id, clicked_at, purchased_at) of every closed click, as the batch form: the
+    session's first purchase within the window, or none.  Append mode.
+
+    An outer interval join, whose state both watermarks bound, and a minimum per click that the
+    watermark behind the join closes.  A click asks in each time slice its window reaches, so the state of
+    one very long session lies on as many tasks as it has slices.
+    """
+    width = max(3600, minutes * 60)
+    slice_of = lambda at: F.floor(F.unix_seconds(at) / width)
     clicks = events.filter("event_type = 'click'").select(
-        "event_id", "session_id", F.col("ts").alias("click_ts")).withWatermark("click_ts", delay)
+        "event_id", "session_id", F.col("ts").alias("click_ts")).withWatermark("click_ts", delay).withColumn(
+            "slice", F.explode(F.sequence(slice_of(F.col("click_ts")), slice_of(F.col("click_ts") + F.expr(f"INTERVAL {minutes} MINUTES")))))
     buys = events.filter("event_type = 'purchase'").select(
-        F.col("session_id").alias("buyer"), F.col("ts").alias("buy_ts")).withWatermark("buy_ts", delay)
+        F.col("session_id").alias("buyer"), F.col("ts").alias("buy_ts"), slice_of(F.col("ts")).alias("buy_slice")
+    ).withWatermark("buy_ts", delay)
     joined = clicks.join(buys, F.expr(
-        f"session_id = buyer AND buy_ts >= click_ts AND buy_ts <= click_ts + INTERVAL {minutes} MINUTES"))
-    return joined.select("event_id", "session_id", F.unix_micros("click_ts").alias("clicked_at"),
-                         F.unix_micros("buy_ts").alias("purchased_at"))
+        "session_id = buyer AND slice = buy_slice AND buy_ts >= click_ts "
+        f"AND buy_ts <= click_ts + INTERVAL {minutes} MINUTES"), "left_outer")
+    return joined.groupBy("click_ts", "event_id", "session_id").agg(F.min("buy_ts").alias("first")).select(
+        "event_id", "session_id", F.unix_micros("click_ts").alias("clicked_at"), F.unix_micros("first").alias("purchased_at"))
 
 
 # ---------------------------------------------------------------- per micro-batch jobs

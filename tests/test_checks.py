@@ -194,6 +194,55 @@ def test_corrections_match_brute_force(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("least", [60.0, 80.0])
+def test_correction_candidates_lose_none_and_stay_few(spark, least):
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    vocabulary = sorted({word(rng.randint(4, 9)) for _ in range(1500)})
+    typed = sorted({w[:i] + rng.choice(["", "x", w[i] + "y"]) + w[i + 1:] for w in vocabulary[::25] for i in [rng.randrange(len(w))]} | {"a", ""})
+    pairs = merchandising.correction_candidates(
+        spark.createDataFrame([(t,) for t in typed], "typed string"),
+        spark.createDataFrame([(w,) for w in vocabulary], "word string"), least).collect()
+    assert len(pairs) == len(set(pairs))
+    near = {(t, w) for t in typed for w in vocabulary if 100 * (1 - edits(t, w) / max(len(t), len(w))) >= least}
+    assert near and near <= {(r["typed"], r["word"]) for r in pairs}
+    assert len(pairs) < (0.2 if least < 70 else 0.02) * len(typed) * len(vocabulary)
+
+
+def _attributed(spark, folder, files):
+    """The stream's rows after reading one file per micro-batch."""
+    import os
+    import time
+
+    for i, rows in enumerate(files):
+        path = f"{folder}/part-{i}.parquet"
+        rows.coalesce(1).write.parquet(path)
+        for name in os.listdir(path):
+            os.utime(f"{path}/{name}", (time.time() - 1000 + 10 * i,) * 2)
+    stream = (spark.readStream.schema(files[0].schema).option("maxFilesPerTrigger", 1)
+              .option("recursiveFileLookup", "true").parquet(folder))
+    out = jobs.run_once(jobs.conversions(stream, 30))
+    return {(r["event_id"], r["purchased_at"]) for r in out.collect()}, out.select("batch").distinct().count()
+
+
+def test_streamed_attribution_over_files_with_late_events(spark, tmp_path):
+    rng = random.Random(4)
+    minute = 60_000_000
+    events = [(i, rng.choice(["hot", "a", "b", "c"]), rng.choice(["click", "click", "purchase", "view"]), rng.randrange(0, 900) * minute + i)
+              for i in range(400)]
+    events += [(9000, "end", "click", 3000 * minute), (9001, "end", "purchase", 3000 * minute)]
+    # Up to 50 minutes late: inside the allowed hour, across file borders.
+    arrival = sorted(events, key=lambda e: e[3] + rng.randrange(0, 50) * minute)
+    cuts = [arrival[:130], arrival[130:260], arrival[260:]]
+    frames = [spark.createDataFrame(part, "event_id bigint, session_id string, event_type string, us bigint").select(
+        "event_id", "session_id", "event_type", F.timestamp_micros("us").alias("ts")) for part in cuts]
+    got, batches = _attributed(spark, str(tmp_path / "in"), frames)
+    whole = frames[0].union(frames[1]).union(frames[2])
+    want = {(r["event_id"], r["purchased_at"]) for r in merchandising.conversions(whole, 30).collect() if r["event_id"] != 9000}
+    assert got == want and batches > 1
+    assert any(p is None for _, p in got) and any(p is not None for _, p in got)
+
+
 def test_ndcg_and_recall_by_hand(spark):
     recs = spark.createDataFrame([("s", "a", 1), ("s", "b", 2), ("s", "c", 3), ("t", "a", 1)], "session_id string, product_id string, rank int")
     relevant = spark.createDataFrame([("s", "b"), ("s", "z")], "session_id string, product_id string")
