@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
@@ -132,28 +135,64 @@ def overall_grade(rows: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- stored baseline
 
 
-def save_baseline(df: DataFrame, path: str) -> None:
-    baseline_bins(df).write.mode("overwrite").parquet(f"{path}/bins")
-    category_counts(df).write.mode("overwrite").parquet(f"{path}/categories")
+class Baseline(NamedTuple):
+    """One stored version: bins and category counts as tables, and the rows they were made from."""
+
+    version: str
+    bins: DataFrame
+    counts: DataFrame
+    records: int
+
 
+def save_baseline(df: DataFrame, path: str) -> str:
+    """Add a version and return its name.
 
-def load_baseline(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame] | None:
+    All of a version lies in one file, which a single rename brings into sight, so a reader sees the whole
+    version or none of it.  Versions are never overwritten: a check keeps the one it began with.  What
+    is gathered in that file is one row per bin and per top-level category.
+    """
+    none = lambda kind: F.lit(None).cast(kind)
+    bins = baseline_bins(df).select(
+        F.lit("bin").alias("kind"), "feature", F.col("bin").cast("int"), "edge_low", "edge_high", F.col("n").cast("bigint"))
+    levels = category_counts(df).select(
+        F.lit("level").alias("kind"), F.col("level").alias("feature"), none("int").alias("bin"),
+        none("double").alias("edge_low"), none("double").alias("edge_high"), "n")
+    records = df.agg(F.count("*").alias("n")).select(
+        F.lit("records").alias("kind"), none("string").alias("feature"), none("int").alias("bin"),
+        none("double").alias("edge_low"), none("double").alias("edge_high"), "n")
+    newest = load_baseline(df.sparkSession, path)
+    number = int(newest.version.split("-")[0]) + 1 if newest else 1
+    version = f"{number:012d}-{uuid.uuid4().hex}"
+    bins.unionByName(levels).unionByName(records).repartition(1).withColumn("version", F.lit(version)).write.mode(
+        "append").parquet(path)
+    return version
+
+
+def load_baseline(spark: SparkSession, path: str) -> Baseline | None:
+    """The newest version; versions stored later do not change what was returned."""
     try:
-        return spark.read.parquet(f"{path}/bins"), spark.read.parquet(f"{path}/categories")
+        rows = spark.read.parquet(path)
     except AnalysisException:
         return None
+    head = rows.filter("kind = 'records'").orderBy(F.desc("version")).select("version", "n").first()
+    if head is None:
+        return None
+    one = rows.filter(F.col("version") == head["version"])
+    return Baseline(
+        head["version"], one.filter("kind = 'bin'").select("feature", "bin", "edge_low", "edge_high", "n"),
+        one.filter("kind = 'level'").select(F.col("feature").alias("level"), "n"), head["n"])
 
 
-def check(df: DataFrame, path: str) -> DataFrame:
+def check(df: DataFrame, path: str, stored: Baseline | None = None) -> DataFrame:
     """First run: store the baseline and report no drift.  Later runs: compare, baseline untouched."""
-    spark = df.sparkSession
-    stored = load_baseline(spark, path)
+    stored = stored or load_baseline(df.sparkSession, path)
     if stored is None:
         save_baseline(df, path)
-        return spark.range(1).select(
+        return df.sparkSession.range(1).select(
             F.lit("baseline_established").alias("status"), F.lit("dataset").alias("feature"),
             F.lit("none").alias("metric"), F.lit(0.0).alias("value"), F.lit("none").alias("grade"))
-    return report(*stored, df).select(F.lit("compared").alias("status"), "feature", "metric", "value", "grade")
+    return report(stored.bins, stored.counts, df).select(
+        F.lit("compared").alias("status"), "feature", "metric", "value", "grade")
 
 
 # ---------------------------------------------------------------- latency
@@ -171,5 +210,26 @@ def latency_summary(samples: DataFrame, path: str = "path", value: str = "durati
     return mean.join(picked, "path")
 
 
+def latency_sketches(samples: DataFrame, path: str = "path", value: str = "duration_ms", at: str = "ts",
+                     k: int = 800) -> DataFrame:
+    """(path, day, count, total, sketch): a mergeable quantile sketch per path and day.
+
+    The approximate form of ``latency_summary``, for histories whose days are written once and read
+    often.  A larger ``k`` means a smaller rank error; 800 keeps it near half a percent.
+    """
+    rows = samples.select(F.col(path).alias("path"), F.to_date(at).alias("day"), F.col(value).cast("double").alias("value"))
+    return rows.filter("value IS NOT NULL").groupBy("path", "day").agg(
+        F.count("*").alias("count"), F.sum("value").alias("total"), F.kll_sketch_agg_double("value", k).alias("sketch"))
+
+
+def sketched_latency(sketches: DataFrame, shares: tuple[float, ...] = (0.50, 0.95, 0.99), k: int = 800) -> DataFrame:
+    """Per path the summary of any set of stored days; no sample is read again.  Counts and means are exact."""
+    merged = sketches.groupBy("path").agg(
+        F.sum("count").alias("count"), F.sum("total").alias("total"), F.kll_merge_agg_double("sketch", k).alias("sketch"))
+    return merged.select(
+        "path", "count", rounded(F.col("total") / F.col("count"), 2).alias("avg_ms"),
+        *[F.kll_sketch_get_quantile_double("sketch", F.lit(p)).alias(f"p{round(p * 100)}_ms") for p in shares])
+
+
 def latest_samples(samples: DataFrame, n: int = 500) -> DataFrame:
     return samples.orderBy(F.desc("ts"), F.desc("event_id")).limit(n)

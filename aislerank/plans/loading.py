@@ -31,10 +31,22 @@ def s1(spark, sf):
 
 @query("S2_ingestion_profile", RAW + " UNION ALL ".join(
     f"SELECT {i}::BIGINT AS position, '{c}' AS column_name, 'string' AS dtype, "
-    f"count(*) - count({c}) AS null_count, count(*) AS records FROM raw"
+    f"count(*) - count({c}) AS null_count, count(*) AS records, true AS source_named, true AS all_files, true AS size_plausible FROM raw"
     for i, c in enumerate(RAW_COLUMNS)))
 def s2(spark, sf):
-    return csv_catalogue.ingestion_profile(raw_catalogue(spark, sf))
+    """Of the written file set.  Its bytes hold each text once, plus at least a separator per cell."""
+    path = scratch_path(spark, "catalogue-csv")
+    raw = raw_catalogue(spark, sf).select(*RAW_COLUMNS)
+    raw.write.csv(path, header=True, escape='"', quoteAll=False)
+    files = csv_catalogue.source_files(spark, path)
+    profile = csv_catalogue.ingestion_profile(csv_catalogue.read_catalogue_csv(spark, path), files=files)
+    texts = raw.agg(F.sum(sum(F.coalesce(F.octet_length(c), F.lit(0)) + 1 for c in RAW_COLUMNS)).alias("n")).scalar()
+    return profile.select(
+        "position", "column_name", "dtype", "null_count", "records",
+        F.contains("source_path", F.lit(path.rsplit("/", 1)[-1])).alias("source_named"),
+        (F.col("files") == files.agg(F.count_distinct("path")).scalar()).alias("all_files"),
+        ((F.col("bytes") >= texts) & (F.col("bytes") <= texts * 2 + 10**6)
+         & (F.abs(F.col("size_mb") * 2**20 - F.col("bytes")) <= 1024)).alias("size_plausible"))
 
 
 _ROW = "concat_ws(chr(31), " + ", ".join(f"coalesce({c}, chr(0))" for c in RAW_COLUMNS) + ")"

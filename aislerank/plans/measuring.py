@@ -309,6 +309,22 @@ def d6(spark, sf):
         "path", "count", "avg_ms", "p50_ms", "p95_ms", "p99_ms")
 
 
+@query("D6_sketched_latency", "SELECT event_type AS path, count(*) AS count, " + S.rnd("avg(value)", 2) + """ AS avg_ms,
+true AS p50_near, true AS p95_near, true AS p99_near FROM events GROUP BY 1""")
+def d6_sketched(spark, sf):
+    """Sketches stored per day, merged per path, and their ranks held against the samples (2 percent)."""
+    path = scratch_path(spark, "latency")
+    samples = table(spark, sf, "events")
+    drift.latency_sketches(samples, "event_type", "value").write.partitionBy("day").parquet(path)
+    merged = drift.sketched_latency(spark.read.parquet(path))
+    below = lambda p: F.avg((F.col("value") < F.col(f"p{p}_ms")).cast("int"))
+    upto = lambda p: F.avg((F.col("value") <= F.col(f"p{p}_ms")).cast("int"))
+    near = [((below(p) <= p / 100 + 0.02) & (upto(p) >= p / 100 - 0.02)).alias(f"p{p}_near") for p in (50, 95, 99)]
+    # One row per path is looked up.
+    ranks = samples.join(F.broadcast(merged), F.col("event_type") == F.col("path")).groupBy("path", "count", "avg_ms").agg(*near)
+    return ranks.select("path", "count", "avg_ms", "p50_near", "p95_near", "p99_near")
+
+
 @query("D7_latest_samples", "SELECT event_id, value FROM events ORDER BY ts DESC, event_id DESC LIMIT 500")
 def d7(spark, sf):
     return drift.latest_samples(table(spark, sf, "events")).select("event_id", "value")

@@ -37,30 +37,42 @@ def read_catalogue_csv(spark: SparkSession, path: str, columns: Sequence[str] =
     def read(paths: str | list[str], name: str) -> DataFrame:
         return spark.read.csv(paths, schema=schema, header=True, multiLine=multi_line, escape='"', encoding=name)
 
-    found = source_files(spark, path).collect() if encoding is None else []
-    latin = [unquote(f["path"]) for f in found if f["encoding"] != "UTF-8"]
-    if not latin:
-        df = read(path, encoding or "UTF-8")
-    elif len(latin) == len(found):
-        df = read(path, "ISO-8859-1")
+    if encoding is not None:
+        df = read(path, encoding)
     else:
-        df = read([unquote(f["path"]) for f in found if f["encoding"] == "UTF-8"], "UTF-8").unionByName(read(latin, "ISO-8859-1"))
+        latin = [f["path"] for f in source_files(spark, path).filter("encoding <> 'UTF-8'").select("path").collect()]
+        df = read(path, "UTF-8")
+        if latin:
+            df = df.filter(~F.col("_metadata.file_path").isin(latin)).unionByName(
+                read([unquote(f) for f in latin], "ISO-8859-1"))
     return df.select(
         *[F.when(~F.col(c).isin(*MISSING_SPELLINGS), F.col(c)).alias(c) for c in columns])
 
 
-def ingestion_profile(df: DataFrame, columns: Sequence[str] = RAW_COLUMNS) -> DataFrame:
-    """One row per column: position, type, nulls, records; one pass."""
+def ingestion_profile(df: DataFrame, columns: Sequence[str] = RAW_COLUMNS, files: DataFrame | None = None) -> DataFrame:
+    """One row per column: position, type, nulls, records; one pass.
+
+    With ``files`` (as from ``source_files``) each row also names the source: files, bytes, the size in
+    MB and the folder, or the file itself if it is the only one.
+    """
     types = dict(df.dtypes)
     counts = df.agg(
         F.count("*").alias("records"),
         *[F.count(F.col(c)).alias(f"f_{c}") for c in columns])
-    return counts.select(F.inline(F.array(*[
+    profile = counts.select(F.inline(F.array(*[
         F.struct(
             F.lit(i).cast("bigint").alias("position"), F.lit(c).alias("column_name"),
             F.lit(types[c]).alias("dtype"),
             (F.col("records") - F.col(f"f_{c}")).alias("null_count"), F.col("records"))
         for i, c in enumerate(columns)])))
+    if files is None:
+        return profile
+    folder = F.regexp_replace("path", "/[^/]*$", "")
+    source = files.agg(
+        F.count("*").alias("files"), F.sum("bytes").alias("bytes"),
+        F.when(F.count("*") == 1, F.min("path")).otherwise(F.min(folder)).alias("source_path"))
+    return profile.withColumn("s", source.select(F.struct("*")).scalar()).select(
+        *profile.columns, "s.*", F.round(F.col("s.bytes") / 2**20, 3).alias("size_mb"))
 
 
 def content_version(df: DataFrame, columns: Sequence[str] = RAW_COLUMNS) -> DataFrame:

@@ -133,6 +133,47 @@ def test_drift_cases(spark, tmp_path):
     assert {r["grade"] for r in drift.check(later, path).collect()} == {"none"}
 
 
+def test_a_promotion_during_a_check_changes_nothing_in_it(spark, tmp_path):
+    path = str(tmp_path / "baseline")
+    base, later = normal_rows(spark, 1, 500), normal_rows(spark, 3, 5000)
+    assert drift.load_baseline(spark, path) is None
+    drift.save_baseline(base, path)
+    running = drift.check(later, path)  # not evaluated yet
+    held = drift.load_baseline(spark, path)
+    drift.save_baseline(later, path)
+    assert {r["feature"]: r["grade"] for r in running.collect()}["discounted_price"] == "high"
+    assert held.records == 3000 and held.bins.agg(F.sum("n")).first()[0] == 4 * 3000
+    newest = drift.load_baseline(spark, path)
+    assert newest.version > held.version and newest.records == 3000
+    assert {r["grade"] for r in drift.check(later, path).collect()} == {"none"}
+
+
+def test_sketched_latency_is_near_in_rank_and_merges_days(spark):
+    rng = random.Random(6)
+    values = [rng.lognormvariate(3, 1) for _ in range(30_000)]
+    rows = spark.createDataFrame([(v, i % 40) for i, v in enumerate(values)], "ms double, d int").select(
+        F.lit("p").alias("path"), "ms", F.date_add(F.lit("2024-01-01"), F.col("d")).alias("ts")).union(
+            spark.sql("select 'one', 5.0D, date'2024-01-01' union all select 'none', cast(null as double), date'2024-01-01'"))
+    stored = drift.latency_sketches(rows, "path", "ms")
+    assert stored.filter("path = 'p'").count() == 40
+    got = {r["path"]: r for r in drift.sketched_latency(stored).collect()}
+    assert set(got) == {"p", "one"} and got["one"]["p50_ms"] == 5.0 and got["p"]["count"] == 30_000
+    assert got["p"]["avg_ms"] == round(sum(values) / len(values), 2)
+    for p in (50, 95, 99):
+        assert abs(sum(v <= got["p"][f"p{p}_ms"] for v in values) / len(values) - p / 100) < 0.01
+
+
+def test_profile_names_its_files(spark, tmp_path):
+    path = str(tmp_path / "one.csv")
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(",".join(RAW_COLUMNS) + "\n" + ",".join(["é"] * len(RAW_COLUMNS)) + "\n")
+    size = (tmp_path / "one.csv").stat().st_size
+    rows = csv_catalogue.ingestion_profile(
+        csv_catalogue.read_catalogue_csv(spark, path), files=csv_catalogue.source_files(spark, path)).collect()
+    assert {(r["files"], r["bytes"], r["null_count"], r["records"]) for r in rows} == {(1, size, 0, 1)}
+    assert rows[0]["source_path"].endswith("/one.csv")
+
+
 @pytest.mark.parametrize("n", [1, 2, 7, 500])
 def test_order_statistics(spark, n):
     rng = random.Random(n)
