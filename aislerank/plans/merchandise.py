@@ -6,14 +6,14 @@ from pyspark.sql import functions as F
 
 from aislerank.functions.numbers import rounded
 from aislerank.operators import merchandising as M
-from aislerank.operators import quality, strategies
+from aislerank.operators import hybrid, quality, strategies
 from aislerank.plans import sqltext as S
 from aislerank.plans.book import query
 from aislerank.plans.loading import _ALL as ALL_RULES
 from aislerank.plans.loading import _ROW as ROW_TEXT
-from aislerank.plans.measuring import CON
-from aislerank.plans.ranking import K, brand_cte, category_cte, shelf
-from aislerank.plans.similarity import TERMS, texted
+from aislerank.plans.loading import TREND
+from aislerank.plans.ranking import _FBT, COMPLEMENTS, K, popular_cte, shelf
+from aislerank.plans.similarity import TERMS, hybrid_ctes, inputs, texted
 from aislerank.session import scratch_path
 from aislerank.settings import RAW_COLUMNS
 from aislerank.sources import csv_catalogue, tables
@@ -123,29 +123,41 @@ def l8(spark, sf):
 # ---------------------------------------------------------------- logs and reports
 
 
-@query("S6_recommendation_log", S.with_(S.FEATURES, brand_cte(), category_cte()) + f"""
-SELECT 'brand_similarity' AS engine, count(*) AS shown, count(DISTINCT query_id) AS sessions, {S.rnd('sum(score)', 4)} AS total FROM br_r
-UNION ALL SELECT 'category_similarity', count(*), count(DISTINCT query_id), {S.rnd('sum(score)', 4)} FROM cat_r""")
+_LOGGED = {
+    "content_based": ("con_r", "least(1.0, score)"), "category_similarity": ("cat_r", "least(1.0, score)"),
+    "brand_similarity": ("br_r", S.rnd("least(1.0, score + 0.2::DOUBLE)", 9)), "price_similarity": ("pr_r", "least(1.0, score)"),
+    "popularity": ("pk_r", "score"), "trending": ("tr_r", "score"), "frequently_bought_together": ("fb_r", "least(1.0, score)"),
+    "hybrid": ("hybrid", "confidence_score"),
+}
+_TREND_ONLY = TREND[TREND.index("heat AS"):]
+
+
+@query("S6_recommendation_log", S.with_(
+    *hybrid_ctes(), popular_cte(K, "pk"), _TREND_ONLY,
+    popular_cte(K, "tr", "trending_score", "trend", "coalesce(rating_count, 0) >= 5", "trend"), _FBT) + " UNION ALL ".join(
+    f"SELECT '{name}' AS engine, count(*) AS shown, count(DISTINCT query_id) AS sessions, {S.rnd(f'sum({confidence})', 3)} AS total, "
+    f"0::BIGINT AS clicked, true AS sourced FROM {rows} WHERE rank <= {K}" for name, (rows, confidence) in _LOGGED.items()))
 def s6(spark, sf):
+    """Every strategy's lists for every product, appended to one log and read back."""
     path = scratch_path(spark, "recommendation-log")
-    df = shelf(spark, sf)
-    for run in (strategies.brand_similarity, strategies.category_similarity):
-        recs = run(df, strategies.as_queries(df), K).withColumn("source_product_id", F.col("query_id"))
-        tables.append_recommendations(recs, path)
+    df, edges = inputs(spark, sf)
+    asked = strategies.as_queries(df)
+    for name, recs in {
+        "content_based": strategies.content_based(df, asked, edges, K),
+        "category_similarity": strategies.category_similarity(df, asked, K),
+        "brand_similarity": strategies.brand_similarity(df, asked, K),
+        "price_similarity": strategies.price_similarity(df, asked, K),
+        "popularity": strategies.popularity(df, asked, K),
+        "trending": strategies.trending(df, asked, K),
+        "frequently_bought_together": strategies.bought_together(df, asked, K, COMPLEMENTS),
+        "hybrid": hybrid.hybrid(df, asked, edges, K),
+    }.items():
+        tables.append_recommendations(recs.withColumn("source_product_id", F.col("query_id")), path, name)
     log = spark.read.parquet(path)
     return log.groupBy("engine").agg(
-        F.count("*").alias("shown"), F.count_distinct("session_id").alias("sessions"), rounded(F.sum("score"), 4).alias("total"))
-
-
-@query("S7_training_run", S.with_(*CON) + f"""
-SELECT (SELECT count(*) FROM features) AS dataset_rows, (SELECT count(*) FROM vocab) AS vocab_size,
-  {S.rnd('count(DISTINCT product_id) / (SELECT count(*) FROM features)', 6)} AS coverage FROM con_r""")
-def s7(spark, sf):
-    from aislerank.plans.pipeline import training_run
-
-    path = scratch_path(spark, "training-history")
-    tables.append_training_run(training_run(texted(spark, sf)), path)
-    return spark.read.parquet(path).select("dataset_rows", "vocab_size", "coverage")
+        F.count("*").alias("shown"), F.count_distinct("session_id").alias("sessions"), rounded(F.sum("score"), 3).alias("total"),
+        F.sum(F.col("clicked") + F.col("purchased")).alias("clicked"),
+        F.every(F.col("source_product_id") == F.col("session_id")).alias("sourced"))
 
 
 _NULL_CELLS = " + ".join(f"count(*) - count({c})" for c in RAW_COLUMNS)

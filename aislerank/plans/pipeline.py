@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aislerank.functions.numbers import rounded
-from aislerank.operators import cleaning, features, hybrid, metrics, quality, strategies, vectors
+from aislerank.operators import cleaning, features, hybrid, metrics, quality, reports, strategies, vectors
 from aislerank.session import cut
 from aislerank.settings import HYBRID_WEIGHTS, TextModel
-from aislerank.sources.tables import append_training_run, write_stage
+from aislerank.sources.tables import append_training_run, write_json_report, write_stage
 
 
 @dataclass(frozen=True)
@@ -25,12 +25,14 @@ class Trained:
     metrics: DataFrame
 
 
-def run(raw: DataFrame, folder: str, k: int = 10, model: TextModel = TextModel()) -> Trained:
-    """Validate (an error-severity rule stops the run), clean, derive, fit and evaluate.
+def run(raw: DataFrame, folder: str, k: int = 10, model: TextModel = TextModel(), strict: bool = True) -> Trained:
+    """Validate (an error-severity rule stops the run, unless not ``strict``), clean, derive, fit and evaluate.
 
-    Stages are Parquet tables below ``folder``; each later step starts from the files.
+    Stages are Parquet tables below ``folder``; each later step starts from the files.  The JSON
+    documents of the run lie in ``folder``/reports.
     """
-    quality.enforce(quality.verdict(quality.issues(quality.measure(raw))))
+    if strict:
+        quality.enforce(quality.verdict(quality.issues(quality.measure(raw))))
     clean = write_stage(cleaning.cleaned(raw), f"{folder}/cleaned")
     full = write_stage(features.add_trend(features.featured(clean)), f"{folder}/features")
     docs = vectors.terms(full, model=model)
@@ -39,13 +41,21 @@ def run(raw: DataFrame, folder: str, k: int = 10, model: TextModel = TextModel()
     edges = write_stage(vectors.neighbours(vecs, 3 * k), f"{folder}/edges")
     summary = evaluated(full, vocab, vecs, edges, k)
     append_training_run(summary, f"{folder}/training_history")
+    judged = write_stage(reports.evaluation(shown(edges, k), full, vocab, vecs, (5,) if k == 5 else (5, k)), f"{folder}/evaluation")
+    write_json_report(reports.document(judged), f"{folder}/reports/evaluation")
+    write_json_report(reports.document(reports.pipeline_summary(raw, full, vocab, judged, folder)), f"{folder}/reports/summary")
     return Trained(full, vocab, vecs, edges, summary)
 
 
+def shown(edges: DataFrame, k: int) -> DataFrame:
+    """The k nearest as recommendations."""
+    return edges.filter(F.col("rank") <= k).select(
+        F.col("src").alias("query_id"), F.col("dst").alias("product_id"), "rank", "score")
+
+
 def evaluated(full: DataFrame, vocab: DataFrame, vecs: DataFrame, edges: DataFrame, k: int = 10) -> DataFrame:
     """One row of run metrics over all queries."""
-    recs = edges.filter(F.col("rank") <= k).select(
-        F.col("src").alias("query_id"), F.col("dst").alias("product_id"), "rank", "score")
+    recs = shown(edges, k)
     one = lambda df, c: df.select(rounded(F.col(c), 6)).scalar().alias(c)
     at5 = metrics.category_precision_recall(recs, full, 5)
     at10 = metrics.category_precision_recall(recs, full, k)

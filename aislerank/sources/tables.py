@@ -43,13 +43,15 @@ def serving_rows(raw: DataFrame, order: str = "ingest_order") -> DataFrame:
 
 def append_recommendations(recs: DataFrame, path: str, engine: str | None = None,
                            at: Column | None = None, mode: str = "append") -> None:
-    """Append shown recommendations to the log; clicks and purchases start at 0."""
+    """Append shown recommendations with the confidence users saw (the score, where there is none) to the
+    log; clicks and purchases start at 0."""
+    shown = "confidence_score" if "confidence_score" in recs.columns else "score"
     recs.select(
         F.col("query_id").cast("string").alias("session_id"),
         F.col("source_product_id"),
         F.col("product_id").alias("recommended_product_id"),
         (F.lit(engine) if engine else F.col("strategy")).alias("engine"),
-        F.col("score"),
+        F.col(shown).alias("score"),
         (F.current_timestamp() if at is None else at).alias("timestamp"),
         F.lit(0).alias("clicked"),
         F.lit(0).alias("purchased"),

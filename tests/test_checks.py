@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from aislerank.functions import numbers, text
-from aislerank.operators import cleaning, drift, merchandising, metrics, quality, search
+from aislerank.operators import cleaning, drift, merchandising, metrics, quality, reports, search
 from aislerank.plans import pipeline
 from aislerank.settings import RAW_COLUMNS
 from aislerank.sources import csv_catalogue, tables
@@ -92,6 +92,8 @@ def test_pipeline_end_to_end(spark, sf, tmp_path):
     assert 0 < row["dataset_rows"] <= raw.count() and row["vocab_size"] > 0
     for name in ("precision_at_5", "recall_at_10", "coverage", "diversity", "novelty"):
         assert 0 <= row[name] <= 1
+    for name in ("evaluation", "summary"):
+        assert spark.read.text(str(tmp_path / "run" / "reports" / name)).count() == 1
     assert trained.features.filter("popularity_score < 0 OR popularity_score > 1").count() == 0
     assert set(r[0] for r in trained.features.select("price_bucket").distinct().collect()) <= {
         "Budget", "Mid-Range", "Premium", "Luxury", "Unknown"}
@@ -133,6 +135,18 @@ def test_drift_cases(spark, tmp_path):
     assert {r["grade"] for r in drift.check(later, path).collect()} == {"none"}
 
 
+def test_drift_document_of_first_and_later_runs(spark, tmp_path):
+    import json
+
+    path = str(tmp_path / "baseline")
+    read = lambda df: json.loads(reports.document(reports.drift_summary(df, path)).first()["report"])
+    first = read(normal_rows(spark, 1, 500))
+    assert first["status"] == "baseline_established" and first["overall_grade"] == "none" and not first.get("features")
+    later = read(normal_rows(spark, 3, 5000))
+    assert later["baseline_record_count"] == 3000 and later["overall_grade"] == "high"
+    assert later["features"]["discounted_price"]["metric"] == "psi" and set(later["features"]) == {*drift.NUMERIC, "category"}
+
+
 def test_a_promotion_during_a_check_changes_nothing_in_it(spark, tmp_path):
     path = str(tmp_path / "baseline")
     base, later = normal_rows(spark, 1, 500), normal_rows(spark, 3, 5000)
