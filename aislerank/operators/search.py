@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aislerank.operators.skew import salted_join
-
+from aislerank.session import cut
 
 # Shown where a review part is missing.
 NO_NAME, NO_TITLE, NO_BODY = "Amazon Customer", "Review", "No review content provided."
@@ -98,15 +98,16 @@ def category_tree(catalogue: DataFrame) -> DataFrame:
 
 
 def number_rows(df: DataFrame, key: str) -> DataFrame:
-    """Dense 1..n by a unique key: a row number inside each first-character block plus the sizes of
-    the blocks before it."""
-    blocked = df.withColumn("_b", F.substring(key, 1, 2))
-    sizes = blocked.groupBy("_b").agg(F.count("*").alias("_n"))
-    # One row per two-character prefix.
+    """Dense 1..n by a unique key: keys are exchanged by range, numbered inside each range, and the
+    sizes of the ranges before are added.  How the keys begin does not matter."""
+    # Written, so that a row keeps the number of its range.
+    ranged = cut(df.repartitionByRange(F.col(key)).withColumn("_b", F.spark_partition_id()))
+    sizes = ranged.groupBy("_b").agg(F.count("*").alias("_n"))
+    # One row per range.
     offsets = sizes.select("_b", F.coalesce(
         F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
     inner = F.row_number().over(Window.partitionBy("_b").orderBy(key))
-    return blocked.withColumn("_r", inner).join(offsets, "_b").withColumn(
+    return ranged.withColumn("_r", inner).join(F.broadcast(offsets), "_b").withColumn(
         "id", (F.col("_r") + F.col("_o")).cast("bigint")).drop("_b", "_r", "_o")
 
 
@@ -128,33 +129,73 @@ def inverted_index(catalogue: DataFrame) -> DataFrame:
         "word IS NOT NULL")
 
 
-def search(catalogue: DataFrame, phrases: DataFrame, k: int = 20, category: str | None = None) -> DataFrame:
+def name_prefixes(postings: DataFrame) -> DataFrame:
+    """(word, token, points): every beginning a token may have of every distinct word."""
+    lengths = F.sequence(F.least(F.lit(2), F.length("word")), F.length("word"))
+    return postings.select("word").distinct().select("word", F.explode(F.transform(
+        lengths, lambda n: F.substring(F.col("word"), F.lit(1), n))).alias("token")).withColumn(
+            "points", F.when(F.col("token") == F.col("word"), 2.0).otherwise(0.5))
+
+
+def name_scores(phrases: DataFrame, items: DataFrame, k: int, common: int = 1000) -> DataFrame:
+    """(query, n, name_key, score) with the k best names of every phrase, and some more.
+
+    A token that more than ``common`` names answer is a common one.  Phrases with the same common
+    tokens share one list of the k best names for these tokens, so a word that very many phrases and
+    names hold is scored once and not for each phrase.  The names that a rare token finds, at most
+    ``common`` for each, are scored in full, by their own words.  That loses nothing: a name outside the list
+    that no rare token finds has k names before it, whose scores the rare tokens can only raise.
+    """
+    postings = cut(items.select("name_key", F.explode_outer(name_words(F.col("name_key"))).alias("word")).filter(
+        "word IS NOT NULL").groupBy("word", "name_key").agg(F.count("*").alias("times")))
+    prefixes = cut(name_prefixes(postings))
+    many = prefixes.join(postings.groupBy("word").agg(F.count("*").alias("names")), "word").groupBy("token").agg(
+        F.sum("names").alias("names")).filter(F.col("names") > common).select("token", F.lit(True).alias("common"))
+    tokens = phrases.select("query").distinct().select("query", F.filter(
+        F.split(F.trim(F.lower("query")), r"\s+"), lambda w: F.length(w) >= 2).alias("tokens"))
+    asked = tokens.select("query", F.size("tokens").alias("n"), F.explode_outer("tokens").alias("token")).filter(
+        "token IS NOT NULL").groupBy("query", "n", "token").agg(F.count("*").alias("repeats")).join(many, "token", "left")
+    token = F.struct("token", "repeats")
+    split = cut(asked.groupBy("query", "n").agg(
+        F.sort_array(F.collect_list(F.when(F.col("common"), token))).alias("shared"),
+        F.collect_list(F.when(F.col("common").isNull(), token)).alias("rare")).withColumn("set", F.to_json("shared")))
+
+    points = lambda rows, by: rows.join(prefixes, "token").join(postings, "word").groupBy(*by, "name_key").agg(
+        F.sum(F.col("points") * F.col("times") * F.col("repeats")).alias("score"))
+    # The common tokens: once for each distinct set of them.
+    sets = split.filter("size(shared) > 0").groupBy("set").agg(F.first("shared").alias("shared")).select("set", F.inline("shared"))
+    leader = F.col("items")[0]
+    order = (F.desc("score"), leader["popularity_score"].desc(), leader["product_id"].asc())
+    listed = points(sets, ["set"]).join(items, "name_key").withColumn(
+        "_n", F.row_number().over(Window.partitionBy("set").orderBy(*order))).filter(F.col("_n") <= k).groupBy("set").agg(
+            F.collect_list(F.struct("name_key", "score")).alias("list"))
+    by_set = salted_join(split.filter("size(shared) > 0").select("query", "n", "set"), listed, "set").select(
+        "query", "n", F.inline("list"))
+    # The rare tokens, and what the common ones add to the names they find.
+    added = F.aggregate("shared", F.lit(0.0), lambda total, t: total + t["repeats"] * F.aggregate(
+        name_words(F.col("name_key")), F.lit(0.0), lambda s, w: s + F.when(w == t["token"], 2.0).when(
+            F.startswith(w, t["token"]), 0.5).otherwise(0.0)))
+    found = points(split.select("query", F.inline("rare")), ["query"])
+    by_rare = found.join(split.select("query", "n", "shared"), "query").select(
+        "query", "n", "name_key", (F.col("score") + added).alias("score"))
+    return by_set.unionByName(by_rare).groupBy("query", "n", "name_key").agg(F.max("score").alias("score"))
+
+
+def search(catalogue: DataFrame, phrases: DataFrame, k: int = 20, category: str | None = None, common: int = 1000) -> DataFrame:
     """The k best products per phrase: 2 per exact word, 1/2 per word the token properly begins.
 
     Products of one name score alike, so names are scored and each name carries its k most popular
     products.  The k best names, ordered by score and by their best product, hold the k best
     products.  Prefixes are looked up by equality in a table of the prefixes of the distinct words.
+    ``common`` moves work, not results, see ``name_scores``.
     """
+    from aislerank.functions.numbers import rounded
     from aislerank.operators.lists import group_lists
 
     shown = catalogue.filter(F.lower("category_l1") == category.lower()) if category else catalogue
     named = shown.withColumn("name_key", F.lower(F.trim("product_name"))).filter("name_key <> ''")
-    items = group_lists(named, "name_key", k)
-    postings = items.select("name_key", F.explode_outer(name_words(F.col("name_key"))).alias("word")).filter(
-        "word IS NOT NULL").groupBy("word", "name_key").agg(F.count("*").alias("times"))
-    vocabulary = postings.select("word").distinct()
-    lengths = F.sequence(F.least(F.lit(2), F.length("word")), F.length("word"))
-    prefixes = vocabulary.select("word", F.explode(F.transform(
-        lengths, lambda n: F.substring(F.col("word"), F.lit(1), n))).alias("token")).withColumn(
-            "points", F.when(F.col("token") == F.col("word"), 2.0).otherwise(0.5))
-    tokens = phrases.select("query").distinct().select("query", F.filter(
-        F.split(F.trim(F.lower("query")), r"\s+"), lambda w: F.length(w) >= 2).alias("tokens"))
-    asked = tokens.select("query", F.size("tokens").alias("n"), F.explode_outer("tokens").alias("token")).filter(
-        "token IS NOT NULL").groupBy("query", "n", "token").agg(F.count("*").alias("repeats"))
-    scored = (
-        asked.join(prefixes, "token").join(postings, "word")
-        .groupBy("query", "n", "name_key")
-        .agg(F.sum(F.col("points") * F.col("times") * F.col("repeats")).alias("score")))
+    items = cut(group_lists(named, "name_key", k))
+    scored = name_scores(phrases, items, k, common)
     leader = F.col("items")[0]
     ranked = scored.join(items, "name_key").withColumn("_n", F.row_number().over(
         Window.partitionBy("query").orderBy(
@@ -163,8 +204,6 @@ def search(catalogue: DataFrame, phrases: DataFrame, k: int = 20, category: str
     final = Window.partitionBy("query").orderBy(F.desc("score"), F.desc("popularity_score"), F.asc("product_id"))
     found = best.withColumn("rank", F.row_number().over(final)).filter(F.col("rank") <= k)
     share = F.least(F.lit(1.0), F.col("score") / (F.col("n") * 2.0))
-    from aislerank.functions.numbers import rounded
-
     return found.select(
         "query", "product_id", F.col("rank").cast("bigint").alias("rank"), "score",
         rounded(share * 0.7 + F.col("popularity_score") * 0.3, 9).alias("confidence_score"),
