@@ -144,7 +144,7 @@ def by_name(catalogue: DataFrame, phrases: DataFrame, edges: DataFrame | None, k
     hits = cut(search(catalogue, phrases, 1).select("query", F.col("product_id").alias("source")))
     wanted = hits.select(F.col("source").alias("query_id")).distinct()
     recs = hybrid(catalogue, strategies.pick_queries(catalogue, wanted), edges, k, weights)
-    found = hits.join(recs.withColumnRenamed("query_id", "source"), "source")
+    found = salted_join(hits, recs.select(F.col("query_id").alias("source"), "product_id", "rank", "score"), "source")
     missed = phrases.select("query").distinct().join(hits, "query", "left_anti").withColumnRenamed("query", "query_id")
     best = strategies.overall(catalogue, missed, k, "popularity_score").select(
         F.col("query_id").alias("query"), F.lit(None).cast("string").alias("source"), "product_id",

@@ -213,7 +213,8 @@ def search(catalogue: DataFrame, phrases: DataFrame, k: int = 20, category: str
 def suggestions(found: DataFrame, catalogue: DataFrame, limit: int = 6) -> DataFrame:
     """Search results re-ordered by kind of match: name prefix, brand, word start, category,
     substring, none; the search order decides inside a kind."""
-    rows = found.select("query", "product_id", F.col("rank").alias("found_at")).join(
+    rows = salted_join(
+        cut(found.select("query", "product_id", F.col("rank").alias("found_at"))),
         catalogue.select("product_id", "product_name", "brand", "category"), "product_id")
     q = F.lower("query")
     name, brand, shelf = (F.lower(F.coalesce(F.col(c), F.lit(""))) for c in ("product_name", "brand", "category"))
