@@ -14,9 +14,10 @@ def co_purchases(lines: DataFrame, k: int = 10, min_together: int = 2, large: in
     """(query_id, product_id, together, rank): products most often in the same basket, exact.
 
     Baskets of up to ``large`` products are paired directly.  In a larger basket all pairs would be
-    too many, so its pairs are never formed: a product's *signature* is the set of large baskets it
-    is in, two products share as many large baskets as their signatures have in common, and all
-    products of one signature tie, so that the first k + 1 of them by id stand for all.
+    too many, so its pairs are never formed: the products that are in the same large baskets are one
+    *class*, two products share as many large baskets as their classes, and all products of one class
+    tie, so that the first k + 1 of them by id stand for all.  What pairs of products share in small and in
+    large baskets is counted apart and added.
     """
     lines = cut(lines.select("basket", "product_id").distinct())
     sizes = lines.groupBy("basket").agg(F.count("*").alias("n"))
@@ -24,33 +25,49 @@ def co_purchases(lines: DataFrame, k: int = 10, min_together: int = 2, large: in
     pairs = (
         small.withColumnRenamed("product_id", "query_id").join(small, "basket")
         .filter("query_id <> product_id").groupBy("query_id", "product_id").agg(F.count("*").alias("apart")))
-    big = lines.join(sizes.filter(F.col("n") > large).select("basket"), "basket")
-    if not big.take(1):
-        scored = pairs.withColumnRenamed("apart", "together")
-        return best_per(scored.filter(F.col("together") >= min_together), "query_id", "together", "product_id", k)
-
-    signed = big.groupBy("product_id").agg(F.sha2(F.to_json(F.struct(
-        F.sort_array(F.collect_list("basket")).alias("b"))), 256).alias("sig"))
-    signed = cut(signed)
-    first = signed.withColumn("i", F.row_number().over(Window.partitionBy("sig").orderBy("product_id"))).filter(
-        F.col("i") <= k + 1)
-    classes = first.filter("i = 1").join(big, "product_id").select("sig", "basket")
-    shared = classes.withColumnRenamed("sig", "q_sig").join(classes, "basket").groupBy("q_sig", "sig").agg(
-        F.count("*").alias("in_large"))
-    # Pairs seen in small baskets gain what their signatures share.
+    big = cut(lines.join(sizes.filter(F.col("n") > large).select("basket"), "basket"))
+
+    # A class is named by two hashes of its baskets, so no product gathers its baskets in one list.
+    mark = lambda seed: F.xxhash64(F.lit(seed), "basket")
+    signed = cut(big.groupBy("product_id").agg(F.concat_ws(
+        "-", F.hex(F.bit_xor(mark(1))), F.sum(mark(2).cast("decimal(38,0)")), F.count("*")).alias("sig")))
+    first = cut(signed.withColumn("i", F.row_number().over(Window.partitionBy("sig").orderBy("product_id"))).filter(
+        F.col("i") <= k + 1))
+    classes = cut(first.filter("i = 1").join(big, "product_id").select("sig", "basket"))
+
     q = signed.select(F.col("product_id").alias("query_id"), F.col("sig").alias("q_sig"))
-    seen = (pairs.join(q, "query_id", "left").join(signed, "product_id", "left")
-            .join(shared, ["q_sig", "sig"], "left")
-            .select("query_id", "product_id", (F.col("apart") + F.coalesce("in_large", F.lit(0))).alias("together")))
-    # Per signature the best ids over all signatures it overlaps; one list serves all its products.
+    seen = cut(pairs.join(q, "query_id", "left").join(signed, "product_id", "left"))
+    meeting = classes_that_meet(classes, min_together)
+    wanted = meeting.union(seen.filter("q_sig IS NOT NULL AND sig IS NOT NULL").select("q_sig", "sig")).distinct()
+    shared = cut(wanted.join(classes.withColumnRenamed("sig", "q_sig"), "q_sig").join(classes, ["sig", "basket"]).groupBy(
+        "q_sig", "sig").agg(F.count("*").alias("in_large")))
+    # Pairs seen in small baskets gain what their classes share.
+    both = seen.join(shared, ["q_sig", "sig"], "left").select(
+        "query_id", "product_id", (F.col("apart") + F.coalesce("in_large", F.lit(0))).alias("together"))
+    # Per class the best ids over all classes it overlaps; one list serves all its products.
     lists = best_per(shared.filter(F.col("in_large") >= min_together).join(first.select("sig", "product_id"), "sig"),
                      "q_sig", "in_large", "product_id", k + 1)
     unseen = q.join(lists.select("q_sig", "product_id", F.col("in_large").alias("together")), "q_sig").filter(
         "query_id <> product_id").select("query_id", "product_id", "together")
-    merged = seen.unionByName(unseen).groupBy("query_id", "product_id").agg(F.max("together").alias("together"))
+    merged = both.unionByName(unseen).groupBy("query_id", "product_id").agg(F.max("together").alias("together"))
     return best_per(merged.filter(F.col("together") >= min_together), "query_id", "together", "product_id", k)
 
 
+def classes_that_meet(classes: DataFrame, least: int) -> DataFrame:
+    """(q_sig, sig): pairs of classes (sig, basket) that may share ``least`` baskets or more.
+
+    Baskets have one order, the narrow ones first.  Of the baskets that two classes share, the first one has
+    ``least`` - 1 others after it, so each class is looked up by all its baskets except the last
+    ``least`` - 1: the widest basket of all, which every product may be in, brings no pairs together.
+    """
+    width = classes.groupBy("basket").agg(F.count("*").alias("width"))
+    last = Window.partitionBy("sig").orderBy(F.desc("width"), F.desc("basket"))
+    left_out = classes.join(width, "basket").withColumn("_r", F.row_number().over(last)).filter(
+        F.col("_r") < least).select("sig", "basket")
+    kept = classes.join(left_out, ["sig", "basket"], "left_anti")
+    return kept.withColumnRenamed("sig", "q_sig").join(kept, "basket").select("q_sig", "sig").distinct()
+
+
 def windowed_trend(events: DataFrame, k: int = 10, hours: int = 24, decay: float = 0.95, min_count: int = 5) -> DataFrame:
     """Per window the products with the largest sum of decay^(hours before the window's end)."""
     span = F.window("ts", f"{hours} hours")

@@ -221,6 +221,27 @@ def test_co_purchases_with_large_baskets(spark, seed, large):
     assert got == brute_together({b: {f"p{i:02d}" for i in items} for b, items in baskets.items()}, 4)
 
 
+def test_one_basket_of_very_many_products(spark):
+    """100,000 products in one basket and in 300 others: only what those share brings products together."""
+    n = 100_000
+    wide = spark.range(n).select(F.lit(-1).alias("basket"), F.format_string("p%06d", "id").alias("product_id"))
+    small = spark.range(300).select(
+        F.col("id").cast("int").alias("basket"), F.explode(F.sequence(F.lit(0), F.lit(5))).alias("j")).select(
+            "basket", F.format_string("p%06d", (F.col("basket") * 331 + F.col("j") * 7) % n).alias("product_id"))
+    lines = wide.union(small)
+    baskets = {}
+    for r in small.collect():
+        baskets.setdefault(r["basket"], set()).add(r["product_id"])
+    want = {}
+    for items in baskets.values():
+        for a, b in itertools.permutations(items, 2):
+            want[a, b] = want.get((a, b), 1) + 1
+    got = {(r["query_id"], r["product_id"]): r["together"] for r in merchandising.co_purchases(lines, 50, large=4).collect()}
+    assert got == want
+    classes = spark.createDataFrame([(f"s{i}", b) for i in range(2000) for b in (-1, i // 2)], "sig string, basket int")
+    assert merchandising.classes_that_meet(classes, 2).count() == 2 * 2000
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
