@@ -19,7 +19,9 @@ DEFAULT = (
     "X6_all_pairs_top", "X7_average_similarity", "P6_candidate_pool", "P9_personal_reason", "P10_modes",
     "Q6_category_tree", "Q8_keyword_search", "Q12_sort_modes", "I1_repeat_views", "I6_history", "M10_ndcg",
     "M12_session_checks", "D2_psi", "D6_latency_summary", "L1_co_purchases", "L4_conversions", "L8_corrections",
-    "I1_stream_repeat_views", "L2_stream_windowed_trend",
+    "I1_stream_repeat_views", "L2_stream_windowed_trend", "L4_stream_conversions", "S2_ingestion_profile",
+    "S6_recommendation_log", "S7_training_run", "S8_pipeline_summary", "S8_drift_report", "X6_approximate_top",
+    "D5_stored_baseline", "D6_sketched_latency", "E16_explanation", "E22_by_name", "Q9_suggestions",
 )
 KEYS = sorted(registered.ORACLES) if os.environ.get("AISLERANK_ALL") else DEFAULT
 

@@ -307,3 +307,26 @@ def test_blocks_share_terms(spark):
     cluster = {r["block"]: {int(d[1:]) % 4 for d in r["ids"]} for r in own.groupBy("block").agg(F.collect_list("id").alias("ids")).collect()}
     apart = bounds.where("bound > 0.01").collect()
     assert apart and all(cluster[r["a"]] & cluster[r["b"]] for r in apart) and bounds.count() > len(apart)
+
+
+@pytest.mark.parametrize("size", [8, 1000])
+def test_approximate_neighbours_recall(spark, size):
+    """Variants of some texts: at least 0.9 of the pairs at 0.75 or above, with exact scores, the same in each run."""
+    rng = random.Random(11)
+    rows = []
+    for group in range(25):
+        base = {rng.randrange(400): rng.uniform(0.5, 3) for _ in range(20)}
+        for i in range(8):
+            own = {t: w for t, w in base.items() if rng.random() > 0.12} | {rng.randrange(400): rng.uniform(0.5, 2) for _ in range(2)}
+            norm = sum(x * x for x in own.values()) ** 0.5
+            rows.append((f"g{group:02d}v{i}", [(t, x / norm) for t, x in sorted(own.items())]))
+    rows += [("copy", rows[0][1]), ("empty", [])]
+    vecs = spark.createDataFrame(rows, "id string, vec array<struct<t: int, w: double>>")
+    got = {(r["src"], r["dst"]): r["score"] for r in vectors.approximate_neighbours(vecs, 10, size=size).collect()}
+    exact = {(r["src"], r["dst"]): r["score"] for r in vectors.neighbours(vecs, 10).collect()}
+    near = {p for p, s in exact.items() if s >= 0.75}
+    assert len(near) > 500 and len(near & got.keys()) >= 0.9 * len(near)
+    assert got["g00v0", "copy"] == 1.0 and all(abs(got[p] - exact[p]) < 1e-9 for p in got.keys() & exact.keys())
+    again = {(r["src"], r["dst"]): r["score"] for r in vectors.approximate_neighbours(vecs, 10, size=size).collect()}
+    assert again == got
+    assert vectors.approximate_neighbours(vecs.limit(0), 10).count() == 0
