@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
 
 from aislerank.functions.numbers import rounded
+from aislerank.session import cut
 
 # Watched columns, bins and grade limits.
 NUMERIC = ("discounted_price", "actual_price", "rating", "rating_count")
@@ -33,15 +34,15 @@ def order_statistics(rows: DataFrame, key: str, ranks: Column, blocks: int = 64)
     """
     counted = rows.groupBy(key, "value").agg(F.count("*").alias("c"))
     grid = [i / blocks for i in range(1, blocks)]
-    # One row per key.
-    shape = rows.groupBy(key).agg(F.percentile_approx("value", grid, 1000).alias("edges"), F.count("*").alias("n"))
-    cut = counted.join(shape.select(key, "edges"), key).withColumn(
+    # One row per key.  Written, because a sketch that is made twice may cut its blocks in two ways.
+    shape = cut(rows.groupBy(key).agg(F.percentile_approx("value", grid, 1000).alias("edges"), F.count("*").alias("n")))
+    blocked = counted.join(shape.select(key, "edges"), key).withColumn(
         "block", F.size(F.filter("edges", lambda e: e < F.col("value")))).drop("edges")
-    sizes = cut.groupBy(key, "block").agg(F.sum("c").alias("b"))
+    sizes = blocked.groupBy(key, "block").agg(F.sum("c").alias("b"))
     lower = Window.partitionBy(key).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(key, "block", F.coalesce(F.sum("b").over(lower), F.lit(0)).alias("o"))
     inner = Window.partitionBy(key, "block").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    placed = cut.withColumn("s", F.sum("c").over(inner)).join(offsets, [key, "block"]).select(
+    placed = blocked.withColumn("s", F.sum("c").over(inner)).join(offsets, [key, "block"]).select(
         key, "value", (F.col("s") + F.col("o") - F.col("c")).alias("first"), (F.col("s") + F.col("o")).alias("after"))
     wanted = shape.select(key, "n", ranks.alias("ranks"))
     return placed.join(wanted, key).select(
