@@ -227,7 +227,7 @@ def _of_members(near: DataFrame, members: DataFrame, k: int) -> DataFrame:
 
 
 def plane_keys(vecs: DataFrame, bits: int, bands: int, seed: int) -> DataFrame:
-    """(id, t, w, band, key) once for each band: on which sides of ``bits`` random hyperplanes a vector lies.
+    """(id, t, w, keys): for each band, on which sides of its ``bits`` random hyperplanes a vector lies.
 
     The planes follow from the seed and the largest term, so every task makes the same ones; they are as
     large as the vocabulary times ``bits * bands``.
@@ -249,35 +249,37 @@ def plane_keys(vecs: DataFrame, bits: int, bands: int, seed: int) -> DataFrame:
 
     flat = vecs.where(F.size("vec") > 0).select(
         F.col("id").cast("string").alias("id"), F.col("vec.t").cast("array<long>").alias("t"), F.col("vec.w").alias("w"))
-    keyed = flat.mapInArrow(sides, "id string, t array<long>, w array<double>, keys array<long>")
-    return keyed.select("id", "t", "w", F.posexplode("keys").alias("band", "key"))
+    return flat.mapInArrow(sides, "id string, t array<long>, w array<double>, keys array<long>")
 
 
-def approximate_neighbours(vecs: DataFrame, k: int, bits: int = 10, bands: int = 32, seed: int = 7,
+def approximate_neighbours(vecs: DataFrame, k: int, bits: int = 8, bands: int = 16, seed: int = 7,
                            size: int = BLOCK) -> DataFrame:
     """(src, dst, score, rank): ``neighbours`` among the vectors that share a band of random hyperplanes.
 
     Scores are exact, partners may be missing: two vectors at an angle a share a band of b bits with probability
-    (1 - a / pi)^b.  With the given bits and bands nine of ten partners at a cosine of 0.75 are found,
-    and nearly all above 0.85.  Never chosen by itself; for lists of far neighbours use ``neighbours``.
-    A key that very many vectors share is cut into parts of about ``size``, and all pairs of its parts meet.
+    (1 - a / pi)^b.  With the given bits and bands nine of ten partners at a cosine of 0.8 are found,
+    and nearly all above 0.9.  Never chosen by itself; for lists of far neighbours use ``neighbours``.
+    Each vector travels once for each band.  A key that very many vectors share is cut into parts of
+    about ``size``, every two of which meet.
     """
     ship_package(vecs.sparkSession)
     distinct, members = collapse(vecs)
     distinct, members = cut(distinct), cut(members)
     keyed = cut(plane_keys(distinct, bits, bands, seed))
-    parts = keyed.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1").select(
+    by_band = F.posexplode("keys").alias("band", "key")
+    parts = keyed.select(by_band).groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1").select(
         "band", "key", F.ceil(F.col("n") / size).alias("parts"))
-    dealt = keyed.join(parts, ["band", "key"]).withColumn("own", F.pmod(F.xxhash64("id"), "parts"))
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
-    ask = dealt.select("band", "key", F.col("own").alias("p"), every.alias("q"), "id", "t", "w", F.lit(0.0).alias("low"),
-                       F.lit(k + 1).cast("long").alias("k"))
-    # Columns of their own, so that the two sides can be told apart.
-    held = dealt.select(
-        *[F.col(c).alias(c) for c in ("band", "key")], every.alias("p"), F.col("own").alias("q"),
-        *[F.col(c).alias(c) for c in ("id", "t", "w")])
-    by = ("band", "key", "p", "q")
-    met = ask.groupBy(*by).cogroup(held.groupBy(*by)).applyInArrow(index.best_of_piece, index.SCORED)
+    own, other = F.pmod(F.xxhash64("id"), "parts"), F.col("other")
+    dealt = (
+        keyed.select("id", "t", "w", by_band).join(parts, ["band", "key"])
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+        .select("band", "key", F.least(own, other).alias("p"), F.greatest(own, other).alias("q"), "id", "t", "w",
+                F.lit(0.0).alias("low"), F.lit(k + 1).cast("long").alias("k")))
+
+    def meet(rows: pa.Table) -> pa.Table:
+        return index.best_of_piece(rows, rows)
+
+    met = dealt.groupBy("band", "key", "p", "q").applyInArrow(meet, index.SCORED)
     itself = distinct.where(F.size("vec") > 0).select(
         F.col("id").cast("string").alias("src"), F.col("id").cast("string").alias("dst"), F.lit(1.0).alias("score"))
     near = met.filter("src <> dst").unionByName(itself).groupBy("src", "dst").agg(F.max("score").alias("score"))

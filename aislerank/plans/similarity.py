@@ -101,11 +101,11 @@ def x6(spark, sf):
     return vectors.neighbours(vecs, 20).select("src", "dst", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
-@query("X6_approximate_top", S.with_(PAIRS, near_cte(20)) + "SELECT src, dst, score, rank FROM near WHERE score >= 0.9")
+@query("X6_approximate_top", S.with_(PAIRS, near_cte(20)) + "SELECT src, dst, score, rank FROM near WHERE score >= 0.97")
 def x6_approximate(spark, sf):
     """The part of the lists that random hyperplanes find as good as surely."""
     _, vecs = fitted(spark, sf)
-    return vectors.approximate_neighbours(vecs, 20).filter("score >= 0.9").select(
+    return vectors.approximate_neighbours(vecs, 20, bits=6, bands=12).filter("score >= 0.97").select(
         "src", "dst", "score", F.col("rank").cast("bigint").alias("rank"))
 
 

