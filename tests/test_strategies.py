@@ -330,3 +330,44 @@ def test_approximate_neighbours_recall(spark, size):
     again = {(r["src"], r["dst"]): r["score"] for r in vectors.approximate_neighbours(vecs, 10, size=size).collect()}
     assert again == got
     assert vectors.approximate_neighbours(vecs.limit(0), 10).count() == 0
+
+
+class _Map:
+    """Stands for a DataFrame and hands out the function that would run on its batches."""
+
+    def mapInArrow(self, function, schema):
+        return function
+
+
+def test_batches_of_placed_rows_are_bounded(monkeypatch):
+    """A row goes to every piece of its band, but never are more than about SENT entries held for it at once."""
+    from types import SimpleNamespace
+
+    monkeypatch.setattr(nearest, "SENT", 500)
+    rows, width = 120, 10
+    bands = nearest.Bands({t: rows for t in range(width)}, rows * width, 3, 4)
+    bands.cut({(0, 7): (rows, 1.0)}, {0: rows})
+    lists = lambda kind, x: pa.array([x] * rows, pa.list_(kind))
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([f"d{i:03d}" for i in range(rows)]), lists(pa.int32(), list(range(width))), lists(pa.float64(), [0.316] * width),
+         pa.array([0.0] * rows), pa.array([5] * rows, pa.int64())], names=["id", "t", "w", "low", "k"])
+    bands.first = {(0, level): bands.first[0, 7] for level in range(nearest.LEVELS)}
+    shared = SimpleNamespace(value=bands)
+    for rows_of, times in ((nearest.source_rows(_Map(), shared, None), rows // 3), (nearest.candidate_rows(_Map(), shared, 0.0, None), rows // 4)):
+        placed = list(rows_of(iter([batch])))
+        assert max(len(b.column("t").flatten()) for b in placed) <= 500
+        assert sum(b.num_rows for b in placed) == rows * times
+        every = pa.Table.from_batches(placed)
+        assert len({(r["id"], r["piece"], r["part"]) for r in every.to_pylist()}) == rows * times
+        assert all(r["t"] == list(range(width)) for r in every.to_pylist())
+
+
+def test_tiles_of_a_piece_give_the_lists_of_the_whole(monkeypatch):
+    rng = random.Random(4)
+    rows = sparse_rows(rng, 60, 12) + [("zz", [(99, 1.0)])]
+    flat = {"id": [a for a, _ in rows], "t": [[t for t, _ in v] for _, v in rows], "w": [[w for _, w in v] for _, v in rows]}
+    left = pa.table(flat | {"low": [0.0] * 61, "k": [4] * 61})
+    monkeypatch.setattr(nearest, "TILE", 7)
+    got = nearest.best_of_piece(left, pa.table(flat)).to_pydict()
+    want = nearest_by_hand(rows, 4)
+    assert sorted(zip(got["src"], got["dst"], got["score"])) == sorted((a, b, s) for a in want for _, b, s in want[a])
