@@ -220,3 +220,25 @@ def test_pool_of_each_session_has_its_own_reach(spark):
     for r in personal.reached(prof, table, hist, 6).collect():
         fetched[r["src"]] = fetched.get(r["src"], 0) + len(r["ids"])
     assert fetched["short"] < 2 * (6 + 2) and fetched["long"] >= 86
+
+
+def test_profile_of_a_long_session_in_slices(spark, monkeypatch):
+    """Vectors travel whole and in slices; the sums are those of all (weight, term) rows."""
+    rng = random.Random(2)
+    vecs = {f"p{i}": {t: round(rng.uniform(0.1, 1), 6) for t in rng.sample(range(20), 4)} for i in range(30)}
+    hist = [("long", f"p{i}", "view", i) for i in range(25)] + [("short", f"p{i}", "cart", i - 20) for i in range(20, 23)]
+    frame = spark.createDataFrame(hist, "session_id string, product_id string, event_type string, position long")
+    rows = spark.createDataFrame([(p, sorted(v.items())) for p, v in vecs.items()], "id string, vec array<struct<t:int,w:double>>")
+    monkeypatch.setattr(personal, "SLICE", 4)
+    profile = personal.profiles(frame, rows)
+    plan = profile._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(session_id" in plan and ", t#" not in "".join(
+        line.split("hashpartitioning")[1].split(")")[0] for line in plan.splitlines() if "hashpartitioning" in line)
+    for r in profile.collect():
+        want = {}
+        for s, p, kind, at in hist:
+            if s == r["id"]:
+                for t, w in vecs[p].items():
+                    want[t] = want.get(t, 0.0) + {"view": 1.0, "cart": 3.0}[kind] * 0.85**at * w
+        norm = sum(x * x for x in want.values()) ** 0.5
+        assert [(t, round(w, 9)) for t, w in r["vec"]] == [(t, round(w / norm, 9)) for t, w in sorted(want.items())]

@@ -371,3 +371,42 @@ def test_tiles_of_a_piece_give_the_lists_of_the_whole(monkeypatch):
     got = nearest.best_of_piece(left, pa.table(flat)).to_pydict()
     want = nearest_by_hand(rows, 4)
     assert sorted(zip(got["src"], got["dst"], got["score"])) == sorted((a, b, s) for a in want for _, b, s in want[a])
+
+
+def test_blocks_in_parts_are_counted_as_a_whole():
+    import pandas as pd
+
+    rng = random.Random(9)
+    rows = sparse_rows(rng, 40, 12)
+    side = pd.DataFrame({"id": [a for a, _ in rows], "t": [np.array([t for t, _ in v]) for _, v in rows],
+                         "w": [np.array([w for _, w in v]) for _, v in rows], "copies": [1 + i % 3 for i in range(40)]})
+    left = side.rename(columns={"id": "src"})[["src", "t", "w"]]
+
+    def tally(size):
+        found = vectors._tally(5, 0.01, size)(left, side)
+        bins = found.groupby("src")["bins"].apply(lambda x: np.stack(x.to_list()).sum(axis=0).tolist())
+        sums = found.groupby("src").agg({"partners": "sum", "total": "sum", "best": "max"}).round(9)
+        return len(found), sums.to_dict(), bins.to_dict()
+
+    (whole, *want), (parts, *got) = tally(40), tally(7)
+    assert whole == 40 and parts == 6 * 40 and got == want
+
+
+def test_stored_and_cut_leave_no_shuffle_files(spark):
+    import glob
+    import time
+
+    from aislerank import session
+
+    folders = list(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    held = lambda: {f for d in folders for f in glob.glob(f"{d}/**/shuffle_*.data", recursive=True)}
+    rows = spark.range(1000).withColumn("k", F.xxhash64("id")).repartition(3, "k")
+    for keep in (session.stored, session.cut):
+        before, kept = held(), keep(rows)
+        for _ in range(50):  # files are removed in the background
+            if not held() - before:
+                break
+            time.sleep(0.2)
+        assert not held() - before, keep
+        assert kept.count() == 1000 and kept.schema.simpleString() == rows.schema.simpleString()
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
