@@ -21,7 +21,7 @@ empty table gives no rows. Texts are hashed whole where they are read; only dige
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from hashlib import sha256
 
@@ -37,6 +37,8 @@ FANOUT = 16
 LEVELS = 3
 TAMPER = 5
 SIZE = 32  # bytes of a digest
+#: Leaves whose proofs a worker holds at once.
+HELD = 512
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -288,11 +290,13 @@ def build(rows: DataFrame) -> Log:
 PROOFS = "tree string, at long, id long, tampered binary, leaf binary, subroot binary, root binary, above binary"
 
 
-def proofs(log: Log, above: DataFrame) -> DataFrame:
+def proofs(log: Log, above: DataFrame, use: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] | None = None,
+           schema: str = PROOFS) -> DataFrame:
     """One row for each leaf: tree, at, id, leaf, tampered, subroot, root and above, its siblings up to the root.
 
     `above`: tree, root and the siblings of the tree's subroot. Rounds are gone through from the top: the proof of a
-    segment's own top is joined to it, and its leaves get their siblings inside it and those.
+    segment's own top is joined to it, and its leaves get their siblings inside it and those. `use` turns batches of
+    these rows into batches of `schema` where they are made, so that proofs, far larger than leaves, need not travel.
     """
     size = FANOUT**LEVELS
     own = above.join(log.trees.select("tree", "subroot", "height"), "tree")
@@ -307,27 +311,35 @@ def proofs(log: Log, above: DataFrame) -> DataFrame:
 
         def extract(batches: Iterator[pa.RecordBatch], base: int = base) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for row in batch.to_pylist():
+                for one in range(batch.num_rows):
+                    row = batch.slice(one, 1).to_pylist()[0]
                     part = Segment(row["n_nodes"], min(LEVELS, row["height"] - base), row["digests"])
-                    n = part.leaves
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array([row["tree"]] * n), pa.array(row["block"] * size + np.arange(n)),
-                        pa.array(row["ids"], pa.int64()), pa.array(row["tampered"], pa.binary()),
-                        pa.array([part.node(0, i) for i in range(n)], pa.binary()),
-                        pa.array([row["subroot"]] * n, pa.binary()), pa.array([row["root"]] * n, pa.binary()),
-                        pa.array([packed(part.proof(i)) + row["above"] for i in range(n)], pa.binary())],
-                        names=["tree", "at", "id", "tampered", "leaf", "subroot", "root", "above"])
+                    for first in range(0, part.leaves, HELD):
+                        held = range(first, min(first + HELD, part.leaves))
+                        n = len(held)
+                        yield pa.RecordBatch.from_arrays([
+                            pa.array([row["tree"]] * n, pa.string()), pa.array(row["block"] * size + np.arange(first, first + n)),
+                            pa.array(row["ids"][first : first + n], pa.int64()),
+                            pa.array(row["tampered"][first : first + n], pa.binary()),
+                            pa.array([part.node(0, i) for i in held], pa.binary()),
+                            pa.array([row["subroot"]] * n, pa.binary()), pa.array([row["root"]] * n, pa.binary()),
+                            pa.array([packed(part.proof(i)) + row["above"] for i in held], pa.binary())],
+                            names=["tree", "at", "id", "tampered", "leaf", "subroot", "root", "above"])
 
         met = log.rounds[number].join(tops, ["tree", "block"]).select(
             "tree", "block", "n_nodes", "digests", "ids", "tampered", "subroot", "root", "above", "height")
-        handed = met.mapInArrow(extract, PROOFS)
         if number:
-            handed = store(handed, "proofs")
+            handed = store(met.mapInArrow(extract, PROOFS), "proofs")
+        elif use is None:
+            handed = met.mapInArrow(extract, PROOFS)
+        else:
+            handed = met.mapInArrow(lambda batches: use(extract(batches)), schema)
     return handed
 
 
-def manifest(docs: DataFrame, tamper: Column | None = None) -> DataFrame:
-    """doc_id, leaf, tampered, subroot, root (hex) and siblings (packed) of every row of docs."""
+def manifest(docs: DataFrame, tamper: Column | None = None,
+             use: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] | None = None, schema: str = PROOFS) -> DataFrame:
+    """The rows of `proofs` for every row of docs, or what `use` makes of them."""
     by_source = build(numbered(leaves(docs, tamper)))
     subroots = by_source.trees.select(
         F.lit("").alias("tree"), F.col("tree").alias("name"), F.col("subroot").alias("leaf"))
@@ -339,7 +351,7 @@ def manifest(docs: DataFrame, tamper: Column | None = None) -> DataFrame:
     names = ranked.select("name", F.col("at").alias("id"))
     above = (proofs(last, whole).select("id", "root", "above").join(names, "id")
              .select(F.col("name").alias("tree"), "root", "above"))
-    return proofs(by_source, store(above, "subroot-proofs"))
+    return proofs(by_source, store(above, "subroot-proofs"), use, schema)
 
 
 def _ranked_names(subroots: DataFrame) -> DataFrame:
@@ -361,16 +373,15 @@ def verified(docs: DataFrame, tamper: Column) -> DataFrame:
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             proof, root = [], []
-            for leaf, tampered, above in zip(*(batch.column(i).to_pylist() for i in (1, 2, 5))):
+            for leaf, tampered, above in zip(*(batch.column(c).to_pylist() for c in ("leaf", "tampered", "above"))):
                 steps = unpacked(above)
                 proof.append(sha256(b"".join(d for _, others in steps for d in others).hex().encode()).hexdigest())
                 root.append(folded(leaf if tampered is None else tampered, steps).hex())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(3), batch.column(4), pa.array(proof, pa.string()),
+                [*(batch.column(c) for c in ("id", "leaf", "subroot", "root")), pa.array(proof, pa.string()),
                  pa.array(root, pa.string())], names=["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root"])
 
-    rows = manifest(docs, tamper).select(F.col("id").alias("doc_id"), "leaf", "tampered", "subroot", "root", "above")
-    done = rows.mapInArrow(fold, "doc_id long, leaf binary, subroot binary, root binary, proof_sha256 string, folded_root string")
+    done = manifest(docs, tamper, fold, "doc_id long, leaf binary, subroot binary, root binary, proof_sha256 string, folded_root string")
     hexed = [F.lower(F.hex(c)).alias(c) for c in ("leaf", "subroot", "root")]
     return done.select("doc_id", *hexed, "proof_sha256", "folded_root",
                        (F.col("folded_root") == F.lower(F.hex("root"))).alias("verified"))

@@ -135,3 +135,11 @@ def test_altered_sibling_is_noticed(docs_of):
     assert merkle.folded(bytes(row.leaf), steps) == bytes(row.root)
     steps[0][1][0] = b"\0" * 32
     assert merkle.folded(bytes(row.leaf), steps) != bytes(row.root)
+
+
+def test_proofs_are_folded_where_they_are_made(docs_of):
+    docs = docs_of([(n, f"text {n}", "en", "a") for n in range(merkle.HELD + 40)])
+    done = merkle.verified(docs, F.lit(False))
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    assert "above" not in plan.split("MapInArrow")[0] and plan.split("Join")[0].count("MapInArrow") == 1
+    assert done.where("verified").count() == merkle.HELD + 40
