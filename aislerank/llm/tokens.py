@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
+from struct import Struct
 
 #: The white space of the tokenizer's own splitting pattern, and letters up to U+024F.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -30,6 +32,10 @@ _PLAIN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 _ALPHABET = {b: 0x100 + n for n, b in enumerate(sorted({*range(256)} - _PLAIN))}
 
 
+#: ASCII marks that are a chunk of their own behind letters and before white space.
+_ENDS = frozenset(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum() and c != "'")
+
+
 class _Words(dict):
     """A word behind a single space to its ids; None when its white space does not allow to cut in front of it."""
 
@@ -38,14 +44,24 @@ class _Words(dict):
         self.chunks, self.keep = chunks, keep
 
     def __missing__(self, word: str) -> bytes | None:
-        if not word or word[0].isspace() or word[-1].isspace():
+        if word.isalpha() and word.isascii():  # one chunk
+            coded = self.chunks[" " + word]
+        elif word[-1:] in _ENDS and word[:-1].isalpha() and word.isascii():  # two
+            coded = self.chunks[" " + word[:-1]] + self.chunks[word[-1]]
+        elif not word or word[0].isspace() or word[-1].isspace():
             return None
-        coded = b"".join(map(self.chunks.__getitem__, _CHUNKS.findall(" " + word)))
+        else:
+            coded = b"".join(map(self.chunks.__getitem__, _CHUNKS.findall(" " + word)))
         if len(self) < self.keep:
             self[word] = coded
         return coded
 
 
+@lru_cache(256)
+def _packer(n: int) -> Struct:
+    return Struct(f"<{n}I")
+
+
 class Encoder(dict):
     """Chunk of text to its ids as little-endian unsigned 32-bit bytes.
 
@@ -65,12 +81,16 @@ class Encoder(dict):
         self.words = _Words(self, keep // 2)
 
     def __missing__(self, chunk: str) -> bytes:
-        if _ONE_PIECE.fullmatch(chunk) and "'" not in chunk:
+        letters = chunk[1:] if chunk[0] == " " else chunk
+        if letters.isalpha() and letters.isascii():
+            piece = "\u0120" + letters if letters is not chunk else chunk
+            found = [token.id for token in self.model.tokenize(piece)]
+        elif _ONE_PIECE.fullmatch(chunk) and "'" not in chunk:
             piece = chunk.encode().decode("latin-1").translate(_ALPHABET)
             found = [token.id for token in self.model.tokenize(piece)]
         else:
             found = self.tokenizer.encode(chunk, add_special_tokens=False).ids
-        coded = b"".join([i.to_bytes(4, "little") for i in found])
+        coded = _packer(len(found)).pack(*found)
         if len(self) < self.keep:
             self[chunk] = coded
         return coded

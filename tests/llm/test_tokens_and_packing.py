@@ -104,3 +104,23 @@ def test_pack_documents(docs_of, spark):
     joined = packing.sequences(packing.packed(docs), ids).collect()
     assert sum(len(r.ids) for r in joined) == sum(r.length for r in rows) and all(len(r.ids) <= 1024 for r in joined)
     assert packing.packed(docs_of([])).count() == 0
+
+
+def test_plain_words_are_coded_without_the_chunk_pattern(monkeypatch):
+    asked = []
+
+    class Counted:
+        def __init__(self, pattern):
+            self.pattern = pattern
+
+        def findall(self, text):
+            asked.append(text)
+            return self.pattern.findall(text)
+
+    coder = tokens.Encoder(tokens.vocabulary_path())
+    monkeypatch.setattr(tokens, "_CHUNKS", Counted(tokens._CHUNKS))
+    text = "One plain word, another. It's na\u00efve' a2, (b) x\u0301 c- d\u00df. `"
+    got = coder.ids(text)
+    assert sorted(asked) == sorted(["One", " It's", " na\u00efve'", " a2,", " (b)", " x\u0301", " d\u00df.", " `"])
+    want = coder.tokenizer.encode(text, add_special_tokens=False).ids
+    assert got == b"".join(i.to_bytes(4, "little") for i in want)
