@@ -410,3 +410,29 @@ def test_stored_and_cut_leave_no_shuffle_files(spark):
         assert not held() - before, keep
         assert kept.count() == 1000 and kept.schema.simpleString() == rows.schema.simpleString()
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_sources_of_a_piece_pass_by_in_bounded_tables(monkeypatch):
+    rng = np.random.default_rng(3)
+
+    def rows(piece, side, n):
+        out = []
+        for i in sorted(f"{j:04d}" for j in range(n)):
+            t = sorted(rng.choice(12, 4, replace=False).tolist())
+            out.append({"piece": piece, "part": 0, "id": i, "t": t, "w": rng.random(4).tolist(), "low": 0.3, "k": 3, "side": side})
+        return out
+
+    schema = pa.schema([("piece", pa.int64()), ("part", pa.int64()), ("id", pa.string()), ("t", pa.list_(pa.int32())),
+                        ("w", pa.list_(pa.float64())), ("low", pa.float64()), ("k", pa.int64()), ("side", pa.int64())])
+    kinds = [rows(0, 0, 30), rows(0, 1, 200), rows(1, 1, 5), rows(2, 0, 9), rows(3, 0, 50), rows(3, 1, 90)]
+    whole = pa.Table.from_pylist([r for kind in kinds for r in kind], schema)
+    monkeypatch.setattr(nearest, "TILE", 16)
+    met, best = [], nearest._best_of_sorted
+    monkeypatch.setattr(nearest, "_best_of_sorted", lambda left, right: (met.append(left.num_rows), best(left, right))[1])
+    got = sorted((r["src"], r["dst"], r["score"]) for b in nearest.visits(iter(whole.to_batches(7))) for r in b.to_pylist())
+    assert max(met) < 2 * nearest.TILE + 7 and sum(met) == 290
+    want = []
+    for sources, candidates in ((kinds[1], kinds[0]), (kinds[5], kinds[4])):
+        found = best(pa.Table.from_pylist(sources, schema), pa.Table.from_pylist(candidates, schema))
+        want += [(r["src"], r["dst"], r["score"]) for r in found.to_pylist()]
+    assert got == sorted(want)
