@@ -18,14 +18,17 @@ def co_purchases(lines: DataFrame, k: int = 10, min_together: int = 2, large: in
     *class*, two products share as many large baskets as their classes, and all products of one class
     tie, so that the first k + 1 of them by id stand for all.  What pairs of products share in small and in
     large baskets is counted apart and added.
+
+    A pair is formed and counted once, smaller id first.  One that too few small baskets hold goes no further
+    than its count, unless both products are in large baskets as well.
     """
     lines = cut(lines.select("basket", "product_id").distinct())
     sizes = lines.groupBy("basket").agg(F.count("*").alias("n"))
     small = lines.join(sizes.filter(F.col("n") <= large), "basket", "left_semi")
-    pairs = (
-        small.withColumnRenamed("product_id", "query_id").join(small, "basket")
-        .filter("query_id <> product_id").groupBy("query_id", "product_id").agg(F.count("*").alias("apart")))
     big = cut(lines.join(sizes.filter(F.col("n") > large).select("basket"), "basket"))
+    if big.isEmpty():
+        found = _pairs(small.withColumn("in_big", F.lit(False)), min_together).select(_both_ways("together"))
+        return best_per(found, "query_id", "together", "product_id", k)
 
     # A class is named by two hashes of its baskets, so no product gathers its baskets in one list.
     mark = lambda seed: F.xxhash64(F.lit(seed), "basket")
@@ -36,14 +39,17 @@ def co_purchases(lines: DataFrame, k: int = 10, min_together: int = 2, large: in
     classes = cut(first.filter("i = 1").join(big, "product_id").select("sig", "basket"))
 
     q = signed.select(F.col("product_id").alias("query_id"), F.col("sig").alias("q_sig"))
-    seen = cut(pairs.join(q, "query_id", "left").join(signed, "product_id", "left"))
+    flagged = small.join(signed.select("product_id", F.lit(True).alias("in_big")), "product_id", "left")
+    seen = cut(_pairs(flagged.withColumn("in_big", F.coalesce("in_big", F.lit(False))), min_together))
+    classed = cut(seen.filter("both_big").join(q, "query_id").join(signed, "product_id"))
     meeting = classes_that_meet(classes, min_together)
-    wanted = meeting.union(seen.filter("q_sig IS NOT NULL AND sig IS NOT NULL").select("q_sig", "sig")).distinct()
+    wanted = meeting.union(classed.select("q_sig", "sig")).distinct()
     shared = cut(wanted.join(classes.withColumnRenamed("sig", "q_sig"), "q_sig").join(classes, ["sig", "basket"]).groupBy(
         "q_sig", "sig").agg(F.count("*").alias("in_large")))
     # Pairs seen in small baskets gain what their classes share.
-    both = seen.join(shared, ["q_sig", "sig"], "left").select(
-        "query_id", "product_id", (F.col("apart") + F.coalesce("in_large", F.lit(0))).alias("together"))
+    gained = classed.join(shared, ["q_sig", "sig"], "left").select(
+        "query_id", "product_id", (F.col("together") + F.coalesce("in_large", F.lit(0))).alias("together"))
+    both = seen.filter("NOT both_big").select("query_id", "product_id", "together").unionByName(gained).select(_both_ways("together"))
     # Per class the best ids over all classes it overlaps; one list serves all its products.
     lists = best_per(shared.filter(F.col("in_large") >= min_together).join(first.select("sig", "product_id"), "sig"),
                      "q_sig", "in_large", "product_id", k + 1)
@@ -53,6 +59,23 @@ def co_purchases(lines: DataFrame, k: int = 10, min_together: int = 2, large: in
     return best_per(merged.filter(F.col("together") >= min_together), "query_id", "together", "product_id", k)
 
 
+def _pairs(lines: DataFrame, min_together: int) -> DataFrame:
+    """(query_id, product_id, together, both_big), query_id the smaller: pairs with enough baskets (basket, product_id,
+    in_big) in common, and pairs of ``in_big`` products."""
+    other = lines.select("basket", F.col("product_id").alias("query_id"), F.col("in_big").alias("q_big"))
+    return (
+        other.join(lines, "basket").filter("query_id < product_id").groupBy("query_id", "product_id")
+        .agg(F.count("*").alias("together"), F.first(F.col("q_big") & F.col("in_big")).alias("both_big"))
+        .filter((F.col("together") >= min_together) | F.col("both_big")))
+
+
+def _both_ways(count: str) -> Column:
+    """A pair as two rows, one for either product."""
+    a, b = F.col("query_id"), F.col("product_id")
+    row = lambda x, y: F.struct(x.alias("query_id"), y.alias("product_id"), F.col(count))
+    return F.inline(F.array(row(a, b), row(b, a)))
+
+
 def classes_that_meet(classes: DataFrame, least: int) -> DataFrame:
     """(q_sig, sig): pairs of classes (sig, basket) that may share ``least`` baskets or more.
 

@@ -221,6 +221,27 @@ def test_co_purchases_with_large_baskets(spark, seed, large):
     assert got == brute_together({b: {f"p{i:02d}" for i in items} for b, items in baskets.items()}, 4)
 
 
+@pytest.mark.parametrize("wide", [0, 1])
+def test_pairs_of_too_few_baskets_go_no_further_than_their_count(spark, monkeypatch, wide):
+    """One basket in two holds the same two products; all the other pairs, forty to a line, are met once."""
+    lines = spark.range(100).select(F.col("id").alias("basket"), F.explode(F.sequence(F.lit(0), F.lit(39))).alias("i")).select(
+        "basket", F.when((F.col("i") < 2) & (F.col("basket") % 2 == 0), F.format_string("twin%d", "i"))
+        .otherwise(F.format_string("p%d-%d", "basket", "i")).alias("product_id"))
+    for b in range(wide):  # a large basket of products that no small one has
+        lines = lines.union(spark.range(50).select(F.lit(-1 - b).cast("long"), F.format_string("w%d", "id")))
+    sizes, cut = [], merchandising.cut
+
+    def counted(df):
+        rows = cut(df)
+        sizes.append(rows.count())
+        return rows
+
+    monkeypatch.setattr(merchandising, "cut", counted)
+    got = {(r["query_id"], r["product_id"], r["together"]) for r in merchandising.co_purchases(lines, 4, large=40).collect()}
+    assert got == {("twin0", "twin1", 50), ("twin1", "twin0", 50)}
+    assert max(sizes) <= 100 * 40 + 50 * wide
+
+
 def test_one_basket_of_very_many_products(spark):
     """100,000 products in one basket and in 300 others: only what those share brings products together."""
     n = 100_000
