@@ -364,3 +364,21 @@ def test_search_points(spark):
 def test_row_accounting_balances(spark, sf):
     row = cleaning.row_accounting(raw_catalogue(spark, sf)).first()
     assert row["rows_in"] - row["exact_copies"] - row["product_copies"] - row["rows_dropped"] == row["rows_out"]
+
+
+def test_a_description_is_normalised_in_one_pass(spark):
+    rng = random.Random(3)
+    odd = ["", " ", "nan", " nan ", "[nan]", "None", "'None'", "none", "NAN", "NaN|", "nan.", "No|ne", "(nan) x", "\u0130stanbul\u03a3", "a\u00a0b",
+           "\U0001F600x", "a\tb\n\x0bc\x1cd", None, "|", "{}"]
+    odd += ["".join(rng.choice("aZ9 nN|['].\t\u00e9-") for _ in range(rng.randint(1, 12))) for _ in range(300)]
+    rows = spark.createDataFrame([(t,) for t in odd], "t string")
+    steps = lambda c: F.regexp_replace(F.regexp_replace(F.lower(c), text.LIST_MARKS, " "), r"[^a-z0-9\s]", " ")
+    blank = lambda c: c.isNull() | F.trim(c).isin("", "nan", "None")
+    plain = lambda c: F.when(blank(c), "").otherwise(text.squeeze(steps(c)))
+    t = F.col("t")
+    got = rows.select(
+        "t", text.normalise(t).alias("n"), plain(t).alias("wanted_n"), text.normalised_description(t).alias("d"),
+        plain(text.clean_description(t)).alias("wanted_d")).collect()
+    assert [r for r in got if (r["n"], r["d"]) != (r["wanted_n"], r["wanted_d"])] == []
+    cleaned = rows.select(text.normalise(t).alias("n"))._jdf.queryExecution().optimizedPlan().toString()
+    assert cleaned.count("regexp_replace") == 1
