@@ -436,3 +436,33 @@ def test_sources_of_a_piece_pass_by_in_bounded_tables(monkeypatch):
         found = best(pa.Table.from_pylist(sources, schema), pa.Table.from_pylist(candidates, schema))
         want += [(r["src"], r["dst"], r["score"]) for r in found.to_pylist()]
     assert got == sorted(want)
+
+
+def test_price_lists_are_not_repeated_for_every_query(spark, sf, monkeypatch):
+    """A price band serves about one query: it is not dealt out over 16 tasks as the list of a large group is."""
+    from aislerank.plans.ranking import shelf
+
+    keys, attach = [], strategies.L.attach
+
+    def noted(queries, lists, key, alias, *rest, few=False):
+        keys.append((key, few))
+        return attach(queries, lists, key, alias, *rest, few=few)
+
+    monkeypatch.setattr(strategies.L, "attach", noted)
+    df = shelf(spark, sf)
+    assert strategies.price_similarity(df, strategies.as_queries(df), 5).count() > 0
+    assert sorted(keys) == [("beside", True), ("bucket", True)]
+
+
+def test_the_described_catalogue_is_read_by_column_and_its_lines_once(spark, sf):
+    """Strategies read a few columns many times: the texts on the way are not kept, the last one is a column of its own."""
+    from aislerank.plans.similarity import described
+    from aislerank.sources.driver_tables import catalogue
+
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_returnflag" not in plan(catalogue(spark, sf, text=False))
+    df = described(spark, sf)
+    assert "combined_text_tfidf" in df.columns and not {"about_product", "combined_text", "about_product_clean"} & set(df.columns)
+    assert df.inputFiles()
+    narrow = df.select("product_id", "rating")._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<product_id:string,rating:double>" in narrow
