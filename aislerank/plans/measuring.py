@@ -11,7 +11,7 @@ from aislerank.plans.book import query
 from aislerank.plans.loading import TREND
 from aislerank.plans.ranking import K, shelf
 from aislerank.plans.sessions import EVENTS, events
-from aislerank.plans.similarity import CONTENT, PAIRS, described, near_cte
+from aislerank.plans.similarity import CONTENT, PAIRS, described, fitted, near_cte
 from aislerank.session import cut, scratch_path
 from aislerank.sources.driver_tables import catalogue, table
 
@@ -117,7 +117,7 @@ def holdout(spark, sf):
     cut_at = F.unix_micros("ts") < CUT_US
     past = ev.filter(cut_at).select("session_id", "product_id").distinct()
     later = ev.filter(~cut_at).select("session_id", "product_id").distinct()
-    stock = cut(shelf(spark, sf))
+    stock = shelf(spark, sf)
     sessions = ev.select(F.col("session_id").alias("query_id")).distinct()
     recs = None
     for name, score in (("popularity", "popularity_score"), ("trending", "trending_score"), ("rating", "rating")):
@@ -157,7 +157,7 @@ SELECT scenario, session_id, {S.rnd('8 / (SELECT count(*) FROM trend)', 6)} AS c
 FROM leaks JOIN spread USING (scenario)""")
 def m12(spark, sf):
     stock, past, _, recs = holdout(spark, sf)
-    _, vecs = vectors.fit(described(spark, sf))
+    _, vecs = fitted(spark, sf)
     checks = metrics.session_checks(recs, past, stock, vecs, ("scenario", "session_id"))
     return six(checks.select("scenario", "session_id", "coverage_session", "history_leakage", "diversity_intra_list"),
                "coverage_session", "diversity_intra_list")
