@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -57,63 +59,74 @@ def log_recommendations(stream: DataFrame, path: str, engine: str) -> Callable[[
 # ---------------------------------------------------------------- repeat views
 
 EVENT_OUT = "session_id string, product_id string, event_type string, us bigint"
-_STATE = ("ids array<bigint>, products array<string>, kinds array<string>, times array<bigint>, "
-          "last_product string, last_kind string, last_us bigint")
+# Buckets of sessions that share a state: a call for each session costs far more than its few events.
+BUCKETS = 4096
+_EVENT = pa.schema([("session_id", pa.string()), ("event_id", pa.int64()), ("product_id", pa.string()),
+                    ("event_type", pa.string()), ("us", pa.int64()), ("passed", pa.bool_())])
+
+
+def _packed(rows: pd.DataFrame) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, _EVENT) as out:
+        out.write_table(pa.Table.from_pandas(rows, _EVENT, preserve_index=False))
+    return sink.getvalue().to_pybytes()
+
+
+def _codes(values: pd.Series):
+    return pd.factorize(values, sort=True, use_na_sentinel=False)[0]
 
 
 def _merger(gap_us: int):
-    """Per session: hold events until the watermark passes them, then apply the repeat-view rule in
-    time order.  An event is put out once nothing can merge into it any more."""
+    """Per bucket of sessions: hold events until the watermark passes them, then apply the repeat-view rule in
+    time order.  An event is put out once nothing can merge into it any more.
+
+    Only neighbours of a session matter, so all sessions of a bucket are worked through at once.  Of a session the
+    newest event that the watermark has passed (``passed``) is kept while something may still merge into it."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held: list[tuple] = []
-        last = None
-        if state.exists:
-            ids, products, kinds, times, lp, lk, lu = state.get
-            held = list(zip(times, ids, products, kinds))
-            last = (lp, lk, lu) if lp is not None else None
-        for frame in frames:
-            held += list(zip(frame["us"], frame["event_id"], frame["product_id"], frame["event_type"]))
+        parts = [pa.ipc.open_stream(state.get[0]).read_pandas()] if state.exists else []
+        parts += [frame[_EVENT.names[:-1]].assign(passed=False) for frame in frames]
+        rows = pd.concat(parts, ignore_index=True)
         now = state.getCurrentWatermarkMs() * 1000
-        out = []
-        held.sort()
-        ready = [e for e in held if e[0] < now]
-        held = held[len(ready):]
-        for us, _, product, kind in ready:
-            if (last and kind == "view" and last[0] == product
-                    and last[1] in ("view", "repeat_view") and us - last[2] < gap_us):
-                last = (product, "repeat_view", us)
-                continue
-            if last:
-                out.append(last)
-            last = (product, kind, us)
-        if last and last[2] + gap_us <= now:
-            out.append(last)
-            last = None
-        if held or last:
-            state.update((
-                [int(e[1]) for e in held], [e[2] for e in held], [e[3] for e in held], [int(e[0]) for e in held],
-                last[0] if last else None, last[1] if last else None, int(last[2]) if last else None))
-            due = min([int(e[0]) for e in held[:1]] + ([int(last[2]) + gap_us] if last else []))
-            state.setTimeoutTimestamp(max(due // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        due = (rows["passed"] | (rows["us"] < now)).to_numpy()
+        held, rows = rows[~due], rows[due]
+        if len(rows):
+            session, product = _codes(rows["session_id"]), _codes(rows["product_id"])
+            order = np.lexsort((_codes(rows["event_type"]), product, rows["event_id"], rows["us"], ~rows["passed"], session))
+            rows, session, product = rows.iloc[order], session[order], product[order]
+            us, kind = rows["us"].to_numpy(), rows["event_type"]
+            same = session[1:] == session[:-1]
+            merged = np.append(False, same & (product[1:] == product[:-1]) & (kind == "view").to_numpy()[1:]
+                               & kind.isin(("view", "repeat_view")).to_numpy()[:-1] & (us[1:] - us[:-1] < gap_us))
+            rows = rows.assign(event_type=kind.mask(merged, "repeat_view"), passed=True)
+            newest = np.append(~same, True)
+            waits = newest & (us + gap_us > now)
+            out = rows[~np.append(merged[1:], False) & ~waits]
+            if len(out):
+                yield out[["session_id", "product_id", "event_type", "us"]]
+            held = pd.concat([rows[waits], held]) if len(held) else rows[waits]
+        if len(held):
+            state.update((_packed(held),))
+            first = int((held["us"] + held["passed"] * gap_us).min())
+            state.setTimeoutTimestamp(max(first // 1000 + 1, state.getCurrentWatermarkMs() + 1))
         elif state.exists:
             state.remove()
-        yield pd.DataFrame(
-            [(key[0], p, k, int(u)) for p, k, u in out], columns=["session_id", "product_id", "event_type", "us"])
 
     return step
 
 
-def repeat_views(events: DataFrame, gap_seconds: float = 60, delay: str = "1 hour") -> DataFrame:
+def repeat_views(events: DataFrame, gap_seconds: float = 60, delay: str = "1 hour", buckets: int = BUCKETS) -> DataFrame:
     """``events``: validated, with a ``ts`` timestamp.  Append mode.
 
-    Custom state, because "the newest event of the session" is no windowed aggregate.
+    Custom state, because "the newest event of the session" is no windowed aggregate.  ``buckets`` is fixed for the
+    life of a checkpoint.
     """
     ship_package(events.sparkSession)
     rows = events.withWatermark("ts", delay).select(
+        F.pmod(F.xxhash64("session_id"), F.lit(buckets)).alias("bucket"),
         "session_id", "event_id", "product_id", "event_type", "ts", F.unix_micros("ts").alias("us"))
-    return rows.groupBy("session_id").applyInPandasWithState(
-        _merger(int(gap_seconds * 1_000_000)), EVENT_OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return rows.groupBy("bucket").applyInPandasWithState(
+        _merger(int(gap_seconds * 1_000_000)), EVENT_OUT, "rows binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def _keeper(n: int):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from aislerank.operators import features, interactions, personal, vectors
 from aislerank.settings import SessionModel, TextModel
+from aislerank.streaming import jobs
 
 EVENT = "event_id bigint, session_id string, product_id string, event_type string, us bigint"
 
@@ -41,6 +42,32 @@ def test_repeat_views_follow_the_client_rule(spark, seed, gap):
     assert sorted((r["session_id"], r["product_id"], r["event_type"], r["us"]) for r in got) == client_rule(rows, gap * 1_000_000)
 
 
+def test_streamed_repeat_views_share_states_between_sessions(spark, tmp_path):
+    """Files in the order of time, one per micro-batch; sessions pass the hour that the watermark waits."""
+    rng = random.Random(4)
+    rows = [(i, f"s{rng.randint(0, 39)}", rng.choice("ab"), rng.choice(["view", "view", "view", "cart"]),
+             rng.randint(1, 6 * 3600) * 1_000_000) for i in range(1500)]
+    for n, edge in enumerate((2, 4, 6)):
+        part = [r for r in rows if edge - 2 <= (r[4] - 1) // 3_600_000_000 < edge]
+        event_frame(spark, part).coalesce(1).write.parquet(str(tmp_path / f"in/part={n}"))
+    kept = spark.read.parquet(str(tmp_path / "in")).drop("part")
+    stream = (spark.readStream.schema(kept.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True)
+              .parquet(str(tmp_path / "in")))
+    handle = (jobs.repeat_views(stream, 600, buckets=3).writeStream.option("checkpointLocation", str(tmp_path / "progress"))
+              .trigger(availableNow=True).foreachBatch(lambda batch, n: batch.write.parquet(str(tmp_path / f"out/batch={n}"))).start())
+    handle.awaitTermination()
+    states = [s["numRowsTotal"] for p in handle.recentProgress for s in p["stateOperators"]]
+    assert 0 < max(states) <= 3
+    got = sorted((r["session_id"], r["product_id"], r["event_type"], r["us"])
+                 for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    # The last hour is not closed, and the newest event of a session waits for what may merge into it.
+    mark = max(r[4] for r in rows) - 3_600_000_000
+    closed = client_rule([r for r in rows if r[4] < mark], 600_000_000)
+    newest = {s: max(us for t, *_, us in closed if t == s) for s, *_ in closed}
+    assert got == [e for e in closed if e[3] < newest[e[0]] or e[3] + 600_000_000 <= mark]
+    assert any(e[2] == "repeat_view" for e in got) and len(got) < len(closed)
+
+
 def test_positions_number_each_session(spark):
     rng = random.Random(5)
     rows = [(i, f"s{i % 3}", "a", "view", rng.randint(0, 10 * 86400) * 1_000_000) for i in range(200)]
