@@ -466,3 +466,71 @@ def test_the_described_catalogue_is_read_by_column_and_its_lines_once(spark, sf)
     assert df.inputFiles()
     narrow = df.select("product_id", "rating")._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<product_id:string,rating:double>" in narrow
+
+
+def test_a_visit_is_exact_with_equal_scores_and_any_sign(monkeypatch):
+    """Scores in single precision only choose what is scored again, however many are equal or cancel."""
+    rng = random.Random(6)
+    rows = sparse_rows(rng, 50, 9) + [(f"same{i:02d}", [(1, 0.6), (2, 0.8)]) for i in range(40)]
+    rows += [(f"near{i:02d}", [(1, 0.6), (2, 0.8 + i * 1e-8)]) for i in range(20)]
+    rows += [(f"sign{i}", [(1, 0.5), (3, -0.5 + 0.01 * i)]) for i in range(9)]
+    flat = {"id": [a for a, _ in rows], "t": [[t for t, _ in v] for _, v in rows], "w": [[w for _, w in v] for _, v in rows]}
+    left, want = pa.table(flat | {"low": [0.0] * len(rows), "k": [3] * len(rows)}), nearest_by_hand(rows, 3)
+    for many, tile, opened in ((1, 16, 1), (4, 2048, 1 << 17)):
+        monkeypatch.setattr(nearest, "MANY", many)
+        monkeypatch.setattr(nearest, "TILE", tile)
+        monkeypatch.setattr(nearest, "OPENED", opened)
+        got = nearest.best_of_piece(left, pa.table(flat)).to_pydict()
+        assert sorted(zip(got["src"], got["dst"], got["score"])) == sorted((a, b, s) for a in want for _, b, s in want[a])
+
+
+def test_few_pairs_are_multiplied_in_double_precision(monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(f"d{i:03d}", [(int(t), float(w)) for t, w in zip(np.sort(rng.choice(60, 12, replace=False)), rng.random(12) / 3.5)]) for i in range(300)]
+    flat = {"id": [a for a, _ in rows], "t": [[t for t, _ in v] for _, v in rows], "w": [[w for _, w in v] for _, v in rows]}
+    pairs, products = [], nearest._products
+    monkeypatch.setattr(nearest, "_products", lambda rows, *rest: (pairs.append(len(rows)), products(rows, *rest))[1])
+    got = nearest.best_of_piece(pa.table(flat | {"low": [0.0] * 300, "k": [5] * 300}), pa.table(flat))
+    assert got.num_rows == 1500 and sum(pairs) < 2 * 1500
+
+
+def test_pieces_visited_in_rounds_give_the_same_lists(spark, monkeypatch):
+    rng = random.Random(2)
+    rows = sparse_rows(rng, 120, 30)
+    df = spark.createDataFrame(rows, "id string, vec array<struct<t:int,w:double>>").cache()
+    travelled, meet = [], nearest._meet
+    monkeypatch.setattr(nearest, "_meet", lambda sources, candidates: (travelled.append(1), meet(sources, candidates))[1])
+    monkeypatch.setattr(nearest, "ENTRIES", 200)
+    monkeypatch.setattr(nearest, "ROUND", 1)
+    got = {}
+    for r in vectors.best_per(nearest.scored(df.withColumn("k", F.lit(5)), df, 7, 1), "src", "score", "dst", 5).collect():
+        got.setdefault(r["src"], []).append((r["rank"], r["dst"], r["score"]))
+    assert {a: sorted(v) for a, v in got.items()} == nearest_by_hand(rows, 5)
+    assert len(travelled) > 2
+
+
+def test_rounds_hold_every_piece_once_and_little_more_than_all_rows():
+    n, entries = 10_000, 1_000_000
+    bands = nearest.Bands({t: n for t in range(100)}, n * 100, 500, 1000)
+    bands.cut({(0, 7): (n, 1.0)}, {0: n})
+    nearest_round, nearest.ROUND = nearest.ROUND, 1
+    try:
+        rounds = bands.rounds({0: n}, ((n, entries), (n, entries)), 4)
+    finally:
+        nearest.ROUND = nearest_round
+    assert [p for r in rounds for p in r] == list(range(20)) and len(rounds) > 5
+    assert bands.rounds({0: n}, ((n, entries), (n, entries)), 4) == [range(20)]
+
+
+def test_the_words_are_gone_once_the_vectors_are_there(spark):
+    import glob
+
+    from aislerank.session import shared_folder
+
+    folder = shared_folder(spark).removeprefix("file:")
+    before = set(glob.glob(f"{folder}/*"))
+    docs = spark.createDataFrame([(f"d{i}", f"red kettle steel lid{i % 3} handle") for i in range(9)], "product_id string, combined_text_tfidf string")
+    vocab, vecs = vectors.fit(docs)
+    assert vecs.count() == 9 and vocab.count() > 5
+    left = [spark.read.parquet(p).columns for p in set(glob.glob(f"{folder}/*")) - before if p.split("/")[-1].startswith(("stored", "passing"))]
+    assert left == [["id", "vec"]]
