@@ -9,7 +9,7 @@ from aislerank.functions import text
 from aislerank.functions.numbers import rounded, safe_text
 from aislerank.operators.skew import salted_join
 from aislerank.operators.strategies import grade
-from aislerank.session import cut
+from aislerank.session import stored
 
 
 def with_catalogue(recs: DataFrame, catalogue: DataFrame) -> DataFrame:
@@ -25,14 +25,14 @@ def with_catalogue(recs: DataFrame, catalogue: DataFrame) -> DataFrame:
         plain("popularity_score").alias("popularity_score"))
     carried = [c for c in recs.columns if c.startswith("c_")]
     # A best seller may be in very many lists.
-    return salted_join(cut(recs.drop(*carried)), fields, "product_id")
+    return salted_join(stored(recs.drop(*carried)), fields, "product_id")
 
 
 def keywords_for(recs: DataFrame, texts: DataFrame, limit: int = 5) -> DataFrame:
     """Adds ``matched_keywords`` from (product_id, keywords) of the query and of the candidate."""
     q = texts.select(F.col("product_id").alias("query_id"), F.col("keywords").alias("_q"))
     c = texts.select("product_id", F.col("keywords").alias("_c"))
-    joined = salted_join(cut(recs), c, "product_id", "left").join(q, "query_id", "left")
+    joined = salted_join(stored(recs), c, "product_id", "left").join(q, "query_id", "left")
     shared = text.matched_keywords(F.col("_q"), F.col("_c"), limit)
     return joined.withColumn(
         "matched_keywords", F.coalesce(shared, F.array().cast("array<string>"))).drop("_q", "_c")
