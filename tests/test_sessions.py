@@ -269,3 +269,20 @@ def test_profile_of_a_long_session_in_slices(spark, monkeypatch):
                     want[t] = want.get(t, 0.0) + {"view": 1.0, "cart": 3.0}[kind] * 0.85**at * w
         norm = sum(x * x for x in want.values()) ** 0.5
         assert [(t, round(w, 9)) for t, w in r["vec"]] == [(t, round(w / norm, 9)) for t, w in sorted(want.items())]
+
+
+def test_a_vector_travels_once_for_a_bucket_of_sessions(spark, monkeypatch):
+    """Sessions with the same products are added up from one copy of each vector."""
+    met, join = [], personal.salted_join
+    monkeypatch.setattr(personal, "salted_join", lambda left, *rest: (met.append(left.count()), join(left, *rest))[1])
+    monkeypatch.setattr(personal, "BUCKETS", 1)
+    vecs = spark.createDataFrame([(f"p{i}", [(i, 0.6), (9, 0.8)]) for i in range(5)], "id string, vec array<struct<t:int,w:double>>")
+    hist = spark.createDataFrame([(f"s{n:03d}", f"p{i}", "view", i) for n in range(400) for i in range(5)],
+                                 "session_id string, product_id string, event_type string, position bigint")
+    got = personal.profiles(hist, vecs).collect()
+    assert met[0] <= 5 * int(spark.conf.get("spark.sql.shuffle.partitions")) < hist.count()
+    weights = [0.85**i for i in range(5)]
+    raw = {i: 0.6 * w for i, w in enumerate(weights)} | {9: 0.8 * sum(weights)}
+    norm = sum(x * x for x in raw.values()) ** 0.5
+    assert len(got) == 400
+    assert all(abs(e["w"] - raw[e["t"]] / norm) < 1e-11 for r in got for e in r["vec"]) and all(len(r["vec"]) == 6 for r in got)
