@@ -13,8 +13,8 @@ from aislerank.plans.loading import _ROW as ROW_TEXT
 from aislerank.plans.loading import FILLED, TEXTED
 from aislerank.plans.measuring import _LISTS, CON, CURRENT, GRADED, PSI, TVD, shifted
 from aislerank.plans.ranking import K, shelf
-from aislerank.plans.similarity import CONTENT, PAIRS, near_cte, texted
-from aislerank.session import cut, scratch_path
+from aislerank.plans.similarity import CONTENT, PAIRS, UNUSED_TEXTS, near_cte, texted
+from aislerank.session import cut, scratch_path, stored
 from aislerank.settings import RAW_COLUMNS
 from aislerank.sources import tables
 from aislerank.sources.driver_tables import raw_catalogue
@@ -65,9 +65,9 @@ SELECT k, p.precision, p.recall, ev.*, (SELECT count(*) FROM vocab) AS vocabular
 FROM (SELECT 5::BIGINT AS k, * FROM pr5 UNION ALL SELECT 10, * FROM pr10) p, ev""")
 def s8_evaluation(spark, sf):
     """One row for each k of the document."""
-    df = cut(pipeline.features.labelled(texted(spark, sf)))
+    df = stored(pipeline.features.labelled(texted(spark, sf)).drop(*UNUSED_TEXTS))
     vocab, vecs = vectors.fit(df)
-    recs = cut(pipeline.shown(vectors.neighbours(vecs, K), K))
+    recs = stored(pipeline.shown(vectors.neighbours(vecs, K), K))
     back = read_back(spark, reports.evaluation(recs, df, vocab, vecs, (5, K)), _EVALUATION + (
         ", model_params struct<vocabulary_size: bigint, documents: bigint>, sample_config struct<sample_size: bigint>, "
         "thresholds struct<min_precision_required: double, precision_achieved: double, meets_threshold: boolean>"))
